@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op6_mix_sources
+from .personal import op8_personal_data
 from .quality import op9_quality_rules
+from .simhash import op2_simhash
+from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_simhash": op2_simhash,
     "op6_mix_sources": op6_mix_sources,
+    "op8_personal_data": op8_personal_data,
     "op9_quality_rules": op9_quality_rules,
 }
 
