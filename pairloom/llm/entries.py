@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op6_mix_sources
 from .personal import op8_personal_data
+from .pieces import op3_sentencepiece
 from .quality import op9_quality_rules
 from .simhash import op2_simhash
+from .token_counts import op4_token_counts
 from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_token_counts": op4_token_counts,
     "op6_mix_sources": op6_mix_sources,
     "op8_personal_data": op8_personal_data,
     "op9_quality_rules": op9_quality_rules,
