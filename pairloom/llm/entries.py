@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op6_mix_sources
+from .neighbours import op10_nearest
 from .personal import op8_personal_data
 from .pieces import op3_sentencepiece
 from .quality import op9_quality_rules
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mix_sources": op6_mix_sources,
     "op8_personal_data": op8_personal_data,
     "op9_quality_rules": op9_quality_rules,
+    "op10_nearest": op10_nearest,
 }
 
 SQL: dict[str, str] = {}
