@@ -11,6 +11,7 @@ from .neighbours import op10_nearest
 from .personal import op8_personal_data
 from .pieces import op3_sentencepiece
 from .quality import op9_quality_rules
+from .repeats import op7_repeats
 from .simhash import op2_simhash
 from .token_counts import op4_token_counts
 from .toxicity import op1_toxicity
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_counts": op4_token_counts,
     "op6_mix_sources": op6_mix_sources,
+    "op7_repeats": op7_repeats,
     "op8_personal_data": op8_personal_data,
     "op9_quality_rules": op9_quality_rules,
     "op10_nearest": op10_nearest,
