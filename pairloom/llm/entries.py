@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_model import op5_language_model
 from .mixing import op6_mix_sources
 from .neighbours import op10_nearest
 from .personal import op8_personal_data
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_counts": op4_token_counts,
+    "op5_language_model": op5_language_model,
     "op6_mix_sources": op6_mix_sources,
     "op7_repeats": op7_repeats,
     "op8_personal_data": op8_personal_data,

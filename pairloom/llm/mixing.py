@@ -72,10 +72,10 @@ def balance(cells: DataFrame, targets: DataFrame, scratch: Scratch, most_copies:
 
 
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_copies: int = 3, fill_rounds: int = 4) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies and taken of every document."""
+    """doc_id, source, text_hash, size, source_size, target, rate, copies and taken of every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.regexp_count(text_of(text), F.lit(WORD)).cast("long").alias("size"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(text_of(text)).alias("text_hash"), F.regexp_count(text_of(text), F.lit(WORD)).cast("long").alias("size"))
     # the row number is written down, so it is the same for every later reader
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("order", F.xxhash64(F.lit("mix"), "doc_id", "source", "size")), "sizes")
     cells = scratch.save(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
@@ -109,7 +109,21 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     one_more = (cell < F.col("at")) | F.col("picked").isNotNull()
     copies = F.when(F.col("size") > 0, F.col("whole") + F.when(one_more, 1).otherwise(0)).otherwise(0).cast("long")
     out = out.withColumn("copies", copies)
-    return out.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "text_hash", "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take_copies(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, source and others) with each row as often as the mix takes it.
+
+    Rows that are equal in id, source and text are told apart by a number on both sides of the join.
+    """
+    key = [F.xxhash64(text_of()).alias("__hash"), F.col("doc_id").alias("__id"), F.col("source").cast("string").alias("__source")]
+    number = F.row_number().over(Window.partitionBy("__id", "__source", "__hash").orderBy(F.lit(0)))
+    mixed = mix_sources(docs).filter("copies > 0").select(F.col("text_hash").alias("__hash"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "copies").withColumn("__number", number)
+    mixed = mixed.select(F.xxhash64("__hash", "__id", "__source", "__number").alias("__key"), "copies")
+    rows = docs.select("*", *key).withColumn("__number", number).withColumn("__key", F.xxhash64("__hash", "__id", "__source", "__number"))
+    taken = rows.join(mixed, "__key").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
+    return taken.drop("__copy")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
