@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import documents, map_arrow, text_of, tokenizer_path
 from .merges import Merges
@@ -150,7 +151,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", tokenizer: str = "piece_b
 
         return step
 
-    schema = rows.drop("__text").schema.add("ids", "array<int>")
+    schema = rows.drop("__text").schema.add("ids", ArrayType(IntegerType()))
     return map_arrow(rows, start, schema)
 
 
