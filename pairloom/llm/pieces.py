@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import documents, map_arrow, text_of, tokenizer_path
 from .merges import Merges
@@ -151,7 +151,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", tokenizer: str = "piece_b
 
         return step
 
-    schema = rows.drop("__text").schema.add("ids", ArrayType(IntegerType()))
+    schema = StructType([*rows.drop("__text").schema, StructField("ids", ArrayType(IntegerType()))])
     return map_arrow(rows, start, schema)
 
 
@@ -170,7 +170,7 @@ def decode_pieces(df: DataFrame, ids: str = "ids", to: str = "decoded", tokenize
 
         return step
 
-    return map_arrow(rows, start, rows.drop("__ids").schema.add(to, "string"))
+    return map_arrow(rows, start, StructType([*rows.drop("__ids").schema, StructField(to, StringType())]))
 
 
 def piece_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "piece_bpe_32k.model") -> DataFrame:
