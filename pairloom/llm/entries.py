@@ -11,7 +11,7 @@ from .mixing import op6_mix_sources
 from .neighbours import op10_nearest
 from .personal import op8_personal_data
 from .pieces import op3_sentencepiece
-from .quality import op9_quality_rules
+from .quality import QUALITY_SQL, op9_quality_rules
 from .repeats import op7_repeats
 from .simhash import op2_simhash
 from .token_counts import op4_token_counts
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nearest": op10_nearest,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_quality_rules": QUALITY_SQL}

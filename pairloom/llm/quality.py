@@ -127,3 +127,32 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = quality_rules(documents(spark, sf_dir))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_lines_removed", "kept_share")
+
+
+#: op9_quality_rules in DuckDB's SQL.
+QUALITY_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)),
+d AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+step AS (SELECT doc_id, least(5, i - lag(i, 1, -5) OVER (PARTITION BY doc_id ORDER BY i)) AS n FROM d),
+r AS (SELECT doc_id, sum(n)::BIGINT AS n_repeat_words FROM step GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM t),
+lt AS (SELECT doc_id, raw, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+ln AS (SELECT doc_id, raw, line, length(line) AS n, length(line) - length(replace(line, ' ', '')) + 1 AS words FROM lt WHERE line <> ''),
+bad AS (SELECT *, (n - length(regexp_replace(line, '{SYMBOLS}', '', 'g'))) * 25 > n
+ OR n - length(regexp_replace(line, '{BARS}', '', 'g')) >= greatest(3, words / 5)
+ OR (2 * n - length(replace(line, '!!', '!')) - length(replace(line, '??', '?'))) * 10 > greatest(9, words * 3)
+ OR (n >= 20 AND upper(line) = line AND lower(line) <> line)
+ OR (n < 40 AND words < 4 AND NOT regexp_matches(line, '{SENTENCE_END.replace(chr(39), 2 * chr(39))}'))
+ OR (n <= {FRAME_CHARS} AND regexp_matches(lower(line), '{"|".join(BOILERPLATE)}'))
+ OR (n <= {2 * FRAME_CHARS} AND words >= 8 AND len(list_distinct(string_split(lower(line), ' '))) * 2 <= len(string_split(lower(line), ' '))) AS bad FROM ln),
+good AS (SELECT doc_id, count(*) AS n, sum(n) + count(*) - 1 AS chars FROM (SELECT DISTINCT doc_id, line, n FROM bad WHERE NOT bad) GROUP BY doc_id),
+a AS (SELECT doc_id, count(*) AS n_lines, sum(n) + count(*) - 1 AS chars, count(*) - count(DISTINCT raw) AS n_dup_lines FROM ln GROUP BY doc_id),
+b AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')))::BIGINT AS n_symbols,
+ coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_lines - coalesce(good.n, 0), 0)::BIGINT AS n_lines_removed,
+ CASE WHEN a.chars > 0 THEN coalesce(good.chars, 0)::DOUBLE / a.chars ELSE 0.0 END AS kept_share
+ FROM w LEFT JOIN r USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN good USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT *, NOT base_failed AND kept_share > 0 AND kept_share >= 0.5 AS kept FROM f
+"""
