@@ -6,7 +6,7 @@ scales the presence of a cell, cells whose ratio is significant become features,
 r * presence gives the weights. Scoring looks each n-gram of the whole text up in a table of cells.
 
 Bounds (parameters): at most `most_toxic` and `most_clean` labelled documents are learnt from, those with the
-smallest hash of their id; at most `most_features` cells become features. Everything that leaves the executors for
+smallest hash of their id; at most `most_features` cells (65,536 at the utmost) become features. Everything that leaves the executors for
 the driver is bounded by these.
 
 Nulls: a null text counts as empty; a null label is no label; labels of one id that disagree count as toxic from a
@@ -93,18 +93,29 @@ def _count(rows: DataFrame) -> tuple[np.ndarray, int, int]:
     return total, n[0], n[1]
 
 
-def _regress(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, steps: int = 200, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on ratio * presence by full gradients with momentum; weights are for presence."""
-    length = np.array([len(r) for r in rows])
-    flat = np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), length)
-    scaled = ratio[flat]
-    w, b = np.ones(len(ratio)) * 0.1, 0.0
+def _regress(at: np.ndarray, ends: np.ndarray, y: np.ndarray, ratio: np.ndarray, steps: int = 200, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on ratio * presence by full gradients with momentum; weights are for presence.
+
+    at: the features of all rows, those of row i before ends[i]. Rows are gone through in pieces, so memory beside
+    `at` stays small.
+    """
+    n = len(y)
+    starts = np.append(0, ends[:-1])
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(at), 1 << 19)), n))
+    w, b = np.full(len(ratio), 0.1), 0.0
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(owner, w[flat] * scaled, len(rows)) + b
-        e = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(rows)
-        g = np.append(np.bincount(flat, e[owner] * scaled, len(ratio)) + ridge * w, e.sum())
+        g, scaled, lean = np.zeros(len(ratio)), w * ratio, 0.0
+        for low, high in zip(np.append(0, cuts[:-1]), cuts, strict=True):
+            if low == high:
+                continue
+            part = at[starts[low] : ends[high - 1]]
+            owner = np.repeat(np.arange(high - low), ends[low:high] - starts[low:high])
+            z = np.bincount(owner, scaled[part], high - low) + b
+            e = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[low:high]) / n
+            g += np.bincount(part, e[owner], len(ratio))
+            lean += e.sum()
+        g = np.append(g * ratio + ridge * w, lean)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -135,13 +146,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, mos
         for batch in batches:
             for part in slices(batch, "text", PIECE):
                 text, cell = _hits(part.column("text").to_pylist(), known)
-                at = np.searchsorted(text, np.arange(part.num_rows + 1))
-                found = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.searchsorted(cells, cell), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), found], schema=pa.schema([("toxic", pa.int32()), ("at", pa.list_(pa.int32()))]))
-
-    table = rows.mapInArrow(run, "toxic int, at array<int>").toArrow()
-    flat = table.column("at").to_pylist()
-    weights, bias = _regress([np.array(x, np.int64) for x in flat], table.column("toxic").to_numpy(), ratio[cells])
+                found = np.searchsorted(cells, cell).astype(np.uint16)
+                n = np.bincount(text, minlength=part.num_rows).astype(np.int32)
+                y = part.column("toxic").to_numpy().astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (y, found, n)], names=["toxic", "at", "n"])
+
+    toxic_of, parts_of, ends = [], [], []
+    for row in rows.mapInArrow(run, "toxic binary, at binary, n binary").toLocalIterator():
+        toxic_of.append(np.frombuffer(row.toxic, np.int8))
+        parts_of.append(np.frombuffer(row.at, np.uint16))
+        ends.append(np.frombuffer(row.n, np.int32))
+    weights, bias = _regress(np.concatenate(parts_of), np.cumsum(np.concatenate(ends)), np.concatenate(toxic_of).astype(float), ratio[cells])
     return Model(cells, weights, float(bias))
 
 
