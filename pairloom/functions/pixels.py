@@ -20,8 +20,10 @@ def binary(v: Column, threshold: float) -> Column:
     return F.transform(v, lambda x: (x > threshold).cast("int"))
 
 
-def zipped(a: Column, b: Column, f) -> Column:
-    return F.zip_with(a, b, f)
+def zip_shorter(a: Column, b: Column) -> Column:
+    """Elements side by side, as far as the shorter array goes."""
+    n = F.least(F.size(a), F.size(b))
+    return F.arrays_zip(F.slice(a, 1, n).alias("a"), F.slice(b, 1, n).alias("b"))
 
 
 def clipped(x: Column, low: float = 0.0, high: float = 1.0) -> Column:

@@ -33,6 +33,11 @@ def positional_join(left: DataFrame, right: DataFrame, left_key: str, right_key:
     return a.join(b, "idx")
 
 
+def skip_first(df: DataFrame, key: str, n: int) -> DataFrame:
+    """What is left of a list in key order after its first n rows."""
+    return dense_index(df, key).filter(F.col("idx") >= n).drop("idx")
+
+
 def worker_of(idx: Column, total: Column, workers: int) -> Column:
     """The worker of a row in contiguous shares; the first total % workers get one more."""
     share, more = F.floor(total / workers), total % workers

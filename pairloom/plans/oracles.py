@@ -73,6 +73,7 @@ SQL: dict[str, str] = {
     "path_parts": f"WITH {BG} SELECT path, {STEM} AS stem, regexp_extract(path, '(\\.[^./]*)$', 1) AS suffix, {STEM} AS bare FROM bg",
     "worker_ranges": f"WITH {BG}, u AS (SELECT DISTINCT {STEM} AS stem FROM bg) SELECT stem, (ntile(8) OVER (ORDER BY stem) - 1)::BIGINT AS worker FROM u",
     "worker_sizes": f"WITH {BG}, u AS (SELECT DISTINCT {STEM} AS stem FROM bg), t AS (SELECT stem, (ntile(8) OVER (ORDER BY stem) - 1)::BIGINT AS worker FROM u) SELECT worker, count(*) AS n, min(stem) AS first, max(stem) AS last FROM t GROUP BY worker",
+    "start_offset": f"WITH {BG}, u AS (SELECT DISTINCT {STEM} AS stem FROM bg) SELECT stem FROM u QUALIFY row_number() OVER (ORDER BY stem) > 50",
     "prompt_broadcast": f"WITH {BG}, {SHOT}, {LAST} SELECT stem, 'remove the object' AS prompt, 0.5::DOUBLE AS first FROM b JOIN s USING (stem)",
     "ragged_columns": """WITH n AS (SELECT l_orderkey, l_partkey, l_returnflag = 'R' AS r, row_number() OVER (PARTITION BY l_orderkey, l_returnflag = 'R' ORDER BY l_partkey) - 1 AS pos FROM lineitem),
  a AS (SELECT * FROM n WHERE r), b AS (SELECT * FROM n WHERE NOT r) SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, coalesce(a.pos, b.pos) AS pos, coalesce(a.l_partkey, -1) AS returned, coalesce(b.l_partkey, -1) AS other FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey AND a.pos = b.pos""",
@@ -122,6 +123,8 @@ SQL: dict[str, str] = {
     "dice": f"WITH {PAIRED} SELECT round(1 - (2 * sum(abs(a) * abs(b)) + 1) / (sum(abs(a)) + sum(abs(b)) + 1), 6) AS loss FROM pr",
     "bce_logits": f"""WITH {PAIRED} SELECT id, round(sum(greatest(a * 5, 0.0) - a * 5 * abs(b) + ln(1 + exp(-abs(a * 5)))) / 64, 6) AS plain,
  round(sum((greatest(a, 0.0) - a + ln(1 + exp(-abs(a)))) * abs(b)) / greatest(sum(abs(b)), 1e-4), 6) AS weighted FROM pr GROUP BY id""",
+    "zip_shorter": f"""WITH {BOXES}, n AS (SELECT sample, pos, kind, row_number() OVER (PARTITION BY sample, kind ORDER BY pos) - 1 AS place FROM boxes)
+ SELECT a.sample, a.place, a.pos AS a, b.pos AS b, b.pos - a.pos AS gap FROM n a JOIN n b ON a.sample = b.sample AND a.place = b.place AND a.kind = 'diff' AND b.kind = 'semantic'""",
     "feature_concat": f"WITH {PAIRED} SELECT id, 128::BIGINT AS n, round(b, 6) AS middle FROM pr WHERE p = 0",
     "components": f"WITH RECURSIVE {LABELLED} SELECT id, label, area, x1, y1, x2, y2 FROM comp",
     "quality_audit": f"""WITH RECURSIVE {LABELLED}, top AS (SELECT *, max(area) OVER (PARTITION BY id) AS most FROM comp), k AS (SELECT id, count(*) FILTER (WHERE area >= most * 0.3) AS main, coalesce(sum(area) FILTER (WHERE area < most * 0.3), 0)::DOUBLE / sum(area) AS noise FROM top GROUP BY id),

@@ -13,7 +13,8 @@ from ..functions import pixels as px
 from ..functions import raster
 from ..operators import batches, metrics, pairs
 from ..operators import boxes as box_operators
-from ..operators.order import positional_join, worker_shares
+from ..operators.columns import with_new_columns
+from ..operators.order import positional_join, skip_first, worker_shares
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,6 +122,12 @@ def worker_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worker_ranges(spark, sf_dir).groupBy("worker").agg(F.count("*").alias("n"), F.min("stem").alias("first"), F.max("stem").alias("last"))
 
 
+@query
+def start_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stems from the 50th on, to go on with an interrupted run."""
+    return skip_first(pairs.last_by_stem(views.images(spark, sf_dir, "bg")).select("stem"), "stem", 50)
+
+
 @query
 def prompt_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One fixed prompt beside every pair: a single row, so it is broadcast."""
@@ -387,6 +394,14 @@ def bce_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("id", rounded(F.col("plain")).alias("plain"), rounded(F.col("weighted")).alias("weighted"))
 
 
+@query
+def zip_shorter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of a sample beside scores of another length, as far as both go."""
+    b = views.boxes(spark, sf_dir).groupBy("sample").agg(F.sort_array(F.collect_list(F.when(F.col("kind") == "diff", F.col("pos")))).alias("d"), F.sort_array(F.collect_list(F.when(F.col("kind") != "diff", F.col("pos")))).alias("s"))
+    z = b.select("sample", F.posexplode(px.zip_shorter(F.col("d"), F.col("s"))).alias("place", "z"))
+    return with_new_columns(z.select("sample", F.col("place").cast("long").alias("place"), F.col("z.a").alias("a"), F.col("z.b").alias("b")), {"gap": F.col("b") - F.col("a")})
+
+
 @query
 def feature_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_pairs(spark, sf_dir).select("id", F.concat("a", "b").alias("x")).select("id", F.size("x").cast("long").alias("n"), rounded(F.get("x", F.lit(64))).alias("middle"))

@@ -65,6 +65,8 @@ def test_render():
     assert render.render([["a", 1], [render.SEPARATOR, ""], ["b", 2]], fmt="outline").count("+---+---+") == 2
     assert render.render([["x"]], fmt="no such format") == render.render([["x"]])
     assert render.render([[1, "a\nb"]], fmt="grid").splitlines()[2] == "|   | b |"
+    assert render.render([["x", "a\nb\nc"]], fmt="plain", row_align="bottom").splitlines()[2].startswith("x")
+    assert render.render([["x", "a\nb\nc"]], fmt="plain", row_align="center").splitlines()[1].startswith("x")
     for name in render.FORMATS:
         assert "spam" in render.render([*ROWS, [None, None]], ["strings", "numbers"], name)
         render.render([], ["a"], name)

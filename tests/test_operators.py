@@ -171,6 +171,17 @@ def test_stream(spark, tmp_path):
     assert {(r.bg, r.shot) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1.0, 2.0), (4.0, 3.0)}
 
 
+def test_columns_and_names(spark):
+    import pairloom
+    from pairloom.operators.columns import transformed, with_new_columns
+
+    df = spark.range(2)
+    with pytest.raises(ValueError, match="id"):
+        with_new_columns(df, {"id": F.lit(1)})
+    assert transformed(df).columns == ["id"] and transformed(df, lambda d: d.withColumn("x", F.lit(1))).columns == ["id", "x"]
+    assert all(callable(getattr(pairloom, n)) for n in pairloom.__all__)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
