@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="pairloom-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(made)
     return shared_dir(spark)
 
