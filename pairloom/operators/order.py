@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 RANGES, SAMPLE = 64, 2048
 
 
-def dense_index(df: DataFrame, key: str, *ties: str, to: str = "idx") -> DataFrame:
-    """Adds 0, 1, 2 ... in the order of key (never null), then ties.
+def dense_index(df: DataFrame, key: str, *ties: str, to: str = "idx", total: str | None = None) -> DataFrame:
+    """Adds 0, 1, 2 ... in the order of key (never null), then ties; total names a column for the number of rows.
 
     Rows are cut into ranges of the key at quantiles of a hash sample (a bounded number of keys), numbered in their
     range, and moved on by the number of rows of the ranges before. Ties should make rows unique.
@@ -20,6 +20,8 @@ def dense_index(df: DataFrame, key: str, *ties: str, to: str = "idx") -> DataFra
     bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array(F.lit(None).cast(df.schema[key].dataType))
     cut = df.withColumn("__range", F.size(F.filter(bounds, lambda b: b <= F.col(key))))
     before = cut.groupBy("__range").agg(F.count("*").alias("__n"))
+    if total:
+        before = before.withColumn(total, F.sum("__n").over(Window.partitionBy(F.lit(0))))
     before = before.withColumn("__before", F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).drop("__n")
     own = F.row_number().over(Window.partitionBy("__range").orderBy(key, *ties))
     return cut.join(before, "__range").withColumn(to, (own - 1 + F.col("__before")).cast("long")).drop("__range", "__before")
@@ -47,8 +49,8 @@ def worker_of(idx: Column, total: Column, workers: int) -> Column:
 
 def worker_shares(df: DataFrame, key: str, workers: int) -> DataFrame:
     """Adds worker: balanced contiguous shares in key order."""
-    total = df.agg(F.count("*").alias("__total"))
-    return dense_index(df, key).join(F.broadcast(total)).withColumn("worker", worker_of(F.col("idx"), F.col("__total"), workers)).drop("__total")
+    numbered = dense_index(df, key, total="__total")
+    return numbered.withColumn("worker", worker_of(F.col("idx"), F.col("__total"), workers)).drop("__total")
 
 
 def chunked(df: DataFrame, group: list[str], order: list[str | Column], size: int, drop_last: bool) -> DataFrame:

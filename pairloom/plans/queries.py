@@ -13,7 +13,7 @@ from ..functions import pixels as px
 from ..functions import raster
 from ..operators import batches, metrics, pairs
 from ..operators import boxes as box_operators
-from ..operators.columns import with_new_columns
+from ..operators.columns import beside_row, with_new_columns
 from ..operators.order import positional_join, skip_first, worker_shares
 from . import views
 
@@ -130,9 +130,9 @@ def start_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def prompt_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One fixed prompt beside every pair: a single row, so it is broadcast."""
+    """One fixed prompt, cached as a table of one row, beside every pair."""
     prompt = spark.range(1).select(F.lit("remove the object").alias("prompt"), F.array(F.lit(0.5), F.lit(-0.5)).alias("vector"))
-    return pairs.pair_by_stem(*_both(spark, sf_dir)).crossJoin(F.broadcast(prompt)).select("stem", "prompt", F.col("vector")[0].alias("first"))
+    return beside_row(pairs.pair_by_stem(*_both(spark, sf_dir)), prompt).select("stem", "prompt", F.col("vector")[0].alias("first"))
 
 
 @query
