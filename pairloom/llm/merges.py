@@ -15,6 +15,24 @@ from collections.abc import Callable
 END = "\U0010ffff"
 
 
+class Kept(dict):
+    """Answers by question, at most about `most` of them: when half are new, those unused since the last time go."""
+
+    def __init__(self, answer: Callable, most: int):
+        super().__init__()
+        self.answer, self.half, self.old = answer, max(1, most // 2), {}
+
+    def __missing__(self, question):
+        found = self.old.pop(question, None)
+        if found is None:
+            found = self.answer(question)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[question] = found
+        return found
+
+
 class Merges:
     """pieces: text to id (a text may end with END); rank(a, b): the smaller, the earlier two texts merge; None: never."""
 

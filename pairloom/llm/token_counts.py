@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_arrow, text_of, tokenizer_path
-from .merges import END, Merges
+from .merges import END, Kept, Merges
 
 SPACE = regex.compile(r"\s+")
 
@@ -34,27 +34,11 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-class _Pieces(dict):
-    """Piece of text to its number of tokens; what is missing is walked, and kept up to a bound."""
-
-    def __init__(self, counter: PrefixCounter):
-        self.counter = counter
-
-    def __missing__(self, piece: str) -> int:
-        prefixes = self.counter.walk(piece)
-        if len(self) >= self.counter.most_pieces:
-            self.clear()
-            self.counter.prefixes.clear()
-        self.counter.prefixes[piece] = prefixes
-        self[piece] = prefixes[-1]
-        return prefixes[-1]
-
-
 class PrefixCounter:
-    def __init__(self, path: str, most_pieces: int = 600_000):
+    def __init__(self, path: str, most_pieces: int = 1_000_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        byte, mark, self.most_pieces = byte_letters(), spec["model"]["end_of_word_suffix"], most_pieces
+        byte, mark = byte_letters(), spec["model"]["end_of_word_suffix"]
 
         def plain(token: str) -> str:
             end = token.endswith(mark)
@@ -68,7 +52,9 @@ class PrefixCounter:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.split = regex.compile(" ?(?:" + split + ")")
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.pieces, self.prefixes = _Pieces(self), {}
+        # the counts of a piece's prefixes, and the last of them
+        self.prefixes = Kept(self._prefixes, most_pieces)
+        self.pieces = Kept(lambda piece: self.prefixes[piece][-1], most_pieces)
 
     @staticmethod
     def normal(text: str) -> str:
@@ -79,6 +65,10 @@ class PrefixCounter:
             text = text.replace("Σ", "σ")
         return text.lower()
 
+    def _prefixes(self, piece: str) -> bytes | list[int]:
+        counts = self.walk(piece)
+        return bytes(counts) if max(counts) < 256 else counts
+
     def walk(self, piece: str) -> list[int]:
         """The number of tokens of each prefix of a piece, by characters, the empty one included."""
         word = piece.removeprefix(" ")
