@@ -29,28 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import documents, map_arrow, text_of, tokenizer_path
-from .merges import Merges
+from .merges import Kept, Merges
 
 SPACE = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
-class _Words(dict):
-    """Word to its ids; missing ones are composed and searched, and kept up to a bound."""
-
-    def __init__(self, machine: PieceMachine):
-        self.machine = machine
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= self.machine.most_words:
-            self.clear()
-        found = self[word] = self.machine.shortest_path(word)
-        return found
-
-
 class PieceMachine:
-    def __init__(self, path: str, most_words: int = 600_000):
+    def __init__(self, path: str, most_words: int = 1_000_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -59,7 +46,7 @@ class PieceMachine:
         spec, kinds = model.normalizer_spec, [p.type for p in model.pieces]
         if model.trainer_spec.model_type != 2 or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or USER in kinds or UNUSED in kinds:
             raise ValueError("only BPE models with an identity normaliser are read")
-        self.prefix, self.most_words = SPACE if spec.add_dummy_prefix else "", most_words
+        self.prefix = SPACE if spec.add_dummy_prefix else ""
         texts = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         score = {p.piece: -p.score for p in model.pieces if p.type == NORMAL and len(p.piece) > 1}
         # characters outside the lexicon and bytes never merge
@@ -71,7 +58,7 @@ class PieceMachine:
         self.unknown = kinds.index(UNKNOWN)
         self.single = {t: i for t, i in texts.items() if len(t) == 1}
         self.output = [b"" if k in (CONTROL, UNKNOWN) else bytes([int(p.piece[1:-1], 16)]) if k == BYTE else p.piece.replace(SPACE, " ").encode() for p, k in zip(model.pieces, kinds, strict=True)]
-        self.words = _Words(self)
+        self.words = Kept(self.shortest_path, most_words)
         self.split = self._cuts([t for t in texts if len(t) > 1], set(self.single))
 
     @staticmethod
