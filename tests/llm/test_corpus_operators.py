@@ -277,3 +277,30 @@ def test_nearest(spark):
     assert nearest(none, none, Scratch(spark, "t")).count() == 0
     few = v.filter("vec_id < 5 or vec_id = 20")
     assert nearest(few, few.filter("vec_id % 20 = 0").dropDuplicates(["vec_id"]), Scratch(spark, "t")).count() == 10
+
+
+def check_nearest(spark, x, rows, least, **given):
+    """nearest over rows of ids into x, against brute force for every 20th id."""
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in rows], "vec_id long, embedding array<double>").repartition(4)
+    v = valid_vectors(df, "vec_id", "embedding")
+    by = defaultdict(dict)
+    for row in nearest(v, v.filter("vec_id % 20 = 0"), Scratch(spark, "t"), **given).collect():
+        by[row.query_id][row["rank"]] = row.vec_id
+    hits = 0
+    for q in range(0, len(x), 20):
+        assert sorted(by[q]) == list(range(1, 21)) and len(set(by[q].values())) == 20
+        s = np.round(x @ x[q], 9)
+        s[q] = -np.inf
+        # what scores as much as the 20th counts, whatever its id
+        hits += sum(s[i] >= np.sort(s)[-20] for i in by[q].values())
+    assert hits / (20 * len(by)) >= least
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_nearest_repeated_rows(spark):
+    r = np.random.default_rng(4)
+    x = unit(r.normal(size=(12, 16))[r.integers(0, 12, 1500)] + 0.4 * r.normal(size=(1500, 16)))
+    check_nearest(spark, x, [*range(1500), *range(1500), *[41] * 400], 0.9, list_rows=100, shard_rows=150)
