@@ -1,11 +1,15 @@
-"""Approximate nearest neighbours by largest inner product: balanced posting lists under an in-memory centroid graph.
+"""Approximate nearest neighbours by largest inner product: balanced posting lists under in-memory centroids.
 
 One more component, sqrt(longest^2 - |x|^2), makes the largest inner product the smallest distance. Centroids come
-from a bounded sample, halved again and again at the median between two means, so lists are balanced. Every vector is
-indexed: in the list of its closest centroid and, near a boundary, in others whose distance is at most
-`replicate` times as large, unless a centroid already chosen is much closer to that centroid than the vector is. A query
-walks a neighbour graph of the centroids, and the lists whose distance is at most `ratio` times the smallest one are
-searched (distance-ratio pruning). Lists longer than `shard_rows` are cut by a hash of the id, and a query goes to all
+from the distinct vectors of a bounded sample, halved again and again at the median between two means, so lists are
+balanced; equal centroids are one. Every vector is indexed: in the list of its closest centroid and, near a boundary,
+in others whose distance is at most `replicate` times as large, unless a centroid already chosen is much closer to
+that centroid than the vector is. A query is compared with all centroids, and the lists whose distance is at most a
+ratio times the smallest one are searched (distance-ratio pruning), and more while these are home to fewer than `top`
+other vectors. The ratio is measured on the table itself: `probe` queries are answered exactly over all vectors, and it
+is the smallest one, `ratio` at least, whose lists hold `recall` of those answers. A smallest distance below the
+median one counts as the median one there, or a query on a centroid would have no list beside its own.
+Lists longer than `shard_rows` are cut by a hash of the id, and a query goes to all
 cuts, so no task holds an unbounded list, whatever share of the rows one vector has; queries stream past a list in
 batches. A first round searches the closest list and gives each query a bound; the second one returns only what
 reaches it. Scores are exact double inner products of the original vectors.
@@ -17,7 +21,6 @@ than most have. Rows that repeat an id count once. Ties go to the smaller id. An
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,9 +37,6 @@ EXTRA = 1e-9
 class Index:
     longest: float
     centroids: np.ndarray
-    graph: np.ndarray
-    #: The smallest centroid ids are not special: a walk starts at these, spread over all lists.
-    starts: np.ndarray
 
 
 def lifted(x: np.ndarray, longest: float) -> np.ndarray:
@@ -62,14 +62,12 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T))
 
 
-def build_index(sample: np.ndarray, longest: float, lists: int, degree: int = 24) -> Index:
-    c = balanced_centroids(lifted(sample, longest), lists)
-    near = np.argsort(distances(c, c), axis=1, kind="stable")[:, : degree + 1]
-    return Index(longest, c, near, np.unique(np.linspace(0, len(c) - 1, min(len(c), 16)).astype(int)))
+def build_index(sample: np.ndarray, longest: float, lists: int) -> Index:
+    return Index(longest, np.unique(balanced_centroids(lifted(np.unique(sample, axis=0), longest), lists), axis=0))
 
 
-def assign(x: np.ndarray, index: Index, replicate: float, most: int, spread: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) of the lists that hold each vector."""
+def assign(x: np.ndarray, index: Index, replicate: float, most: int, spread: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, list, whether it is the closest one) of the lists that hold each vector."""
     d = distances(lifted(x, index.longest), index.centroids)
     k = min(most, d.shape[1])
     near = np.argpartition(d, k - 1, axis=1)[:, :k] if k < d.shape[1] else np.tile(np.arange(k), (len(x), 1))
@@ -83,40 +81,54 @@ def assign(x: np.ndarray, index: Index, replicate: float, most: int, spread: flo
         for i in range(j):
             keep[:, j] &= ~(keep[:, i] & (between[near[:, i], near[:, j]] < dn[:, j] * spread))
     row, col = np.nonzero(keep)
-    return row, near[row, col]
-
-
-def walk(q: np.ndarray, index: Index, ratio: float, beam: int = 64) -> list[tuple[float, int]]:
-    """(distance, list) within ratio of the closest list found by a best-first walk over the graph, closest first."""
-    c, graph = index.centroids, index.graph
-    norm = float(np.sqrt((q * q).sum()))
-    at = np.append(q * (index.longest / norm), 0.0)
-    seen = np.zeros(len(c), bool)
-    found: list[tuple[float, int]] = []
-    heap: list[tuple[float, int]] = []
-    best = np.inf
-
-    def visit(ids: np.ndarray) -> None:
-        nonlocal best
-        seen[ids] = True
-        d = np.sqrt(((c[ids] - at) ** 2).sum(1))
-        for x, i in zip(d.tolist(), ids.tolist(), strict=True):
-            heapq.heappush(heap, (x, i))
-            found.append((x, i))
-            best = min(best, x)
-
-    visit(index.starts)
-    worst = np.inf
-    while heap:
-        d, i = heapq.heappop(heap)
-        if d > best * ratio and d > worst:
-            break
-        new = graph[i][~seen[graph[i]]]
-        if len(new):
-            visit(new)
-            if len(found) > beam:
-                worst = heapq.nsmallest(beam, found)[-1][0]
-    return sorted((d, i) for d, i in found if d <= best * ratio)
+    return row, near[row, col], col == 0
+
+
+def reach(q: np.ndarray, index: Index) -> np.ndarray:
+    """The distance of each query to each centroid."""
+    at = q * (index.longest / np.sqrt((q * q).sum(1)))[:, None]
+    return distances(np.column_stack([at, np.zeros(len(q))]), index.centroids)
+
+
+def searched(d: np.ndarray, homes: np.ndarray, ratio: float, typical: float, least: int) -> np.ndarray:
+    """The lists to search for a query at distances d, closest first; homes counts the vectors whose closest list it is."""
+    order = np.argsort(d, kind="stable")
+    within = int((d <= max(float(d.min()), typical) * ratio).sum())
+    enough = int(np.searchsorted(np.cumsum(homes[order]), least)) + 1
+    return order[: max(within, enough)]
+
+
+def true_nearest(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, top: int) -> pa.Table:
+    """(probe, v): the vectors that an exact search of the whole table finds for each of a bounded number of queries."""
+
+    def run(batches):
+        held_ids, held = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        for batch in batches:
+            own = batch.column("vec_id").to_numpy()
+            scores = q @ _matrix(batch.column("v")).T
+            scores[ids[:, None] == own[None, :]] = -np.inf
+            held_ids, held = np.concatenate([held_ids, np.broadcast_to(own, scores.shape)], 1), np.concatenate([held, scores], 1)
+            order = np.lexsort((held_ids, -held), axis=1)[:, :top]
+            held_ids, held = np.take_along_axis(held_ids, order, 1), np.take_along_axis(held, order, 1)
+        row, col = np.nonzero(np.isfinite(held))
+        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(held_ids[row, col]), pa.array(held[row, col])], names=["probe", "vec_id", "score"])
+
+    rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id"))
+    best = vectors.mapInArrow(run, "probe int, vec_id long, score double").withColumn("rank", rank).filter(F.col("rank") <= top)
+    return vectors.join(F.broadcast(best.select("probe", "vec_id")), "vec_id").select("probe", "v").toArrow()
+
+
+def measured(index: Index, q: np.ndarray, truth: pa.Table, alive: np.ndarray, recall: float, replicate: float, most: int) -> tuple[float, float]:
+    """(ratio, typical): the ratio whose lists hold `recall` of the true neighbours, and the median distance to the closest list."""
+    d = np.where(alive, reach(q, index), np.inf)
+    typical = float(np.median(d.min(1)))
+    if not truth.num_rows:
+        return 1.0, typical
+    probe = truth.column("probe").to_numpy()
+    row, own, _ = assign(_matrix(truth.column("v").combine_chunks()), index, replicate, most)
+    needed = np.full(len(probe), np.inf)
+    np.minimum.at(needed, row, d[probe[row], own] / np.maximum(np.maximum(d.min(1), typical), 1e-12)[probe[row]])
+    return float(np.quantile(needed, recall, method="higher")) * (1 + 1e-9), typical
 
 
 def valid_vectors(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -174,7 +186,7 @@ def _search(rows: DataFrame, top: int) -> DataFrame:
     return rows.repartition("list", "cut").sortWithinPartitions("list", "cut", "query").mapInArrow(run, FOUND)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, scratch: Scratch, top: int = 20, list_rows: int = 512, shard_rows: int = 4096, sample_rows: int = 16384, most_lists: int = 2048, replicate: float = 1.15, most_replicas: int = 4, ratio: float = 1.1) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, scratch: Scratch, top: int = 20, list_rows: int = 512, shard_rows: int = 4096, sample_rows: int = 16384, most_lists: int = 2048, replicate: float = 1.15, most_replicas: int = 4, ratio: float = 1.1, recall: float = 0.97, probe: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest of vectors (vec_id, v) for each of queries (vec_id, v), itself left out.
 
     Of rows that repeat an id, vectors and queries keep the same one: the least of the common length.
@@ -192,20 +204,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, scratch: Scratch, top: int =
 
     def post(batches):
         for batch in batches:
-            row, own = assign(_matrix(batch.column("v")), index, replicate, most_replicas)
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column("vec_id").take(pa.array(row)), batch.column("v").take(pa.array(row))], names=["list", "id", "v"])
-
-    posted = scratch.save(vectors.mapInArrow(post, "list int, id long, v array<double>"), "postings")
-    cuts = {r.list: -(-r.n // shard_rows) for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}  # most_lists rows
-    cut_of = np.array([cuts.get(i, 0) for i in range(len(index.centroids))], np.int32)
+            row, own, home = assign(_matrix(batch.column("v")), index, replicate, most_replicas)
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(home), batch.column("vec_id").take(pa.array(row)), batch.column("v").take(pa.array(row))], names=["list", "home", "id", "v"])
+
+    posted = scratch.save(vectors.mapInArrow(post, "list int, home boolean, id long, v array<double>"), "postings")
+    counts = {r.list: (r.n, r.homes) for r in posted.groupBy("list").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).collect()}  # most_lists rows
+    cut_of = np.array([-(-counts.get(i, (0, 0))[0] // shard_rows) for i in range(len(index.centroids))], np.int32)
+    homes = np.array([counts.get(i, (0, 0))[1] for i in range(len(index.centroids))], np.int64)
+    alive = cut_of > 0
+    tried = queries.orderBy(F.xxhash64(F.lit("probe"), "vec_id"), "vec_id").limit(probe).toArrow()
+    if not tried.num_rows:
+        return empty
+    asking = _matrix(tried.column("v").combine_chunks())
+    truth = true_nearest(vectors, tried.column("vec_id").to_numpy(), asking, top)
+    wide, typical = measured(index, asking, truth, alive, recall, replicate, most_replicas)
+    wide = max(ratio, wide)
     table = F.array(*[F.lit(int(c)) for c in cut_of])
     rows = posted.select("list", F.pmod(F.xxhash64("id"), F.element_at(table, F.col("list") + 1)).cast("int").alias("cut"), F.lit(False).alias("query"), "id", "v", F.lit(None).cast("double").alias("least"))
 
     def ask(batches):
         for batch in batches:
             row, to, cut, first = [], [], [], []
-            for i, q in enumerate(_matrix(batch.column("v"))):
-                for k, (_, own) in enumerate((d, x) for d, x in walk(q, index, ratio) if cut_of[x]):
+            for i, d in enumerate(np.where(alive, reach(_matrix(batch.column("v")), index), np.inf)):
+                for k, own in enumerate(searched(d, homes, wide, typical, top + 1).tolist()):
                     n = int(cut_of[own])
                     row += [i] * n
                     to += [own] * n

@@ -304,3 +304,11 @@ def test_nearest_repeated_rows(spark):
     r = np.random.default_rng(4)
     x = unit(r.normal(size=(12, 16))[r.integers(0, 12, 1500)] + 0.4 * r.normal(size=(1500, 16)))
     check_nearest(spark, x, [*range(1500), *range(1500), *[41] * 400], 0.9, list_rows=100, shard_rows=150)
+
+
+@pytest.mark.parametrize("n, hot, groups", [(2000, 0, 0), (12000, 0, 0), (12000, 4000, 0), (6000, 2000, 300)])
+def test_nearest_recall_by_size_and_hot_vector(spark, n, hot, groups):
+    r = np.random.default_rng(n + hot)
+    x = unit(r.normal(size=(groups, 32))[r.integers(0, groups, n)] + 0.3 * r.normal(size=(n, 32)) if groups else r.normal(size=(n, 32)))
+    x[r.permutation(n)[:hot]] = x[0]
+    check_nearest(spark, x, range(n), 0.93, list_rows=32, sample_rows=4096)
