@@ -209,7 +209,8 @@ def link_fingerprints(nodes: DataFrame, scratch: Scratch, most_bits: int = 3, sh
 def connect(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each component, for every node that is not it. Edges are (a, b).
 
-    Large-star and small-star rounds; hot nodes meet only sums (map-side combined) and skew-split joins.
+    Large-star and small-star rounds; hot nodes meet only sums (map-side combined) and skew-split joins. Raises if
+    `most_rounds` rounds don't settle the components, which would be split silently otherwise.
     """
     rows = scratch.save(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "round0")
     sign = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -229,6 +230,9 @@ def connect(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFr
         if after == before:
             break
         before = after
+    else:
+        if before[0]:
+            raise RuntimeError(f"components still changed after {most_rounds} rounds")
     return rows.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

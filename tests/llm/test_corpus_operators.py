@@ -120,6 +120,13 @@ def test_connect(spark):
     assert got == {x: want.top(x) for x in want.parent if want.top(x) != x}
 
 
+def test_connect_raises_when_rounds_run_out(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    with pytest.raises(RuntimeError, match="still changed"):
+        connect(path, Scratch(spark, "t"), most_rounds=2)
+    assert connect(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), most_rounds=1).count() == 0
+
+
 # --- repeats --------------------------------------------------------------------------------------------------------
 
 
