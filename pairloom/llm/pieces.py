@@ -1,12 +1,12 @@
-"""SentencePiece encoding and decoding by weighted finite-state transduction.
-
-Three machines are compiled from the model file: the normaliser (a leading space, spaces written as the piece space),
-the lexicon (a trie over characters whose ends emit pieces) and byte fallback (a character outside the lexicon emits
-its bytes' pieces). Composed with an input they give a lattice whose states are a position and the piece that ends
-there; an arc to the next piece weighs 0 where the two pieces stand beside each other under the model's merge order
-and infinity where merging would join them (merges.py). The tropical-semiring shortest path of that lattice is the
-model's encoding: one finite path exists for every input, so each position keeps one state. Cuts between two
-characters that no piece holds side by side are exact, so an input is composed word by word, and distinct words once.
+"""SentencePiece encoding and decoding by the merge automaton shared with op4.
+
+No transducers are built or composed. The normaliser is identity but for a leading space and spaces written as the
+piece space, done by string replacement; a character outside the lexicon emits its bytes' pieces from a table; and
+what is left is encoded by prefix dynamic programming over the model's merges (merges.py), where two pieces may stand
+beside each other if merging would not join them. That leaves one encoding for every input, so the shortest path
+through a lattice of weighted arcs would be the same one. Cuts between two characters that no piece holds side by side
+are exact, so an input is encoded word by word, and distinct words once. Models with a compiled normaliser or user
+pieces raise.
 
 Decoding concatenates pieces and bytes, writes spaces back and takes the leading one away; ids that are no text
 (unknown, control) decode to nothing, bytes that are no UTF-8 to the replacement character. encode then decode gives
