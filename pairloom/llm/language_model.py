@@ -11,7 +11,8 @@ a proper distribution. L depends on the size class of c(v) and maximises the lik
 with each pair's own occurrence left out; a histogram of (size class, ratio of the two terms) is all that needs.
 The end of a text is a token, and the context of a text's first word.
 
-Trie. A block holds the words and pairs it asks about, seen in training, in two levels written to a file and memory
+Trie. Each is a block's own copy of joined counts; none of the whole corpus is built, and the lookup adds nothing to
+the join. A block holds the words and pairs it asks about, seen in training, in two levels written to a file and memory
 mapped: words with quantised log10 u and L, monotone Elias-Fano pointers to their successors; successors by word rank
 relative to their context, made monotone by the context's rank and Elias-Fano coded, with quantised log10 p. A pair is
 found by a successor search between its context's pointers. Quantising to STEPS steps of 20 / 65535 moves a token's
