@@ -1,22 +1,31 @@
-"""Approximate nearest neighbours by largest inner product: balanced posting lists under in-memory centroids.
-
-One more component, sqrt(longest^2 - |x|^2), makes the largest inner product the smallest distance. Centroids come
-from the distinct vectors of a bounded sample, halved again and again at the median between two means, so lists are
-balanced; equal centroids are one. Every vector is indexed: in the list of its closest centroid and, near a boundary,
-in others whose distance is at most `replicate` times as large, unless a centroid already chosen is much closer to
-that centroid than the vector is. A query is compared with all centroids, and the lists whose distance is at most a
-ratio times the smallest one are searched (distance-ratio pruning), and more while these are home to fewer than `top`
-other vectors. The ratio is measured on the table itself: `probe` queries are answered exactly over all vectors, and it
-is the smallest one, `ratio` at least, whose lists hold `recall` of those answers. A smallest distance below the
-median one counts as the median one there, or a query on a centroid would have no list beside its own.
-Lists longer than `shard_rows` are cut by a hash of the id, and a query goes to all
-cuts, so no task holds an unbounded list, whatever share of the rows one vector has; queries stream past a list in
-batches. A first round searches the closest list and gives each query a bound; the second one returns only what
-reaches it. Scores are exact double inner products of the original vectors.
-
-Bounds (parameters): `sample_rows` vectors are fitted on, at most `most_lists` centroids are broadcast. Vectors that
-are null, zero or hold null or non-finite components take no part, nor do vectors without an id or of another length
-than most have. Rows that repeat an id count once. Ties go to the smaller id. An empty table gives an empty result.
+"""Approximate nearest neighbours by largest inner product: balanced posting lists under an in-memory centroid graph.
+
+Vectors are dealt to bands by norm, each half as long as the one before. In a band one more component,
+sqrt(longest^2 - |x|^2), makes the largest inner product the smallest distance. Centroids come from the distinct vectors
+of a bounded sample, halved again and again at the median between two means, so lists are balanced; equal centroids are
+one. There are as many as the table has rows for, `list_rows` each. Every vector is indexed: in the list of its closest
+centroid and, near a boundary, in others whose distance is at most `replicate` times as large, unless a centroid
+already chosen is much closer to that centroid than the vector is.
+
+A query walks a band's graph of centroids (each linked both ways with its nearest ones and with its neighbours in the
+tree, so all are connected) from spread entries, and goes on as long as it finds centroids within the pruning limit or
+among its closest. Lists whose distance is at most a ratio times the smallest one are searched (distance-ratio
+pruning), and more while these are home to fewer than `top` other vectors. The ratios are measured on the table itself:
+`probe` queries are answered exactly over all vectors, and a band's ratio is the smallest one whose lists, as the walk
+finds them, hold `recall` of those answers. A smallest distance below the median one counts as the median one there, or
+a query on a centroid would have no list beside its own. Lists whose longest vector can't reach what `top` of the
+`anchors` longest vectors of the table reach are left out, which loses nothing.
+
+Lists that are neighbours in the tree share a shard of about `shard_rows` postings; a longer list is cut by a hash of
+the id into shards of its own, and a query goes to all of them, so no task holds an unbounded list, whatever share of
+the rows one vector has. A query is sent once to a shard, with the numbers of its lists there, and compared with those
+lists only. Scores are exact double inner products of the original vectors; `scanned` is how many postings a query was
+compared with.
+
+Bounds (parameters): at most `most_lists` centroids with their graph are broadcast, fitted on `fit_rows` vectors a list
+(`sample_rows` at most); beyond, lists grow longer and are cut. Vectors that are null, zero or hold null or non-finite
+components take no part, nor do vectors without an id or of another length than most have. Rows that repeat an id
+count once. Ties go to the smaller id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,16 +36,43 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import Scratch
 
 EXTRA = 1e-9
+#: Numbers held at once in tables of distances.
+CELLS = 1 << 22
 
 
 @dataclass(frozen=True)
-class Index:
+class Band:
+    """The lists of vectors whose norms are alike."""
+
+    #: No vector of the band is longer.
     longest: float
+    #: The number of its first list.
+    first: int
+    #: In the order of the tree's leaves.
     centroids: np.ndarray
+    #: The graph: the neighbours of centroid i are links[starts[i] : starts[i + 1]].
+    starts: np.ndarray
+    links: np.ndarray
+
+
+@dataclass(frozen=True)
+class Index:
+    """Bands, the longest vectors first; each halves the norm of the one before."""
+
+    bands: tuple[Band, ...]
+
+    @property
+    def lists(self) -> int:
+        return self.bands[-1].first + len(self.bands[-1].centroids)
+
+    def band_of(self, norm: np.ndarray) -> np.ndarray:
+        low = np.array([b.longest for b in self.bands[1:]])
+        return (norm[:, None] <= low[None, :] * (1 + 1e-12)).sum(1)
 
 
 def lifted(x: np.ndarray, longest: float) -> np.ndarray:
@@ -62,40 +98,151 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T))
 
 
-def build_index(sample: np.ndarray, longest: float, lists: int) -> Index:
-    return Index(longest, np.unique(balanced_centroids(lifted(np.unique(sample, axis=0), longest), lists), axis=0))
+def pieces_of(n: int, width: int):
+    """Slices of n rows such that a table of `width` numbers a row stays within CELLS."""
+    step = max(1, CELLS // max(1, width))
+    return (slice(i, i + step) for i in range(0, n, step))
+
+
+def linked(c: np.ndarray, near: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """The graph over centroids: links both ways to the nearest ones, and to the next one in the tree."""
+    n = len(c)
+    k = min(near + 1, n)
+    a, b = [np.arange(n - 1)], [np.arange(1, n)]
+    for s in pieces_of(n, n):
+        d = distances(c[s], c)
+        found = np.argpartition(d, k - 1, axis=1)[:, :k]
+        a.append(np.repeat(np.arange(n)[s], k))
+        b.append(found.ravel())
+    a, b = np.concatenate(a), np.concatenate(b)
+    key = np.unique(np.concatenate([a * n + b, b * n + a])[np.concatenate([a != b, a != b])])
+    return np.searchsorted(key, np.arange(n + 1) * n), key % n
+
+
+def build_index(sample: np.ndarray, longest: float, lists: int, bands: int = 8) -> Index:
+    """Lists are dealt to the bands by their vectors in the sample."""
+    sample = np.unique(sample, axis=0)
+    norm = np.sqrt((sample * sample).sum(1))
+    level = np.clip(np.ceil(np.log2(longest / norm) - 1e-9).astype(int) - 1, 0, bands - 1)
+    found, first = [], 0
+    for k in np.unique(level):
+        own = sample[level == k]
+        top = longest / 2**k
+        c = balanced_centroids(lifted(own, top), max(1, round(lists * len(own) / len(sample))))
+        c = c[np.sort(np.unique(c, axis=0, return_index=True)[1])]
+        found.append(Band(top, first, c, *linked(c)))
+        first += len(c)
+    return Index(tuple(found))
 
 
 def assign(x: np.ndarray, index: Index, replicate: float, most: int, spread: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, list, whether it is the closest one) of the lists that hold each vector."""
-    d = distances(lifted(x, index.longest), index.centroids)
-    k = min(most, d.shape[1])
-    near = np.argpartition(d, k - 1, axis=1)[:, :k] if k < d.shape[1] else np.tile(np.arange(k), (len(x), 1))
-    dn = np.take_along_axis(d, near, 1)
-    order = np.lexsort((near, dn), axis=1)
-    near, dn = np.take_along_axis(near, order, 1), np.take_along_axis(dn, order, 1)
-    keep = dn <= dn[:, :1] * replicate + 1e-12
-    keep[:, 0] = True
-    between = distances(index.centroids, index.centroids)
-    for j in range(1, k):
-        for i in range(j):
-            keep[:, j] &= ~(keep[:, i] & (between[near[:, i], near[:, j]] < dn[:, j] * spread))
-    row, col = np.nonzero(keep)
-    return row, near[row, col], col == 0
-
-
-def reach(q: np.ndarray, index: Index) -> np.ndarray:
-    """The distance of each query to each centroid."""
-    at = q * (index.longest / np.sqrt((q * q).sum(1)))[:, None]
-    return distances(np.column_stack([at, np.zeros(len(q))]), index.centroids)
-
-
-def searched(d: np.ndarray, homes: np.ndarray, ratio: float, typical: float, least: int) -> np.ndarray:
-    """The lists to search for a query at distances d, closest first; homes counts the vectors whose closest list it is."""
-    order = np.argsort(d, kind="stable")
-    within = int((d <= max(float(d.min()), typical) * ratio).sum())
-    enough = int(np.searchsorted(np.cumsum(homes[order]), least)) + 1
-    return order[: max(within, enough)]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    level = index.band_of(np.sqrt((x * x).sum(1)))
+    for number, band in enumerate(index.bands):
+        c, rows = band.centroids, np.flatnonzero(level == number)
+        k = min(most, len(c))
+        for s in pieces_of(len(rows), len(c)):
+            d = distances(lifted(x[rows[s]], band.longest), c)
+            near = np.argpartition(d, k - 1, axis=1)[:, :k] if k < d.shape[1] else np.tile(np.arange(k), (len(d), 1))
+            dn = np.take_along_axis(d, near, 1)
+            order = np.lexsort((near, dn), axis=1)
+            near, dn = np.take_along_axis(near, order, 1), np.take_along_axis(dn, order, 1)
+            keep = dn <= dn[:, :1] * replicate + 1e-12
+            keep[:, 0] = True
+            for j in range(1, k):
+                for i in range(j):
+                    apart = np.sqrt(((c[near[:, i]] - c[near[:, j]]) ** 2).sum(1))
+                    keep[:, j] &= ~(keep[:, i] & (apart < dn[:, j] * spread))
+            row, col = np.nonzero(keep)
+            out.append((rows[s][row], near[row, col] + band.first, col == 0))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+
+def query_points(q: np.ndarray, band: Band) -> np.ndarray:
+    """Queries as points among the lifted vectors of a band."""
+    at = q * (band.longest / np.sqrt((q * q).sum(1)))[:, None]
+    return np.column_stack([at, np.zeros(len(q))])
+
+
+def walk(points: np.ndarray, band: Band, ratio: float, typical: float, beam: int = 64, entries: int = 32) -> np.ndarray:
+    """Distances of query points to the centroids that a walk over the graph meets, infinite for the others.
+
+    A walk goes on from every centroid within the pruning limit of the closest one so far, or among its `beam` closest.
+    """
+    c, n = band.centroids, len(band.centroids)
+    d, done = np.full((len(points), n), np.inf), np.zeros((len(points), n), bool)
+    first = np.unique(np.linspace(0, n - 1, min(entries, n)).astype(np.int64))
+    row, to = np.repeat(np.arange(len(points)), len(first)), np.tile(first, len(points))
+    degree = np.diff(band.starts)
+    while len(row):
+        for s in pieces_of(len(row), c.shape[1]):
+            d[row[s], to[s]] = np.sqrt(((points[row[s]] - c[to[s]]) ** 2).sum(1))
+        limit = np.maximum(d.min(1), typical) * ratio
+        if beam < n:
+            limit = np.maximum(limit, np.partition(d, beam - 1, axis=1)[:, beam - 1])
+        more = (d <= limit[:, None]) & ~done & np.isfinite(d)
+        done |= more
+        a, b = np.nonzero(more)
+        each = degree[b]
+        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(band.starts[b], each)
+        key = np.unique(np.repeat(a, each) * n + band.links[place])
+        row, to = key // n, key % n
+        new = np.isinf(d[row, to])
+        row, to = row[new], to[new]
+    return d
+
+
+@dataclass(frozen=True)
+class Lists:
+    """What is known of the posting lists of a table, by list; and of its bands, by band."""
+
+    counts: np.ndarray
+    #: Vectors whose closest list it is.
+    homes: np.ndarray
+    #: The norm of the longest vector.
+    norms: np.ndarray
+    #: Distance ratio and median distance to the closest list, for each band.
+    ratio: np.ndarray
+    typical: np.ndarray
+
+
+def chosen(q: np.ndarray, floor: np.ndarray, index: Index, lists: Lists, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list): the lists to search. No vector of a list whose norms are below floor / |q| can be an answer."""
+    alive, norm = lists.counts > 0, np.sqrt((q * q).sum(1))
+    out = []
+    for s in pieces_of(len(q), 2 * index.lists):
+        reach = alive & (norm[s, None] * lists.norms[None, :] * (1 + 1e-9) >= floor[s, None])
+        keep = np.zeros(reach.shape, bool)
+        for k, band in enumerate(index.bands):
+            at = slice(band.first, band.first + len(band.centroids))
+            some = np.flatnonzero(reach[:, at].any(1))
+            if len(some):
+                d = walk(query_points(q[s][some], band), band, lists.ratio[k], lists.typical[k])
+                limit = np.maximum(np.where(alive[at], d, np.inf).min(1), lists.typical[k]) * lists.ratio[k]
+                keep[some, at] = reach[some, at] & (d <= limit[:, None])
+        for i in np.flatnonzero(keep @ lists.homes < least):
+            # too few vectors: the closest lists, band by band, until there are enough
+            for band in index.bands:
+                at = np.arange(band.first, band.first + len(band.centroids))
+                at = at[alive[at] & ~keep[i, at]]
+                near = at[np.argsort(distances(query_points(q[s][i : i + 1], band), band.centroids[at - band.first])[0], kind="stable")]
+                have = int(lists.homes[keep[i]].sum())
+                keep[i, near[: int(np.searchsorted(np.cumsum(lists.homes[near]), least - have)) + 1]] = True
+                if lists.homes[keep[i]].sum() >= least:
+                    break
+        row, own = np.nonzero(keep)
+        out.append((row + s.start, own))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def floors(q: np.ndarray, ids: np.ndarray, anchors: np.ndarray, anchor_ids: np.ndarray, top: int) -> np.ndarray:
+    """A score that `top` vectors beside the query's own reach for certain: the top-th best of the anchors'."""
+    if len(anchors) <= top:
+        return np.full(len(q), -np.inf)
+    scores = np.where(ids[:, None] == anchor_ids[None, :], -np.inf, q @ anchors.T)
+    found = np.partition(scores, len(anchors) - top, axis=1)[:, len(anchors) - top]
+    return found - EXTRA * np.maximum(1.0, np.abs(found))
 
 
 def true_nearest(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, top: int) -> pa.Table:
@@ -118,132 +265,208 @@ def true_nearest(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, top: int) -
     return vectors.join(F.broadcast(best.select("probe", "vec_id")), "vec_id").select("probe", "v").toArrow()
 
 
-def measured(index: Index, q: np.ndarray, truth: pa.Table, alive: np.ndarray, recall: float, replicate: float, most: int) -> tuple[float, float]:
-    """(ratio, typical): the ratio whose lists hold `recall` of the true neighbours, and the median distance to the closest list."""
-    d = np.where(alive, reach(q, index), np.inf)
-    typical = float(np.median(d.min(1)))
-    if not truth.num_rows:
-        return 1.0, typical
+def measured(index: Index, q: np.ndarray, floor: np.ndarray, truth: pa.Table, lists: Lists, recall: float, replicate: float, most: int, least: int) -> Lists:
+    """lists with the ratio of each band whose lists hold `recall` of the true neighbours in it, and the median distance to the closest list."""
+    v = _matrix(truth.column("v").combine_chunks()) if truth.num_rows else np.zeros((0, q.shape[1]))
     probe = truth.column("probe").to_numpy()
-    row, own, _ = assign(_matrix(truth.column("v").combine_chunks()), index, replicate, most)
-    needed = np.full(len(probe), np.inf)
-    np.minimum.at(needed, row, d[probe[row], own] / np.maximum(np.maximum(d.min(1), typical), 1e-12)[probe[row]])
-    return float(np.quantile(needed, recall, method="higher")) * (1 + 1e-9), typical
+    row, own, _ = assign(v, index, replicate, most)
+    ratio, typical, widest = np.ones(len(index.bands)), np.zeros(len(index.bands)), np.ones(len(index.bands))
+    level = index.band_of(np.sqrt((v * v).sum(1)))
+    for k, band in enumerate(index.bands):
+        at = slice(band.first, band.first + len(band.centroids))
+        points = query_points(q, band)
+        d = np.concatenate([np.where(lists.counts[at] > 0, distances(points[s], band.centroids), np.inf) for s in pieces_of(len(q), len(band.centroids))])
+        near = d.min(1)
+        typical[k] = float(np.median(near)) if np.isfinite(near).all() else 0.0
+        needed, here = np.full(len(probe), np.inf), np.flatnonzero(level[row] == k)
+        base = np.maximum(np.maximum(near, typical[k]), 1e-12)[probe[row[here]]]
+        np.minimum.at(needed, row[here], d[probe[row[here]], own[here] - band.first] / base)
+        needed = needed[level == k]
+        if len(needed):
+            ratio[k] = max(1.0, float(np.quantile(needed, recall, method="higher")) * (1 + 1e-9))
+            widest[k] = max(1.0, float(needed.max()) * (1 + 1e-9))
+    while True:
+        lists = Lists(lists.counts, lists.homes, lists.norms, ratio, typical)
+        found = np.zeros((len(q), index.lists), bool)
+        found[chosen(q, floor, index, lists, least)] = True
+        hit = np.zeros(len(probe), bool)
+        np.logical_or.at(hit, row, found[probe[row], own])
+        # what the walk over the graph finds has to hold as much
+        if not len(probe) or hit.mean() >= recall - 1e-3 or (ratio >= widest).all():
+            return lists
+        ratio = np.minimum(ratio * 1.002, widest)
 
 
 def valid_vectors(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    v = F.col(embedding).cast("array<double>")
+    """vec_id and v of the rows that take part; single-precision components stay so until they are compared."""
+    single = df.schema[embedding].dataType == ArrayType(FloatType(), df.schema[embedding].dataType.containsNull)
+    v = F.col(f"`{embedding}`") if single else F.col(f"`{embedding}`").cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
+    return df.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: int, least: float, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids and exact scores of the best rows for one query."""
-    ok = np.flatnonzero((ids != own) & (scores >= least - EXTRA * max(1.0, abs(least)) if np.isfinite(least) else ids != own))
-    if len(ok) > top:
-        cut = np.partition(scores[ok], len(ok) - top)[len(ok) - top]
-        ok = ok[scores[ok] >= cut - EXTRA * max(1.0, abs(cut))]
-    exact = (x[ok] * q).sum(1)
-    order = np.lexsort((ids[ok], -exact))[:top]
-    return ids[ok][order], exact[order]
-
-
-SEARCH = "list int, cut int, query boolean, id long, v array<double>, least double"
-FOUND = "query_id long, vec_id long, score double"
-
-
-def _search(rows: DataFrame, top: int) -> DataFrame:
-    """rows as in SEARCH, the vectors of a cut of a list before its queries: the best of each cut for each query."""
-    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+def _best(scores: np.ndarray, at: np.ndarray, ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: int, top: int, replicas: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and exact scores of the best of the postings `at` for one query; an id may have several postings."""
+    ok = ids[at] != own
+    scores, at = scores[ok], at[ok]
+    if len(at) > top * replicas:
+        cut = np.partition(scores, len(at) - top * replicas)[len(at) - top * replicas]
+        near = scores >= cut - EXTRA * max(1.0, abs(cut))
+        at = at[near]
+    at = at[np.unique(ids[at], return_index=True)[1]]
+    exact = (x[at] * q).sum(1)
+    order = np.lexsort((ids[at], -exact))[:top]
+    return ids[at][order], exact[order]
+
+
+FOUND = "query_id long, vec_id long, score double, scanned long"
+FOUND_SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("scanned", pa.int64())])
+
+
+def _search(rows: DataFrame, top: int, replicas: int) -> DataFrame:
+    """rows (shard, list, lists, id, v): the postings of a shard by list, then its queries (list is null) with their
+    lists. The best of each shard for each query, and how many postings it was compared with (beside its first row)."""
+
+    def answers(piece: pa.RecordBatch, ids: np.ndarray, x: np.ndarray, edges: dict[int, tuple[int, int]]):
+        q, own = _matrix(piece.column("v")), piece.column("id").to_numpy()
+        lists = piece.column("lists")
+        each = np.diff(lists.offsets.to_numpy())
+        row, to = np.repeat(np.arange(len(q)), each), lists.flatten().to_numpy()
+        scores = np.full((len(q), len(ids)), -np.inf)
+        order = np.argsort(to, kind="stable")
+        row, to = row[order], to[order]
+        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(to)], strict=False):
+            low, high = edges.get(int(to[a]), (0, 0))
+            scores[row[a:b], low:high] = q[row[a:b]] @ x[low:high].T
+        out = [[], [], [], []]
+        for i, v in enumerate(q):
+            at = np.flatnonzero(scores[i] > -np.inf)
+            if len(at):
+                found, exact = _best(scores[i, at], at, ids, x, v, own[i], top, replicas)
+                out[0].append(np.full(len(found), own[i]))
+                out[1].append(found)
+                out[2].append(exact)
+                out[3].append(np.where(np.arange(len(found)) == 0, len(at), 0))
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z), f.type) for z, f in zip(out, FOUND_SCHEMA, strict=True)], schema=FOUND_SCHEMA)
 
     def run(batches):
         key, parts, held = None, [], None
         for batch in batches:
-            lists, cuts, asks = batch.column("list").to_numpy(), batch.column("cut").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False)
-            change = np.flatnonzero((lists[1:] != lists[:-1]) | (cuts[1:] != cuts[:-1]) | (asks[1:] != asks[:-1])) + 1
+            shards, asks = batch.column("shard").to_numpy(), np.asarray(batch.column("list").is_null())
+            change = np.flatnonzero((shards[1:] != shards[:-1]) | (asks[1:] != asks[:-1])) + 1
             for a, b in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows], strict=True):
-                piece, at = batch.slice(a, b - a), (lists[a], cuts[a])
-                if at != key:
-                    key, parts, held = at, [], None
+                piece = batch.slice(a, b - a)
+                if shards[a] != key:
+                    key, parts, held = shards[a], [], None
                 if not asks[a]:
-                    parts.append((piece.column("id").to_numpy(), _matrix(piece.column("v"))))
+                    parts.append((piece.column("id").to_numpy(), _matrix(piece.column("v")), piece.column("list").to_numpy()))
                     continue
                 if not parts:
                     continue
                 if held is None:
-                    held = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                ids, x = held
+                    ids, x, own = (np.concatenate(z) for z in zip(*parts, strict=True))
+                    lists, starts = np.unique(own, return_index=True)
+                    held = ids, x, dict(zip(lists.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(own)], strict=True), strict=True))
                 for start in range(0, piece.num_rows, 256):
-                    some = piece.slice(start, 256)
-                    q, own, least = _matrix(some.column("v")), some.column("id").to_numpy(), some.column("least").to_numpy()
-                    found = [_best(s, ids, x, v, o, t, top) for s, v, o, t in zip(q @ x.T, q, own, least, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, [len(f[0]) for f in found])), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], schema=out)
+                    yield from answers(piece.slice(start, 256), *held)
 
-    return rows.repartition("list", "cut").sortWithinPartitions("list", "cut", "query").mapInArrow(run, FOUND)
+    # nulls last: a shard's postings come before its queries
+    return rows.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_last("list")).select("shard", "list", "lists", "id", "v").mapInArrow(run, FOUND)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, scratch: Scratch, top: int = 20, list_rows: int = 512, shard_rows: int = 4096, sample_rows: int = 16384, most_lists: int = 2048, replicate: float = 1.15, most_replicas: int = 4, ratio: float = 1.1, recall: float = 0.97, probe: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score: the nearest of vectors (vec_id, v) for each of queries (vec_id, v), itself left out.
+def shards_of(counts: np.ndarray, shard_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shard, cuts) of each list: neighbours share a shard; a list longer than shard_rows has `cuts` shards from its own on."""
+    shard, cuts, at, held = np.zeros(len(counts), np.int32), np.maximum(1, -(-counts // shard_rows)).astype(np.int32), 0, 0
+    for i, n in enumerate(counts.tolist()):
+        if held and held + n > shard_rows:
+            at, held = at + 1, 0
+        shard[i] = at
+        if cuts[i] > 1:
+            at, held = at + int(cuts[i]), 0
+        else:
+            held += n
+    return shard, cuts
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, scratch: Scratch, top: int = 20, list_rows: int = 16, shard_rows: int = 8192, fit_rows: int = 16, sample_rows: int = 1 << 18, most_lists: int = 1 << 16, anchors: int = 1024, replicate: float = 1.01, most_replicas: int = 3, recall: float = 0.94, probe: int = 256) -> DataFrame:
+    """query_id, rank, vec_id, score and scanned: the nearest of vectors (vec_id, v) for each of queries (vec_id, v), itself left out.
 
     Of rows that repeat an id, vectors and queries keep the same one: the least of the common length.
     """
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shapes = vectors.groupBy(F.size("v").alias("dim")).agg(F.count_distinct("vec_id").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")).orderBy(F.desc("n"), F.desc("dim")).first()
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, scanned long")
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    shapes = vectors.groupBy(F.size("v").alias("dim")).agg(F.count_distinct("vec_id").alias("n"), F.max(square).alias("norm")).orderBy(F.desc("n"), F.desc("dim")).first()
     if shapes is None:
         return empty
     once = lambda df: df.filter(F.size("v") == shapes.dim).groupBy("vec_id").agg(F.min("v").alias("v"))
     vectors, queries = scratch.save(once(vectors), "vectors"), once(queries)
     lists = max(1, min(most_lists, round(shapes.n / list_rows)))
-    sample = vectors.orderBy(F.xxhash64(F.lit("centroids"), "vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()
-    index = build_index(_matrix(sample.column("v").combine_chunks()), float(np.sqrt(shapes.norm)), lists)
+    sample = vectors.orderBy(F.xxhash64(F.lit("centroids"), "vec_id"), "vec_id").limit(min(sample_rows, fit_rows * lists)).toArrow()
+    far = vectors.orderBy(square.desc(), "vec_id").limit(anchors).toArrow()
+    held, held_ids = _matrix(far.column("v").combine_chunks()), far.column("vec_id").to_numpy()
+    index = build_index(np.concatenate([_matrix(sample.column("v").combine_chunks()), held]), float(np.sqrt(shapes.norm)), lists)
 
-    def post(batches):
+    def count(batches):
+        seen, norms = np.zeros((2, index.lists), np.int64), np.zeros(index.lists)
         for batch in batches:
-            row, own, home = assign(_matrix(batch.column("v")), index, replicate, most_replicas)
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(home), batch.column("vec_id").take(pa.array(row)), batch.column("v").take(pa.array(row))], names=["list", "home", "id", "v"])
-
-    posted = scratch.save(vectors.mapInArrow(post, "list int, home boolean, id long, v array<double>"), "postings")
-    counts = {r.list: (r.n, r.homes) for r in posted.groupBy("list").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).collect()}  # most_lists rows
-    cut_of = np.array([-(-counts.get(i, (0, 0))[0] // shard_rows) for i in range(len(index.centroids))], np.int32)
-    homes = np.array([counts.get(i, (0, 0))[1] for i in range(len(index.centroids))], np.int64)
-    alive = cut_of > 0
+            x = _matrix(batch.column("v"))
+            row, own, home = assign(x, index, replicate, most_replicas)
+            seen[0] += np.bincount(own, minlength=index.lists)
+            seen[1] += np.bincount(own[home], minlength=index.lists)
+            np.maximum.at(norms, own, np.sqrt((x * x).sum(1))[row])
+        at = np.flatnonzero(seen[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[0, at]), pa.array(seen[1, at]), pa.array(norms[at])], names=["list", "n", "homes", "norm"])
+
+    counts, homes, norms = np.zeros(index.lists, np.int64), np.zeros(index.lists, np.int64), np.zeros(index.lists)
+    sums = vectors.mapInArrow(count, "list int, n long, homes long, norm double").groupBy("list").agg(F.sum("n").alias("n"), F.sum("homes").alias("homes"), F.max("norm").alias("norm"))
+    for r in sums.collect():  # most_lists rows
+        counts[r.list], homes[r.list], norms[r.list] = r.n, r.homes, r.norm
+    shard, cuts = shards_of(counts, shard_rows)
     tried = queries.orderBy(F.xxhash64(F.lit("probe"), "vec_id"), "vec_id").limit(probe).toArrow()
     if not tried.num_rows:
         return empty
-    asking = _matrix(tried.column("v").combine_chunks())
-    truth = true_nearest(vectors, tried.column("vec_id").to_numpy(), asking, top)
-    wide, typical = measured(index, asking, truth, alive, recall, replicate, most_replicas)
-    wide = max(ratio, wide)
-    table = F.array(*[F.lit(int(c)) for c in cut_of])
-    rows = posted.select("list", F.pmod(F.xxhash64("id"), F.element_at(table, F.col("list") + 1)).cast("int").alias("cut"), F.lit(False).alias("query"), "id", "v", F.lit(None).cast("double").alias("least"))
+    asking, asking_ids = _matrix(tried.column("v").combine_chunks()), tried.column("vec_id").to_numpy()
+    truth = true_nearest(vectors, asking_ids, asking, top)
+    known = measured(index, asking, floors(asking, asking_ids, held, held_ids, top), truth, Lists(counts, homes, norms, np.ones(0), np.ones(0)), recall, replicate, most_replicas, top + 1)
+    kind = vectors.schema["v"].dataType.simpleString()
+    ddl, names = f"shard int, list int, lists array<int>, id long, v {kind}", ["shard", "list", "lists", "id", "v"]
+
+    def post(batches):
+        for batch in batches:
+            row, own, _ = assign(_matrix(batch.column("v")), index, replicate, most_replicas)
+            ids = batch.column("vec_id").to_numpy()[row]
+            mixed = ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+            place = shard[own] + (mixed % cuts[own])
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(own.astype(np.int32)), pa.nulls(len(row), pa.list_(pa.int32())), pa.array(ids), batch.column("v").take(pa.array(row))], names=names)
 
     def ask(batches):
         for batch in batches:
-            row, to, cut, first = [], [], [], []
-            for i, d in enumerate(np.where(alive, reach(_matrix(batch.column("v")), index), np.inf)):
-                for k, own in enumerate(searched(d, homes, wide, typical, top + 1).tolist()):
-                    n = int(cut_of[own])
-                    row += [i] * n
-                    to += [own] * n
-                    cut += range(n)
-                    first += [k == 0] * n
-            row = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(cut, pa.int32()), pa.array(first, pa.bool_()), batch.column("vec_id").take(row), batch.column("v").take(row)], names=["list", "cut", "first", "id", "v"])
-
-    asked = scratch.save(queries.mapInArrow(ask, "list int, cut int, first boolean, id long, v array<double>"), "asked")
-    as_query = lambda df, least: df.select("list", "cut", F.lit(True).alias("query"), "id", "v", least.alias("least"))
-    close = scratch.save(_search(rows.unionByName(as_query(asked.filter("first"), F.lit(float("-inf")))), top), "close")
-    bounds = close.groupBy("query_id").agg(F.when(F.count("*") >= top, F.sort_array(F.collect_list("score"), asc=False)[top - 1]).alias("least"))
-    rest = asked.filter("not first").join(bounds, F.col("id") == F.col("query_id"), "left")
-    far = _search(rows.unionByName(as_query(rest, F.coalesce("least", F.lit(float("-inf"))))), top)
-    every = close.unionByName(far).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return every.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+            q = _matrix(batch.column("v"))
+            row, own = chosen(q, floors(q, batch.column("vec_id").to_numpy(), held, held_ids, top), index, known, top + 1)
+            # a list that is cut is asked for in each of its shards
+            each = cuts[own].astype(np.int64)
+            cut = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            row, own = np.repeat(row, each), np.repeat(own, each)
+            place = shard[own] + cut
+            order = np.lexsort((own, place, row))
+            row, own, place = row[order], own[order], place[order]
+            new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (place[1:] != place[:-1])]) if len(row) else np.zeros(0, np.int64)
+            taken = pa.ListArray.from_arrays(pa.array(np.append(new, len(own)).astype(np.int32)), pa.array(own.astype(np.int32)))
+            at = pa.array(row[new])
+            yield pa.RecordBatch.from_arrays([pa.array(place[new].astype(np.int32)), pa.nulls(len(new), pa.int32()), taken, batch.column("vec_id").take(at), batch.column("v").take(at)], names=names)
+
+    found = _search(vectors.mapInArrow(post, ddl).unionByName(queries.mapInArrow(ask, ddl)), top, most_replicas)
+    every = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("scanned").alias("scanned"))
+    own = Window.partitionBy("query_id")
+    ranked = every.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "vec_id"))).withColumn("scanned", F.sum("scanned").over(own))
+    return ranked.filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score", "scanned")
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

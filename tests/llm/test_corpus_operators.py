@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import Scratch
 from pairloom.llm.language_model import EliasFano, Trie, score_texts
 from pairloom.llm.mixing import mix_sources, take_copies
-from pairloom.llm.neighbours import nearest, valid_vectors
+from pairloom.llm.neighbours import build_index, distances, nearest, query_points, valid_vectors, walk
 from pairloom.llm.repeats import remove_repeats
 from pairloom.llm.simhash import Tree, connect, fingerprint, keep_one, link_shard, near_duplicates
 
@@ -319,3 +319,29 @@ def test_nearest_recall_by_size_and_hot_vector(spark, n, hot, groups):
     x = unit(r.normal(size=(groups, 32))[r.integers(0, groups, n)] + 0.3 * r.normal(size=(n, 32)) if groups else r.normal(size=(n, 32)))
     x[r.permutation(n)[:hot]] = x[0]
     check_nearest(spark, x, range(n), 0.93, list_rows=32, sample_rows=4096)
+
+
+@pytest.mark.parametrize("kind, most", [("norms", 0.25), ("groups", 0.1), ("even", 0.9)])
+def test_nearest_scans_part_of_the_table(spark, kind, most):
+    """Recall against brute force and the share of the table that a query is compared with, by the shape of the vectors."""
+    r = np.random.default_rng(11)
+    x = r.normal(size=(8000, 48))
+    if kind == "norms":
+        x *= np.exp(r.normal(size=(8000, 1)))
+    if kind == "groups":
+        x = r.normal(size=(200, 48))[r.integers(0, 200, 8000)] + 0.4 * r.normal(size=(8000, 48))
+    check_nearest(spark, x, range(8000), 0.9)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(8000)], "vec_id long, embedding array<double>")
+    v = valid_vectors(df, "vec_id", "embedding")
+    scanned = nearest(v, v.filter("vec_id % 20 = 0"), Scratch(spark, "t")).groupBy("query_id").agg(F.max("scanned").alias("n")).agg(F.avg("n"), F.count("*")).first()
+    assert scanned[1] == 400 and scanned[0] < most * 8000
+
+
+def test_walk_finds_what_all_distances_find():
+    r = np.random.default_rng(6)
+    x = r.normal(size=(3000, 16))
+    band = build_index(x, float(np.linalg.norm(x, axis=1).max()), 300).bands[0]
+    points = query_points(x[:200], band)
+    want, got = distances(points, band.centroids), walk(points, band, 1.2, 0.0)
+    near = want <= want.min(1)[:, None] * 1.2
+    assert np.isfinite(got[near]).mean() > 0.99 and np.allclose(got[np.isfinite(got)], want[np.isfinite(got)], atol=1e-6)
