@@ -51,9 +51,21 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of `names` that df does not have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        found = f"__{name}"
+        while found.lower() in taken:
+            found = f"_{found}"
+        taken.add(found.lower())
+        out.append(found)
+    return out
+
+
 def text_of(name: str = "text") -> Column:
     """The text, or an empty one for null."""
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
 def words_of(text: Column) -> Column:
