@@ -210,6 +210,48 @@ def test_mixing(spark, docs, empty):
     assert take_copies(df).count() == sum(x.copies for x in got) and take_copies(df).columns == df.columns
 
 
+
+def tilted_rates(sizes, target, limit=3.0):
+    """Plain bisection for min(limit, exp(lambda size)) whose words come to the target."""
+    x = np.array([s for s in sizes if s], float)
+    low, high = -60.0, math.log(limit)
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (x * np.minimum(limit, np.exp(mid * x))).sum() < target else (low, mid)
+    return lambda s: min(limit, math.exp(high * s)) if s else 0.0
+
+
+def test_rates_tilt_documents(spark):
+    r = random.Random(7)
+    rows = [(k, " ".join("w" * r.choice((1, 3, 20, 200))), s) for s, n in (("a", 300), ("b", 25), ("c", 150), ("d", 40), (None, 60)) for k in range(n)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sizes = defaultdict(list)
+    for _, t, s in rows:
+        sizes[s].append(len(words(t)))
+    want = {s: tilted_rates(v, brute_targets({k: sum(z) for k, z in sizes.items()})[s]) for s, v in sizes.items()}
+    assert len({round(x.rate, 6) for x in got if x.source == "a"}) > 3
+    for x in got:
+        assert x.rate == pytest.approx(want[x.source](x["size"]), rel=1e-5)
+        assert math.floor(x.rate + 1e-9) <= x.copies <= math.ceil(x.rate - 1e-9) or x.copies == round(x.rate)
+
+
+def test_mixing_raises_when_steps_run_out(spark):
+    from pairloom.llm.mixing import balance, token_targets
+
+    cells = spark.createDataFrame([("a", 5, 10), ("a", 900, 3), ("b", 7, 2)], "source string, size long, n long")
+    targets = token_targets(cells.select("source", (F.col("size") * F.col("n")).alias("size")))
+    with pytest.raises(RuntimeError, match="converged"):
+        balance(cells, targets, Scratch(spark, "t"), most_steps=1)
+
+
+def test_copies_with_clashing_names(spark, docs):
+    names = ("copies", "__key", "__number", "__hash", "__id", "__source", "__copy", "size", "target", "row")
+    df = docs.withColumns({c: F.lit(k) for k, c in enumerate(names)})
+    got = take_copies(df)
+    assert got.columns == df.columns and got.count() == mix_sources(docs).agg({"copies": "sum"}).first()[0]
+    assert all([r[c] for c in names] == list(range(len(names))) for r in got.collect())
+
+
 # --- language model -------------------------------------------------------------------------------------------------
 
 
