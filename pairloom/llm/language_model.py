@@ -1,32 +1,32 @@
-"""Language-model scores: an interpolated bigram model in Elias-Fano tries.
+"""Language-model scores: an interpolated bigram model in Elias-Fano tries, one for each shard of the contexts.
 
 Counting. Documents are packed into blocks (token ids over a block's own word list, compressed), which are written
-once. Each block sends its distinct words and word pairs with their counts in training documents, cut into shards by
-hash; a shard adds up what all blocks sent and answers each of them with the totals for what it asked about. So a pair
-is sent once a block however often it occurs, no key is hot, and nothing about the vocabulary goes to the driver but
-the two sums N and V.
-
-Model.  p(w | v) = L(v) c(v w) / c(v) + (1 - L(v)) u(w),   u(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
-a proper distribution. L depends on the size class of c(v) and maximises the likelihood of the training documents
-with each pair's own occurrence left out; a histogram of (size class, ratio of the two terms) is all that needs.
-The end of a text is a token, and the context of a text's first word.
-
-Trie. Each is a block's own copy of joined counts; none of the whole corpus is built, and the lookup adds nothing to
-the join. A block holds the words and pairs it asks about, seen in training, in two levels written to a file and memory
-mapped: words with quantised log10 u and L, monotone Elias-Fano pointers to their successors; successors by word rank
-relative to their context, made monotone by the context's rank and Elias-Fano coded, with quantised log10 p. A pair is
-found by a successor search between its context's pointers. Quantising to STEPS steps of 20 / 65535 moves a token's
-log10 by 0.00015 at most.
-
-Words and pairs are compared by 64-bit hashes in the pair counts, and by their bytes in the word counts. Nulls count
+once. A block sends its distinct words with their counts in training documents to shards by hash; these add up, answer
+each block, and give N, V and the hot words, those with more than a quarter of a shard's tokens (so at most four a
+shard). Then it sends its distinct pairs to shards by context; a hot context is cut by a hash of the next word, so no
+shard is larger than others whatever a word's share. A pair is sent once a block however often it occurs, and nothing
+about the vocabulary goes to the driver but N, V and the hot words.
+
+Model.  p(w | v) = g [max(0, c(v w) - D) / c(v) + D T(v) / c(v) u(w)] + (1 - g) u(w),   u(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
+absolute discounting, with T(v) the number of different words after v: a proper distribution. After a context not seen
+in training, u(w). Of the weights in GRID, g is the one under which all training tokens are likeliest, each with its own
+occurrence left out of the pair counts; documents are scored under all of them at once. The end of a text is a token,
+and the context of a text's first word.
+
+Trie. A shard builds one from its summed pairs (elias_fano.py): contexts by hash with a quantised log10 of the backoff
+weight D T / c and monotone pointers to their successors; successors relative to their context, with the quantised
+log10 of the discounted probability, all views of one memory map. It answers every block by a successor search between
+a context's pointers. With a `model_path` the tries are written as well, and any reader can map them again. Quantising
+to steps of 20 / 65535 moves a logarithm by 0.00015 at most.
+
+Contexts are compared by 48-bit and successors by 40-bit hashes, words by their bytes in the word counts. Nulls count
 as empty texts (their only token is the end); an id that is null is held out; repeated rows count as often as they
 are there; columns beside id and text are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -37,11 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents, held_out, text_of
+from .elias_fano import Trie, restored
 
 K = np.uint64(0x9E3779B97F4A7C15)
-STEPS, FLOOR = 65535, -20.0
-#: Bins of the histogram for L: size classes (powers of two) by ratios (log10 in tenths of FINE).
-CLASSES, FINE, RATIOS = 40, 20, 512
+#: The hash of the end of a text.
+END = np.uint64(0x5851F42D4C957F2D)
+BLOCK, WORDS, PAIRS, MODEL, SUMS = range(5)
+#: Weights of the bigram part to choose from.
+GRID = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.0)
 
 
 # --- bytes ----------------------------------------------------------------------------------------------------------
@@ -70,14 +73,66 @@ def hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(5)), np.uint64, len(words))
 
 
+def as_context(h: np.ndarray) -> np.ndarray:
+    return h >> np.uint64(64 - Trie.CONTEXT_BITS)
+
+
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * K
     return ((h >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int32)
 
 
-# --- blocks ---------------------------------------------------------------------------------------------------------
+def framed(*parts: bytes) -> bytes:
+    return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
+
+
+def unframed(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    sizes = np.frombuffer(data, np.int64, n, 8).tolist()
+    ends = np.cumsum([8 + 8 * n, *sizes]).tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+#: Rows of every step: a kind, a shard, a block and what they carry.
+ROW = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("data", pa.binary())])
+ROW_DDL = "kind int, shard int, block long, n long, v long, data binary"
+
+
+def _rows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """One batch a row: some are large."""
+    for row in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, ROW, strict=True)], schema=ROW)
+
+
+def each_row(df: DataFrame, f: Callable[[dict], Iterator[tuple]]) -> DataFrame:
+    return df.mapInArrow(lambda batches: _rows(out for batch in batches for i in range(batch.num_rows) for out in f(batch.slice(i, 1).to_pylist()[0])), ROW_DDL)
+
+
+def each_group(df: DataFrame, key: str, f: Callable[[list[dict]], Iterator], ddl: str = ROW_DDL, batches_of=_rows) -> DataFrame:
+    """f over the rows of each value of key, by kind and block. Ranges of the key, so tasks get as many values each."""
 
-BLOCK = pa.schema([("block", pa.int64()), ("tokens", pa.int64()), ("doc_id", pa.binary()), ("null_id", pa.binary()), ("held", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("n_words", pa.int64()), ("words", pa.binary())])
-BLOCK_DDL = "block long, tokens long, doc_id binary, null_id binary, held binary, sizes binary, ids binary, n_words long, words binary"
+    def run(batches):
+        def out():
+            at, held = None, []
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    if row[key] != at and held:
+                        yield from f(held)
+                        held = []
+                    at = row[key]
+                    held.append(row)
+            if held:
+                yield from f(held)
+
+        return batches_of(out())
+
+    # the number is given, so that few bytes of much work are not put into one task
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, key).sortWithinPartitions(key, "kind", "shard", "block").mapInArrow(run, ddl)
+
+
+# --- blocks ---------------------------------------------------------------------------------------------------------
 
 
 class _Ids(dict):
@@ -93,29 +148,32 @@ def _blocks(block_bytes: int):
         state = None
 
         def close():
-            ids, docs, null, held, parts, size = state
+            ids, docs, null, held, parts, _ = state
             flat = np.concatenate(parts)
             digest = xxhash.xxh64_intdigest(flat.tobytes() + np.array(docs, np.int64).tobytes() + b"\n".join(list(ids)[:1000]))
-            row = [np.uint64(digest).view(np.int64), len(flat), pack(np.array(docs, np.int64)), pack(np.array(null, np.uint8)), pack(np.array(held, np.uint8)), pack(np.array([len(p) for p in parts], np.uint32)), pack(flat), len(ids), join_words(list(ids))]
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, BLOCK, strict=True)], schema=BLOCK)
-
-        for batch in batches:
-            for text, doc, h in zip(batch.column("text").cast(pa.binary()), batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), strict=True):
-                if state is None:
-                    state = [_Ids(), [], [], [], [], 0]
-                text = text.as_py()
-                words = text.lower().split()
-                state[1].append(doc or 0)
-                state[2].append(doc is None)
-                state[3].append(h)
-                state[4].append(np.fromiter(map(state[0].__getitem__, words), np.uint32, len(words)))
-                state[4][-1] = np.append(state[4][-1], np.uint32(0))
-                state[5] += len(text)
-                if state[5] >= block_bytes:
-                    yield close()
-                    state = None
-        if state is not None:
-            yield close()
+            data = framed(pack(np.array(docs, np.int64)), pack(np.array(null, np.uint8)), pack(np.array(held, np.uint8)), pack(np.array([len(p) for p in parts], np.uint32)), pack(flat), join_words(list(ids)))
+            return BLOCK, -1, int(np.uint64(digest).view(np.int64)), len(flat), len(ids), data
+
+        def rows():
+            nonlocal state
+            for batch in batches:
+                for text, doc, h in zip(batch.column("text").cast(pa.binary()), batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), strict=True):
+                    if state is None:
+                        state = [_Ids(), [], [], [], [], 0]
+                    text = text.as_py()
+                    words = text.lower().split()
+                    state[1].append(doc or 0)
+                    state[2].append(doc is None)
+                    state[3].append(h)
+                    state[4].append(np.append(np.fromiter(map(state[0].__getitem__, words), np.uint32, len(words)), np.uint32(0)))
+                    state[5] += len(text)
+                    if state[5] >= block_bytes:
+                        yield close()
+                        state = None
+            if state is not None:
+                yield close()
+
+        return _rows(rows())
 
     return run
 
@@ -124,278 +182,226 @@ class Block:
     """An opened block: its documents, tokens, words and distinct pairs."""
 
     def __init__(self, row: dict):
-        self.block, self.ids, self.sizes = row["block"], unpack(row["ids"], np.uint32), unpack(row["sizes"], np.uint32)
-        self.docs, self.null, self.held = unpack(row["doc_id"], np.int64), unpack(row["null_id"], np.uint8) > 0, unpack(row["held"], np.uint8) > 0
-        self.words = split_words(row["words"], row["n_words"])
-        self.hashes = np.append(np.uint64(0x5851F42D4C957F2D), hashed(self.words))
+        docs, null, held, sizes, ids, words = unframed(row["data"])
+        self.block, self.ids, self.sizes = row["block"], unpack(ids, np.uint32), unpack(sizes, np.uint32)
+        self.docs, self.null, self.held = unpack(docs, np.int64), unpack(null, np.uint8) > 0, unpack(held, np.uint8) > 0
+        self.words = split_words(words, row["v"])
+        self.hashes = np.append(END, hashed(self.words))
         self.train = np.repeat(~self.held, self.sizes)
         self.before = np.append(np.uint32(0), self.ids[:-1])  # the last token of the text before is its end, id 0
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.ids[self.train], minlength=len(self.hashes))
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct pairs' hashes, sorted, and for each token the number of its pair."""
-        a = self.hashes[self.before]
-        a = (a ^ (a >> np.uint64(29))) * K
-        return np.unique(a + self.hashes[self.ids] * np.uint64(0xD1342543DE82EF95), return_inverse=True)
+    def word_shards(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words in the order of their shards, and the shards where they change hands. The end of a text counts in shard 0."""
+        own = shard_of(self.hashes, shards)
+        own[0] = 0
+        order = np.argsort(own, kind="stable")
+        return order, own[order]
+
+    def pairs(self, shards: int, hot: Hot) -> tuple[np.ndarray, ...]:
+        """For the distinct pairs, sorted by shard, context and word: shard, context, hash of the word, number of the
+        context; and for each token the place of its pair."""
+        n = np.uint64(len(self.hashes))
+        key, at = np.unique(self.before.astype(np.uint64) * n + self.ids, return_inverse=True)
+        first, second = (key // n).astype(np.int64), (key % n).astype(np.int64)
+        x, w = as_context(self.hashes[first]), self.hashes[second] >> np.uint64(64 - Trie.BITS)
+        shard = shard_of(x + hot.part(x, w) * K, shards)
+        order = np.lexsort((w, x, shard))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return shard[order], x[order], w[order], first[order], place[at]
+
+
+class Hot:
+    """Words whose contexts are cut: their hashes, sorted, counts and parts."""
+
+    def __init__(self, x: np.ndarray, count: np.ndarray, most: int):
+        self.x, self.count, self.parts = x, count, -(-count // most)
+        self.types = np.zeros(len(x), np.int64)
+
+    def at(self, x: np.ndarray) -> np.ndarray:
+        """The place of each hash among the hot words, -1 for others."""
+        if not len(self.x):
+            return np.full(len(x), -1)
+        place = np.minimum(np.searchsorted(self.x, x), len(self.x) - 1)
+        return np.where(self.x[place] == x, place, -1)
+
+    def part(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        at = self.at(x)
+        out = np.zeros(len(x), np.uint64)
+        cut = np.flatnonzero(at >= 0)
+        out[cut] = 1 + ((w[cut] * K) >> np.uint64(33)) % self.parts[at[cut]].astype(np.uint64)
+        return out
 
 
-MESSAGE = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n_words", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("pairs", pa.binary()), ("pair_counts", pa.binary())])
-MESSAGE_DDL = "shard int, block long, n_words long, words binary, counts binary, pairs binary, pair_counts binary"
+# --- words ----------------------------------------------------------------------------------------------------------
 
 
-def _messages(shards: int):
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row)
-                counts = b.counts()
-                pairs, at = b.pairs()
-                pair_counts = np.bincount(at[b.train], minlength=len(pairs)).astype(np.uint32)
-                own = shard_of(b.hashes[1:], shards)
-                edges = np.searchsorted(shard_of(pairs, shards), np.arange(shards + 1))
-                for s in range(shards):
-                    w = np.flatnonzero(own == s)
-                    # the end of a text is no word; the first shard counts it under an empty name
-                    words = [b""] * (s == 0) + [b.words[i] for i in w]
-                    c = np.append(counts[:1], counts[1:][w]) if s == 0 else counts[1:][w]
-                    p = slice(edges[s], edges[s + 1])
-                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip([s, b.block, len(words), join_words(words), pack(c.astype(np.uint32)), pack(pairs[p]), pack(pair_counts[p])], MESSAGE, strict=True)], schema=MESSAGE)
+def _word_messages(shards: int):
+    def run(row: dict):
+        b = Block(row)
+        counts = b.counts().astype(np.uint32)
+        order, own = b.word_shards(shards)
+        cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        for low, high in zip(cuts, np.r_[cuts[1:], len(own)], strict=True):
+            at = order[low:high]
+            # the end of a text is no word; it counts under an empty name
+            yield WORDS, int(own[low]), b.block, len(at), None, framed(join_words([b.words[i - 1] if i else b"" for i in at.tolist()]), pack(counts[at]))
 
     return run
 
 
-ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("counts", pa.binary()), ("pair_counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
-ANSWER_DDL = "block long, shard int, counts binary, pair_counts binary, n long, v long"
-
-
-def _totals(table: pa.Table) -> pa.Table:
-    """Adds up what the blocks sent to a shard, and answers each in the order it asked."""
-    rows = table.to_pylist()
-    total: dict[bytes, int] = {}
-    words = []
-    for r in rows:
-        words.append(split_words(r["words"], r["n_words"]))
-        for w, c in zip(words[-1], unpack(r["counts"], np.uint32).tolist(), strict=True):
-            total[w] = total.get(w, 0) + c
-    keys = [unpack(r["pairs"], np.uint64) for r in rows]
-    flat = np.concatenate(keys)
-    order = np.argsort(flat, kind="stable")
-    new = np.ones(len(flat), bool)
-    new[1:] = flat[order][1:] != flat[order][:-1]
-    group = np.empty(len(flat), np.int64)
-    group[order] = np.cumsum(new) - 1
-    sums = np.bincount(group, np.concatenate([unpack(r["pair_counts"], np.uint32) for r in rows]), new.sum()).astype(np.uint64)
-    out, at = [], 0
-    for i, r in enumerate(rows):
-        found = sums[group[at : at + len(keys[i])]]
-        at += len(keys[i])
-        out.append((r["block"], r["shard"], pack(np.fromiter(map(total.__getitem__, words[i]), np.uint64, len(words[i]))), pack(found), None, None))
-    out.append((None, rows[0]["shard"], None, None, sum(total.values()), sum(c > 0 for c in total.values())))
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), ANSWER, strict=True)], schema=ANSWER)
-
-
-# --- the trie -------------------------------------------------------------------------------------------------------
-
-
-def quantised(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint((log10 - FLOOR) * (STEPS / -FLOOR)), 0, STEPS).astype(np.uint16)
-
-
-def restored(q: np.ndarray) -> np.ndarray:
-    return q * (-FLOOR / STEPS) + FLOOR
-
-
-class EliasFano:
-    """A monotone sequence: lower bits side by side, upper bits as the places of ones. Arrays may be memory maps."""
-
-    @staticmethod
-    def encode(x: np.ndarray, universe: int) -> dict[str, np.ndarray]:
-        low_bits = max(0, int(universe // max(1, len(x))).bit_length() - 1)
-        upper = (x >> np.uint64(low_bits)).astype(np.int64)
-        bits = np.zeros(len(x) + (universe >> low_bits) + 1, np.uint8)
-        bits[upper + np.arange(len(x))] = 1
-        low = (x & np.uint64((1 << low_bits) - 1)).astype(np.uint64)
-        spread = ((low[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-        return {"low": np.packbits(spread.reshape(-1), bitorder="little"), "high": np.packbits(bits, bitorder="little"), "meta": np.array([len(x), low_bits], np.int64)}
-
-    def __init__(self, low: np.ndarray, high: np.ndarray, meta: np.ndarray):
-        self.n, self.low_bits = int(meta[0]), int(meta[1])
-        self.low = low
-        # the places of the ones, for selecting; ones before each byte would do with less memory and more time
-        self.ones = np.flatnonzero(np.unpackbits(np.asarray(high), bitorder="little")).astype(np.int64)
-
-    def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        i = np.asarray(i)
-        upper = (self.ones[i] - i).astype(np.uint64) << np.uint64(self.low_bits)
-        if not self.low_bits:
-            return upper
-        bit = i * self.low_bits
-        byte = bit >> 3
-        last = len(self.low) - 1
-        word = np.zeros(len(i), np.uint64)
-        for k in range((self.low_bits + 14) // 8):
-            word |= self.low[np.minimum(byte + k, last)].astype(np.uint64) << np.uint64(8 * k)
-        return upper | (word >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
-
-
-class Trie:
-    """Two memory-mapped levels: words, and the successors of each word."""
-
-    def __init__(self, folder: str, unigram: np.ndarray, weight: np.ndarray, context: np.ndarray, word: np.ndarray, log10: np.ndarray):
-        """unigram, weight (log10 of 1 - L) by word; the pairs sorted by context and word."""
-        n = len(unigram)
-        starts = np.searchsorted(context, np.arange(n + 1)).astype(np.uint64)
-        # successors are ranks relative to their context; its number times n makes the level monotone
-        levels = {"unigram": quantised(unigram), "weight": quantised(weight), "log10": quantised(log10)}
-        levels |= {f"pointers_{k}": v for k, v in EliasFano.encode(starts, len(context) + 1).items()}
-        levels |= {f"successors_{k}": v for k, v in EliasFano.encode(context.astype(np.uint64) * np.uint64(n) + word.astype(np.uint64), n * n + 1).items()}
-        handle, self.path = tempfile.mkstemp(suffix=".trie", dir=folder)
-        with os.fdopen(handle, "wb") as f:
-            at = {}
-            for k, v in levels.items():
-                at[k] = (f.tell(), v.dtype, v.shape)
-                f.write(np.ascontiguousarray(v).tobytes())
-                f.write(b"\0" * (-f.tell() % 8))
-        mapped = {k: np.memmap(self.path, t, "r", o, s) if s[0] else np.empty(0, t) for k, (o, t, s) in at.items()}
-        self.n, self.unigram, self.weight, self.log10 = n, mapped["unigram"], mapped["weight"], mapped["log10"]
-        self.pointers, self.successors = (EliasFano(mapped[f"{k}_low"], mapped[f"{k}_high"], mapped[f"{k}_meta"]) for k in ("pointers", "successors"))
-
-    def close(self) -> None:
-        os.unlink(self.path)
-
-    def score(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each word after the one before: the pair's own, or the backed-off one."""
-        low, end = self.pointers[before].astype(np.int64), self.pointers[before.astype(np.int64) + 1].astype(np.int64)
-        stop, wanted = end.copy(), before.astype(np.uint64) * np.uint64(self.n) + word.astype(np.uint64)
-        open_ = np.flatnonzero(low < end)
-        while len(open_):  # the first successor that isn't smaller, for all tokens at once
-            mid = (low[open_] + end[open_]) >> 1
-            less = self.successors[mid] < wanted[open_]
-            low[open_[less]] = mid[less] + 1
-            end[open_[~less]] = mid[~less]
-            open_ = open_[low[open_] < end[open_]]
-        out = restored(self.weight[before].astype(np.float64)) + restored(self.unigram[word].astype(np.float64))
-        inside = np.flatnonzero(low < stop)
-        hit = inside[self.successors[low[inside]] == wanted[inside]]
-        out[hit] = restored(self.log10[low[hit]].astype(np.float64))
-        return out
+def _word_totals(most: int):
+    def run(rows: list[dict]):
+        total: dict[bytes, int] = {}
+        for r in rows:
+            words, counts = unframed(r["data"])
+            for w, c in zip(split_words(words, r["n"]), unpack(counts, np.uint32).tolist(), strict=True):
+                total[w] = total.get(w, 0) + c
+        for r in rows:
+            words = split_words(unframed(r["data"])[0], r["n"])
+            yield WORDS, r["shard"], r["block"], len(words), None, pack(np.fromiter(map(total.__getitem__, words), np.uint64, len(words)))
+        hot = sorted(((int(END) if not w else xxhash.xxh64_intdigest(w, 5)) >> (64 - Trie.CONTEXT_BITS), c) for w, c in total.items() if c > most)
+        yield SUMS, rows[0]["shard"], 0, sum(total.values()), sum(c > 0 for c in total.values()), np.array(hot, np.uint64).tobytes()
 
-
-# --- scoring --------------------------------------------------------------------------------------------------------
-
-
-def _answered(b: Block, answers: list[dict], shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Training counts of a block's words (0 is the end) and pairs, and the number of each token's pair."""
-    counts = np.zeros(len(b.hashes), np.uint64)
-    own = shard_of(b.hashes[1:], shards)
-    pairs, at = b.pairs()
-    edges = np.searchsorted(shard_of(pairs, shards), np.arange(shards + 1))
-    pair_counts = np.zeros(len(pairs), np.uint64)
-    for a in answers:
-        s, c = a["shard"], unpack(a["counts"], np.uint64)
-        if s == 0:
-            counts[0], c = c[0], c[1:]
-        counts[1 + np.flatnonzero(own == s)] = c
-        pair_counts[edges[s] : edges[s + 1]] = unpack(a["pair_counts"], np.uint64)
-    return counts, pair_counts, at
+    return run
 
 
-def _classes(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(CLASSES - 1, np.ceil(np.log2(counts.astype(np.float64) + 1)).astype(np.int64))
+# --- pairs ----------------------------------------------------------------------------------------------------------
 
 
-def _unigram(counts: np.ndarray, n: int, v: int) -> np.ndarray:
-    return (counts.astype(np.float64) + 0.1) / (n + 0.1 * (v + 1))
+def _pair_messages(shards: int, hot: Hot):
+    def run(row: dict):
+        b = Block(row)
+        own, x, w, _, place = b.pairs(shards, hot)
+        counts = np.bincount(place[b.train], minlength=len(x)).astype(np.uint32)
+        cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        for low, high in zip(cuts, np.r_[cuts[1:], len(own)], strict=True):
+            at = np.flatnonzero(np.r_[True, x[low + 1 : high] != x[low : high - 1]])
+            yield PAIRS, int(own[low]), b.block, int(high - low), None, framed(pack(x[low:high][at]), pack(np.diff(np.append(at, high - low)).astype(np.uint32)), pack(w[low:high]), pack(counts[low:high]))
 
+    return run
 
-def _histogram(n: int, v: int, shards: int):
-    """How often a pair of training documents has which ratio of left-out pair term to unigram term, by size class."""
-    schema = pa.schema([("bin", pa.int32()), ("n", pa.int64())])
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        seen = np.zeros(CLASSES * RATIOS, np.int64)
-        for row in left.to_pylist():
-            b = Block(row)
-            counts, pair_counts, at = _answered(b, right.to_pylist(), shards)
-            u = _unigram(counts, n, v)
-            context, pair, word = b.before[b.train], at[b.train], b.ids[b.train]
-            c, cc = counts[context].astype(np.float64), pair_counts[pair].astype(np.float64)
-            ok = c > 1
-            c, cc, w, context = c[ok], cc[ok], word[ok], context[ok]
-            with np.errstate(divide="ignore"):
-                ratio = np.log10((cc - 1) / (c - 1) / u[w])
-            bin_ = np.clip(np.where(cc > 1, np.rint(np.nan_to_num(ratio, neginf=-9) * FINE) + 200, 0), 0, RATIOS - 1).astype(np.int64)
-            seen += np.bincount(_classes(counts[context]) * RATIOS + bin_, minlength=len(seen))
-        at = np.flatnonzero(seen)
-        return pa.Table.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], schema=schema)
+def _tries(discount: float, hot: Hot, keep: bool):
+    """Adds up the pairs of a shard, builds its trie and answers the blocks from it; keep: the trie is a row as well."""
+
+    def run(rows: list[dict]):
+        asked = []
+        for r in rows:
+            x, each, w, _ = unframed(r["data"])
+            asked.append((unpack(x, np.uint64), unpack(each, np.uint32).astype(np.int64), unpack(w, np.uint64)))
+        x, w = np.concatenate([np.repeat(a, n) for a, n, _ in asked]), np.concatenate([a for _, _, a in asked])
+        c = np.concatenate([unpack(unframed(r["data"])[3], np.uint32) for r in rows]).astype(np.int64)
+        seen = c > 0
+        x, w, c = x[seen], w[seen], c[seen]
+        order = np.lexsort((w, x))
+        x, w, c = x[order], w[order], c[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (w[1:] != w[:-1])
+        at = np.flatnonzero(new)
+        x, w, c = x[at], w[at], np.add.reduceat(c, at) if len(at) else c
+        first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+        contexts, starts = x[first], np.append(first, len(x))
+        types, total = np.diff(starts), np.add.reduceat(c, first) if len(first) else first
+        cut = hot.at(contexts)
+        # of a hot context only a part of the successors is here
+        total = np.where(cut >= 0, hot.count[cut] if len(hot.x) else 0, total)
+        log10 = np.log10((c - discount) / np.repeat(total, types))
+        with np.errstate(divide="ignore"):
+            backoff = np.log10(discount * types / total)
+        trie = Trie(buffer := Trie.build(contexts, starts, w, log10, backoff))
+        for r, (own, each, word) in zip(rows, asked, strict=True):
+            rank = trie.context(own)
+            weight = np.where(rank >= 0, trie.backoff[rank] if trie.contexts.n else 0, 0).astype(np.uint16)
+            yield PAIRS, r["shard"], r["block"], len(word), None, framed(pack(trie.find(np.repeat(rank, each), word)), pack(np.repeat(weight, each)))
+        if keep:
+            yield MODEL, rows[0]["shard"], 0, len(contexts), len(w), bytes(buffer)
+        known = np.flatnonzero(cut >= 0)
+        yield SUMS, rows[0]["shard"], 0, None, None, np.array([contexts[known], types[known].astype(np.uint64)]).T.tobytes()
 
     return run
 
 
-def fitted_weights(seen: np.ndarray) -> np.ndarray:
-    """L of each size class: the likeliest one for its ratios, by the expectation-maximisation steps of a mixture."""
-    ratio = np.append(0.0, 10 ** ((np.arange(1, RATIOS) - 200) / FINE))
-    out = np.zeros(CLASSES)
-    for k, row in enumerate(seen.reshape(CLASSES, RATIOS)):
-        if row.sum() < 1:
-            continue
-        x = 0.5
-        for _ in range(300):
-            x = float((row * (x * ratio / (x * ratio + 1 - x))).sum() / row.sum())
-            x = min(max(x, 0.0), 0.999)
-        out[k] = x
-    return out
-
-
-SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-SCORED_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-
-def _score(n: int, v: int, shards: int, weights: np.ndarray):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for row in left.to_pylist():
-            b = Block(row)
-            counts, pair_counts, at = _answered(b, right.to_pylist(), shards)
-            u = _unigram(counts, n, v)
-            weight = np.where(counts > 0, weights[_classes(counts)], 0.0)
-            # pairs seen in training, once each, by context and word
-            first = np.unique(at, return_index=True)[1]
-            first = first[pair_counts > 0]
-            context, word, c = b.before[first].astype(np.int64), b.ids[first].astype(np.int64), pair_counts[at[first]].astype(np.float64)
-            order = np.lexsort((word, context))
-            context, word, c = context[order], word[order], c[order]
-            p = weight[context] * c / np.maximum(1.0, counts[context]) + (1 - weight[context]) * u[word]
-            trie = Trie(tempfile.gettempdir(), np.log10(u), np.log10(1 - weight), context, word, np.log10(p))
-            try:
-                score = np.concatenate([trie.score(b.before[i : i + (1 << 18)].astype(np.int64), b.ids[i : i + (1 << 18)].astype(np.int64)) for i in range(0, len(b.ids), 1 << 18)])
-            finally:
-                trie.close()
-            starts = np.cumsum(b.sizes) - b.sizes
-            total = lambda x: np.add.reduceat(x, starts.astype(np.int64))
-            columns = [pa.array(b.docs, mask=b.null), pa.array(b.held), pa.array(b.sizes.astype(np.int64)), pa.array(total((counts[b.ids] > 0).astype(np.int64))), pa.array(np.full(len(b.sizes), n)), pa.array(total(np.log10(u)[b.ids])), pa.array(total(score))]
-            out.append(pa.RecordBatch.from_arrays(columns, schema=SCORED))
-        return pa.Table.from_batches(out, schema=SCORED)
+# --- scores ---------------------------------------------------------------------------------------------------------
+
+#: A row a document, with its score under each weight; a row without `scores` has the training likelihoods of a block.
+SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("scores", pa.list_(pa.float64())), ("fit", pa.list_(pa.float64()))])
+SCORED_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, scores array<double>, fit array<double>"
+
+
+def _scores(n: int, v: int, word_shards: int, pair_shards: int, discount: float, hot: Hot):
+    def run(rows: list[dict]):
+        b = Block(next(r for r in rows if r["kind"] == BLOCK))
+        # both come by shard, as the block sent them
+        order, _ = b.word_shards(word_shards)
+        counts = np.zeros(len(b.hashes), np.uint64)
+        counts[order] = np.concatenate([unpack(r["data"], np.uint64) for r in rows if r["kind"] == WORDS])
+        found = [[unpack(p, np.uint16) for p in unframed(r["data"])] for r in rows if r["kind"] == PAIRS]
+        log10, weight = (np.concatenate(z) for z in zip(*found, strict=True))
+        _, x, _, context, place = b.pairs(pair_shards, hot)
+        u = (counts.astype(np.float64) + 0.1) / (n + 0.1 * (v + 1))
+        lower = np.where(weight > 0, 10 ** restored(weight.astype(np.float64)), 1.0)
+        at = hot.at(x)
+        cut = np.flatnonzero(at >= 0)
+        lower[cut] = discount * hot.types[at[cut]] / hot.count[at[cut]]
+        # a context without training counts has no weight of its own
+        lower[counts[context] == 0] = 1.0
+        own = np.where(log10 > 0, 10 ** restored(log10.astype(np.float64)), 0.0)
+        u_token = u[b.ids]
+        starts = (np.cumsum(b.sizes) - b.sizes).astype(np.int64)
+        total = lambda z: np.add.reduceat(z, starts)
+        # training tokens with their own occurrence left out: pair count c of a context's m, after T different words
+        m, once = counts[context].astype(np.float64), np.zeros(len(own), bool)
+        c = np.rint(own * m + discount * (own > 0))
+        once = c == 1
+        left = np.maximum(0.0, c - 1 - discount) / np.maximum(1.0, m - 1)
+        rest = np.where(m > 1, (lower * m - discount * once) / np.maximum(1.0, m - 1), 1.0)
+        at, u_train = place[b.train], u_token[b.train]
+        scores, fit = [], []
+        for g in GRID:
+            scores.append(total(np.log10(g * own[place] + (g * lower[place] + 1 - g) * u_token)))
+            fit.append(float(np.log10(g * left[at] + (g * rest[at] + 1 - g) * u_train).sum()))
+        flat = pa.array(np.stack(scores, axis=1).ravel())
+        scores = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(GRID)), pa.int32()), flat)
+        none = pa.nulls(len(b.sizes), SCORED.field("fit").type)
+        yield pa.RecordBatch.from_arrays([pa.array(b.docs, mask=b.null), pa.array(b.held), pa.array(b.sizes.astype(np.int64)), pa.array(total((counts[b.ids] > 0).astype(np.int64))), pa.array(np.full(len(b.sizes), n)), pa.array(total(np.log10(u)[b.ids])), scores, none], schema=SCORED)
+        yield pa.RecordBatch.from_pylist([{"fit": fit}], schema=SCORED)
 
     return run
 
 
-def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10, block_bytes: int = 12 << 20, shard_tokens: int = 6_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10, block_bytes: int = 8 << 20, shard_tokens: int = 1 << 20, discount: float = 0.75, model_path: str | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
+
+    model_path: a folder that gets the tries, as Parquet rows (shard, contexts, pairs, trie).
+    """
     scratch = Scratch(docs.sparkSession, "language-model")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id, folds).alias("held_out"), text_of(text).alias("text"))
-    packed = scratch.save(rows.mapInArrow(_blocks(block_bytes), BLOCK_DDL), "blocks")
-    shards = max(1, -(-int(packed.agg(F.sum("tokens")).first()[0] or 0) // shard_tokens))
-    answers = scratch.save(packed.mapInArrow(_messages(shards), MESSAGE_DDL).groupBy("shard").applyInArrow(_totals, ANSWER_DDL), "answers")
-    sums = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    n, v = int(sums.n or 0), int(sums.v or 0)
-    both = packed.groupBy("block").cogroup(answers.filter("block is not null").groupBy("block"))
-    seen = np.zeros(CLASSES * RATIOS)
-    for r in both.applyInArrow(_histogram(n, v, shards), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # CLASSES * RATIOS rows at most
-        seen[r.bin] = r.n
-    return both.applyInArrow(_score(n, v, shards, fitted_weights(seen)), SCORED_DDL)
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), held_out(doc_id, folds).alias("held_out"), text_of(text).alias("text"))
+    packed = scratch.save(rows.mapInArrow(_blocks(block_bytes), ROW_DDL), "blocks")
+    shards = max(1, -(-int(packed.agg(F.sum("n")).first()[0] or 0) // shard_tokens))
+    words = scratch.save(each_group(each_row(packed, _word_messages(shards)), "shard", _word_totals(shard_tokens // 4)), "words")
+    n = v = 0
+    hot = [np.zeros((0, 2), np.uint64)]
+    for r in words.filter(F.col("kind") == SUMS).toLocalIterator():  # a row a shard, at most four hot words each
+        n, v = n + r.n, v + r.v
+        hot.append(np.frombuffer(r.data, np.uint64).reshape(-1, 2))
+    hot = np.concatenate(hot)
+    hot = hot[np.argsort(hot[:, 0])]
+    hot = Hot(hot[:, 0], hot[:, 1].astype(np.int64), max(1, shard_tokens // 4))
+    model = scratch.save(each_group(each_row(packed, _pair_messages(shards, hot)), "shard", _tries(discount, hot, model_path is not None)), "model")
+    for r in model.filter(F.col("kind") == SUMS).select("data").toLocalIterator():  # the hot words of each shard
+        part = np.frombuffer(r.data, np.uint64).reshape(-1, 2)
+        np.add.at(hot.types, hot.at(part[:, 0]), part[:, 1].astype(np.int64))
+    if model_path is not None:
+        model.filter(F.col("kind") == MODEL).select("shard", F.col("n").alias("contexts"), F.col("v").alias("pairs"), F.col("data").alias("trie")).write.parquet(model_path)
+    every = packed.unionByName(words.filter(F.col("kind") == WORDS)).unionByName(model.filter(F.col("kind") == PAIRS))
+    scored = scratch.save(each_group(every, "block", _scores(n, v, shards, shards, discount, hot), SCORED_DDL, iter), "scored")
+    fit = scored.filter("scores is null").agg(*[F.sum(F.col("fit")[k]).alias(str(k)) for k in range(len(GRID))]).first()
+    best = max(range(len(GRID)), key=lambda k: fit[k]) if fit[0] is not None else 0
+    return scored.filter("scores is not null").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", F.col("scores")[best].alias("score"))
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

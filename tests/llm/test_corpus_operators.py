@@ -13,7 +13,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import Scratch
-from pairloom.llm.language_model import EliasFano, Trie, score_texts
+from pairloom.llm.elias_fano import EliasFano, Trie, restored
+from pairloom.llm.language_model import GRID, score_texts
 from pairloom.llm.mixing import mix_sources, take_copies
 from pairloom.llm.neighbours import build_index, distances, nearest, query_points, valid_vectors, walk
 from pairloom.llm.repeats import remove_repeats
@@ -257,28 +258,60 @@ def test_copies_with_clashing_names(spark, docs):
 
 def test_elias_fano_and_trie(tmp_path):
     r = np.random.default_rng(1)
-    for universe in (1, 7, 1000, 10**9, 2**40):
-        x = np.sort(r.integers(0, universe, 500)).astype(np.uint64)
-        assert (EliasFano(**EliasFano.encode(x, universe))[np.arange(500)] == x).all()
+    for universe in (1, 7, 1000, 10**9, 2**40, 2**64):
+        for n in (0, 1, 500):
+            x = np.sort(r.integers(0, universe - 1, n, np.uint64, endpoint=True))
+            assert (EliasFano(**EliasFano.encode(x, universe))[np.arange(n)] == x).all()
     pairs = sorted({(int(a), int(b)) for a, b in r.integers(0, 50, (300, 2))})
-    context, word = np.array(pairs).T
-    p = {q: -r.random() * 5 for q in pairs}
-    u, w = -r.random(50) * 6, -r.random(50)
-    trie = Trie(str(tmp_path), u, w, context, word, np.array([p[q] for q in pairs]))
-    a, b = (z.ravel() for z in np.meshgrid(np.arange(50), np.arange(50)))
-    want = np.array([p.get((int(i), int(j)), u[j] + w[i]) for i, j in zip(a, b, strict=True)])
-    assert np.abs(trie.score(a, b) - want).max() < 4e-4
-    trie.close()
-    assert not list(tmp_path.iterdir())
-
-
-def test_scores(spark, empty):
+    context, word = np.array(pairs, np.uint64).T * np.uint64(5_000_000_017)
+    contexts, starts = np.unique(context, return_index=True)
+    p, backoff = -r.random(len(pairs)) * 5, -r.random(len(contexts))
+    buffer = Trie.build(contexts, np.append(starts, len(pairs)), word, p, backoff)
+    (tmp_path / "trie").write_bytes(buffer)
+    a, b = (z.ravel().astype(np.uint64) * np.uint64(5_000_000_017) for z in np.meshgrid(np.arange(60), np.arange(60)))
+    want = dict(zip(zip(context.tolist(), word.tolist(), strict=True), p.tolist(), strict=True))
+    for trie in (Trie(buffer), Trie(np.memmap(tmp_path / "trie", np.uint8, "r"))):
+        rank = trie.context(a)
+        assert ((rank >= 0) == np.isin(a, contexts)).all() and np.abs(restored(trie.backoff) - backoff).max() < 2e-4
+        for i, j, q in zip(a.tolist(), b.tolist(), trie.find(rank, b).tolist(), strict=True):
+            assert (q > 0) == ((i, j) in want) and (not q or abs(restored(q) - want[i, j]) < 2e-4)
+
+
+def brute_scores(rows, discount=0.75):
+    """By (id, text): log10 of the probability of each text under the interpolated bigram model of the training texts."""
+    c, pairs = Counter(), Counter()
+    for i, t in rows:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 10:
+            w = [None, *words(t), None]
+            c.update(w[1:])
+            pairs.update(zip(w, w[1:], strict=False))
+    n, v, types = sum(c.values()), len(c), Counter(a for a, _ in pairs)
+
+    def score(g, i, t, left_out):
+        w, s = [None, *words(t), None], 0.0
+        for a, b in zip(w, w[1:], strict=False):
+            u = (c[b] + 0.1) / (n + 0.1 * (v + 1))
+            m, k, d = c[a] - left_out, pairs[a, b] - left_out, types[a] - (left_out and pairs[a, b] == 1)
+            s += math.log10(g * (max(0.0, k - discount) / m + discount * d / m * u) + (1 - g) * u if m else u)
+        return s
+
+    train = [(i, t) for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
+    g = max(GRID, key=lambda g: sum(score(g, i, t, 1) for i, t in train))
+    return {(i, t): score(g, i, t, 0) for i, t in rows}
+
+
+def test_scores(spark, empty, tmp_path):
     r = random.Random(8)
     rows = [(i, " ".join(r.choice(["The", "the", "of", "é", "ZZ", f"rare{r.randint(0, 99)}"]) for _ in range(r.randint(0, 60)))) for i in range(300)]
     rows += [(k + 1000, rows[k][1]) for k in range(40)] + [t for t in TEXTS if t[0] != 7] + [(5, rows[0][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = score_texts(df, block_bytes=4000, shard_tokens=2000).collect()
+    got = score_texts(df, block_bytes=4000, shard_tokens=400, model_path=str(tmp_path / "model")).collect()
     assert len(got) == len(rows)
+    tries = spark.read.parquet(str(tmp_path / "model")).collect()
+    assert sum(Trie(x.trie).successors.n for x in tries) == sum(x.pairs for x in tries) > 0 and len(tries) > 5
+    want = sorted((str(i), len(words(t)) + 1, s) for (i, t), s in brute_scores(rows).items() for _ in range(rows.count((i, t))))
+    for x, (i, n, s) in zip(sorted(got, key=lambda x: (str(x.doc_id), x.n_tokens, x.score)), want, strict=True):
+        assert (str(x.doc_id), x.n_tokens) == (i, n) and abs(x.score - s) < 4e-4 * n
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     counts = Counter()
     for i, t in rows:
