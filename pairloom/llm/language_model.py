@@ -373,7 +373,7 @@ def _scores(n: int, v: int, word_shards: int, pair_shards: int, discount: float,
     return run
 
 
-def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10, block_bytes: int = 8 << 20, shard_tokens: int = 1 << 20, discount: float = 0.75, model_path: str | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10, block_bytes: int = 8 << 20, shard_tokens: int = 1 << 19, discount: float = 0.75, model_path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     model_path: a folder that gets the tries, as Parquet rows (shard, contexts, pairs, trie).

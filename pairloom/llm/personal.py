@@ -1,36 +1,29 @@
 """Personal data: base patterns, and a semi-Markov conditional random field that adds whole spans.
 
-Base spans come from four patterns (email, ip, card, phone) and always stay. Around digits, at signs and spelled-out
-at signs that they leave over, the text is cut into atoms (runs of letters, runs of digits, single other characters).
-The semi-Markov field scores every candidate segment of at most MOST_ATOMS atoms as a whole - digits, shape, Luhn sum,
-neighbours, domain ending - for each kind, atoms outside segments one by one, and a Viterbi pass over the region picks
-boundaries and kinds together; base spans are closed to it. Its weights are fitted by maximum likelihood (exact
-forward-backward sums) on sentences made from templates here, with written forms that the base patterns miss (phones
-without a country code, cards with dots, spelled-out email addresses) and look-alikes (dates, versions, sums, ISBN).
+Base spans come from four patterns (email, ip, card, phone) and always stay. Around digits, at signs and spelled-out at
+signs that they leave over, the semi-Markov field of personal_model.py scores every candidate segment of at most
+MOST_ATOMS atoms as a whole - digits, shape, groups, Luhn sum, neighbours, the words before, address parts - for each
+kind, atoms outside segments one by one, and a Viterbi pass over the region picks boundaries and kinds together; base
+spans are closed to it. Its weights are fitted by maximum likelihood on sentences written there, with forms that the
+base patterns miss (phones without a country code, cards with dots, spelled-out addresses) and look-alikes (dates,
+versions, sums, order numbers, ISBN).
 
 Nulls count as empty texts; empty texts have no spans; repeated rows are scored alike; columns beside id and text
-are ignored. Everything is linear in the text's length, so very long texts only take their share of time.
+are ignored by the digests and kept by mask_personal, whatever their names. Everything is linear in the text's length,
+so very long texts only take their share of time.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
-import random
 import re
-from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_arrow, text_of
-
-KINDS = ("email", "ip", "card", "phone")
-MOST_ATOMS = 16
-MOST_DIGITS = 19
-CONTEXT = 24
+from .personal_model import CONNECTOR, KINDS, LEAST_DIGITS, NOT_DIGIT, decode, fitted, luhn
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,17 +31,12 @@ NUMBERS = re.compile(r"[0-9][0-9\x20().+/-]*")
 ADDRESS = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-SPELLED = re.compile(r"[\[({]\s?at\s?[\])}]", re.I)
-ATOMS = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
-NOT_DIGIT = re.compile(r"[^0-9]+")
-
-
-def luhn(digits: str) -> bool:
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        d = ord(c) - 48
-        total += d if i % 2 == 0 else (d * 2 - 9 if d > 4 else d * 2)
-    return total % 10 == 0
+#: An at sign that may belong to an address: a sign, in brackets, or a word with a spelled-out dot after the next one.
+#: Groups of four digits with marks that no base pattern takes.
+JOINED = re.compile(r"[0-9]{4}(?:[_·/][0-9]{4}){3}")
+MARK = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|(?<![^\W_])at(?=\s+[A-Za-z0-9-]+(?:\s+dot\s|\s?[\[({]\s?dot))", re.I)
+BLANKS = re.compile(r"[ \t]*")
+PART = re.compile(r"[A-Za-z0-9._%+-]+")
 
 
 def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
@@ -86,154 +74,58 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     return emails + ips + cards + phones, runs
 
 
-def _atoms(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    return [m.span() for m in ATOMS.finditer(text, start, end)]
-
-
-def _side(c: str) -> str:
-    return "none" if not c else "word" if c.isalnum() else "space" if c.isspace() else "stop" if c in ".,;:!?)]}\"'" else "mark"
-
-
-def segment_features(text: str, a: int, b: int) -> tuple[str, ...] | None:
-    """The features of text[a:b] as one segment; None for what no kind can be."""
-    s = text[a:b]
-    if not (s[0].isalnum() or s[0] in "(+") or not s[-1].isalnum():
-        return None
-    digits = NOT_DIGIT.sub("", s)
-    mail = "@" in s or bool(SPELLED.search(s))
-    if not mail and not 7 <= len(digits) <= MOST_DIGITS:
-        return None
-    shape = re.sub(r"[0-9]+", lambda m: str(min(9, len(m.group()))), re.sub(r"[^\W\d_]+", "a", s))
-    found = ["bias", f"left={_side(text[a - 1 : a])}", f"right={_side(text[b : b + 1])}", f"mail={mail}"]
-    if mail:
-        found += [f"parts={min(4, len(re.findall(r'[^\W_]+', s)))}", f"ending={bool(re.search(r'(?:[.]|\bdot\b|[\[({]dot[\])}])\s?[A-Za-z]{2,}$', s))}", f"spaces={min(4, s.count(' '))}"]
-    else:
-        found += [f"digits={len(digits)}", f"shape={shape if len(shape) < 16 else 'long'}", f"luhn={len(digits) >= 16 and luhn(digits)}", f"letters={'a' in shape}", f"groups={len(re.findall('[0-9]', shape))}"]
-        before = text[max(0, a - CONTEXT) : a].lower()
-        found.append(f"cue={next((k for k, w in (('phone', ('tel', 'phone', 'call', 'fax', 'mobile')), ('card', ('card', 'visa', 'credit')), ('code', ('isbn', 'order', 'version', 'token', 'no.', 'id'))) if any(x in before for x in w)), 'none')}")
-    return tuple(found)
-
-
-def _candidates(text: str, atoms: list[tuple[int, int]], closed: list[tuple[int, int]]) -> list[tuple[int, int, tuple[str, ...]]]:
-    """(first atom, atom after the last, features) of every possible segment outside closed spans."""
-    out = []
-    for i, (a, _) in enumerate(atoms):
-        if not (text[a].isalnum() or text[a] in "(+"):
-            continue
-        digits = 0
-        for j in range(i + 1, min(len(atoms), i + MOST_ATOMS) + 1):
-            x, b = atoms[j - 1]
-            digits += b - x if text[x].isdecimal() and text[x].isascii() else 0
-            if digits > MOST_DIGITS or any(s < b and a < e for s, e in closed):
-                break
-            if f := segment_features(text, a, b):
-                out.append((i, j, f))
-    return out
-
-
-# --- training -------------------------------------------------------------------------------------------------------
-
-
-def _examples(n: int = 200, seed: int = 11) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Sentences with their spans: (kind, start, end)."""
-    r = random.Random(seed)
-    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    word = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 8)))
-
-    def card(dots: str) -> str:
-        body = r.choice("456") + digits(14)
-        full = next(body + c for c in "0123456789" if luhn(body + c))
-        return dots.join(full[i : i + 4] for i in range(0, 16, 4))
-
-    def bad_card(dots: str) -> str:
-        while luhn(full := r.choice("123456789") + digits(15)):
-            pass
-        return dots.join(full[i : i + 4] for i in range(0, 16, 4))
-
-    first = lambda: r.choice("23456789") + digits(2)
-    made = (
-        lambda: (3, f"({first()}) {digits(3)}-{digits(4)}"),
-        lambda: (3, f"{first()}-{digits(3)}-{digits(4)}"),
-        lambda: (2, card(".")),
-        lambda: (2, card("/")),
-        lambda: (0, f"{word()} (at) {word()}.{r.choice(('com', 'org', 'net', 'de'))}"),
-        lambda: (0, f"{word()}.{word()}[at]{word()}.{r.choice(('com', 'org', 'edu'))}"),
-        lambda: (0, f"{word()} [at] {word()} dot {r.choice(('com', 'org', 'net'))}"),
-        lambda: (None, f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)} {r.randint(10, 23)}"),
-        lambda: (None, f"{r.randint(1, 28)}/{r.randint(1, 12)}/{r.randint(1900, 2030)}"),
-        lambda: (None, bad_card(r.choice(("", " ", "-", ".")))),
-        lambda: (None, digits(r.randint(7, 19))),
-        lambda: (None, f"{digits(1)}.{digits(3)}.{digits(3)}"),
-        lambda: (None, f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}"),
-        lambda: (None, f"{digits(2)} + {digits(3)} - {digits(4)} ({digits(2)})"),
-        lambda: (None, f"{r.randint(1900, 2030)} {r.randint(1900, 2030)} {r.randint(1900, 2030)}"),
-        lambda: (None, f"{digits(3)} {digits(3)} {digits(4)}"),
-        lambda: (None, f"{word()} (at) {word()}"),
-        lambda: (None, f"{word()} @ {word()}"),
-        lambda: (None, f"@{word()} {word()}."),
-        lambda: (None, f"{digits(3)}.{digits(3)}.{digits(4)}.{digits(2)}.{digits(3)}"),
-    )
-    out = []
-    for k in range(n):
-        kind, s = made[k % len(made)]()
-        before = f"{word()} {word()}{r.choice((' ', ', ', ': ', ' ('))}" if r.random() < 0.9 else ""
-        after = f"{r.choice((' ', '. ', ', ', ') '))}{word()} {word()}" if r.random() < 0.9 else ""
-        out.append((before + s + after, [] if kind is None else [(kind, len(before), len(before) + len(s))]))
-    return out
-
-
-@lru_cache(maxsize=1)
-def trained(steps: int = 40, ridge: float = 1e-3) -> dict[tuple[int, str], float]:
-    """The weights of (kind, feature) that make the examples' segmentations likeliest."""
-    index: dict[tuple[int, str], int] = {}
-    problems = []
-    for text, spans in _examples():
-        atoms = _atoms(text, 0, len(text))
-        edges = []
-        for i, j, f in _candidates(text, atoms, []):
-            for kind in range(len(KINDS)):
-                right = (kind, atoms[i][0], atoms[j - 1][1]) in spans
-                edges.append((i, j, np.array([index.setdefault((kind, x), len(index)) for x in f]), right))
-        problems.append((len(atoms), edges, {k for i, j, _, right in edges if right for k in range(i, j)}))
-    w, square = np.zeros(len(index)), np.full(len(index), 1e-8)
-    for _ in range(steps):
-        g = -ridge * w * len(problems)
-        for n, edges, _ in problems:
-            if not edges:
-                continue
-            score = [float(w[f].sum()) for _, _, f, _ in edges]
-            ahead, back = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-            by_end, by_start = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
-            for (i, j, _, _), s in zip(edges, score, strict=True):
-                by_end[j].append((i, s))
-                by_start[i].append((j, s))
-            for j in range(1, n + 1):
-                ahead[j] = np.logaddexp.reduce([ahead[j - 1], *(ahead[i] + s for i, s in by_end[j])])
-            for i in range(n - 1, -1, -1):
-                back[i] = np.logaddexp.reduce([back[i + 1], *(back[j] + s for j, s in by_start[i])])
-            for (i, j, f, right), s in zip(edges, score, strict=True):
-                g[f] += right - math.exp(min(0.0, ahead[i] + s + back[j] - ahead[n]))
-        square += g * g
-        w += 0.5 * g / np.sqrt(square)
-    return {k: float(w[v]) for k, v in index.items()}
-
-
-# --- decoding -------------------------------------------------------------------------------------------------------
+# --- regions --------------------------------------------------------------------------------------------------------
+
+
+def _address_around(text: str, start: int, end: int, low: int) -> tuple[int, int]:
+    """The stretch around an at sign, from `low` on, that may be an address: parts, and spelled-out signs between them."""
+    left, right = start, end
+    while True:  # a part, then a connector before it
+        at = left
+        while at > low and text[at - 1] in " \t":
+            at -= 1
+        stop = at
+        while at > low and text[at - 1] in LOCAL:
+            at -= 1
+        if at == stop:
+            break
+        left = at
+        gap = left
+        while gap > low and text[gap - 1] in " \t":
+            gap -= 1
+        m = next((m for k in range(1, 8) if gap - k >= low and (m := CONNECTOR.fullmatch(text, gap - k, gap))), None)
+        if m is None:
+            break
+        left = m.start()
+    while True:
+        part = PART.match(text, BLANKS.match(text, right).end())
+        if part is None:
+            break
+        right = part.end()
+        m = CONNECTOR.match(text, BLANKS.match(text, right).end())
+        if m is None:
+            break
+        right = m.end()
+    return left, right
 
 
 def _regions(text: str, spans: list[tuple[int, int, int]], runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Stretches of text that may hold a span that the base patterns miss; none overlaps another."""
+    """Stretches of text that may hold a span that the base patterns miss; none overlaps another, or begins or ends inside a word."""
     places = []
     for a, b in runs:
-        if len(NOT_DIGIT.sub("", text[a:b])) >= 7:
-            a = a - 1 if a and text[a - 1] in "+(" else a
+        if len(NOT_DIGIT.sub("", text[a:b])) >= LEAST_DIGITS:
+            # a run of digits and letters, or with other marks between, is looked at as a whole
+            while a and (text[a - 1] in "+(_/·" or text[a - 1].isalnum()):
+                a -= 1
+            while b < len(text) and (text[b] in "_/·" or text[b].isalnum()):
+                b += 1
             places.append((a, b))
-    at = text.find("@")
-    while at >= 0:
-        places.append((max(0, at - CONTEXT), min(len(text), at + CONTEXT)))
-        at = text.find("@", at + 1)
-    if "at" in text or "AT" in text:
-        places += [(max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)) for m in SPELLED.finditer(text)]
+    places += [_joined_runs(text, m.start(), m.end()) for m in JOINED.finditer(text)]
+    last = 0
+    for m in MARK.finditer(text):
+        if m.start() >= last:  # otherwise the stretch around an earlier sign holds it
+            places.append(_address_around(text, *m.span(), last))
+            last = places[-1][1]
     covered = sorted((s, e) for _, s, e in spans)
     out: list[tuple[int, int]] = []
     for a, b in sorted(places):
@@ -246,6 +138,14 @@ def _regions(text: str, spans: list[tuple[int, int, int]], runs: list[tuple[int,
     return out
 
 
+def _joined_runs(text: str, a: int, b: int) -> tuple[int, int]:
+    while a and text[a - 1].isalnum():
+        a -= 1
+    while b < len(text) and text[b].isalnum():
+        b += 1
+    return a, b
+
+
 def _before(spans: list[tuple[int, int]], at: int) -> int:
     low, high = 0, len(spans)
     while low < high:
@@ -254,35 +154,8 @@ def _before(spans: list[tuple[int, int]], at: int) -> int:
     return low
 
 
-def decode(text: str, start: int, end: int, closed: list[tuple[int, int]], weights: dict[tuple[int, str], float]) -> list[tuple[int, int, int]]:
-    """The best segmentation of text[start:end]: (kind, start, end) of its segments."""
-    # a region doesn't begin or end inside a word, or a cut word would look like a whole one
-    while start > 0 and start > end - 4096 and text[start - 1].isalnum() and text[start].isalnum():
-        start -= 1
-    while end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
-        end += 1
-    atoms = _atoms(text, start, end)
-    by_end: list[list[tuple[float, int, int]]] = [[] for _ in range(len(atoms) + 1)]
-    for i, j, f in _candidates(text, atoms, [(s, e) for s, e in closed if s < end and start < e]):
-        for kind in range(len(KINDS)):
-            score = sum(weights.get((kind, x), -0.5) for x in f)
-            if score > 0:
-                by_end[j].append((score, i, kind))
-    best, back = [0.0] * (len(atoms) + 1), [None] * (len(atoms) + 1)
-    for j in range(1, len(atoms) + 1):
-        best[j] = best[j - 1]
-        for score, i, kind in by_end[j]:
-            if best[i] + score > best[j]:
-                best[j], back[j] = best[i] + score, (i, kind)
-    out, j = [], len(atoms)
-    while j:
-        if back[j] is None:
-            j -= 1
-        else:
-            i, kind = back[j]
-            out.append((kind, atoms[i][0], atoms[j - 1][1]))
-            j = i
-    return out[::-1]
+def trained() -> dict[tuple[int, str], float]:
+    return fitted(_regions, base_spans)
 
 
 def personal_spans(text: str, weights: dict[tuple[int, str], float]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
