@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents, text_of, words_of
+from .common import SPACES, documents, fresh, text_of, words_of
 
 SYMBOLS = "[#*$%&|<>]+"
 BARS = "[|»›•·]+"
@@ -66,60 +66,70 @@ def _line_fails(line: Column) -> Column:
     )
 
 
+CLEANED = ("clean_text", "n_lines", "n_lines_removed", "kept_share", "clean_kept")
+COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def _beside(docs: DataFrame, results: tuple[str, ...], text: str) -> list[Column]:
+    """The columns of docs that keep their place beside results: the text, and those of other names."""
+    return [F.col(f"`{c}`") for c in docs.columns if c == text or c not in results]
+
+
 def clean_lines(docs: DataFrame, text: str = "text", least_kept: float = 0.5) -> DataFrame:
-    """Adds clean_text, n_lines (with a word), n_lines_removed, kept_share and clean_kept to docs."""
-    names = docs.columns
+    """Adds clean_text, n_lines (with a word), n_lines_removed, kept_share and clean_kept to docs, in place of columns of these names."""
+    kept = _beside(docs, CLEANED, text)
+    raw, good, cleaned, share = fresh(docs, "lines", "good", "cleaned", "share")
     # of equal lines the first one stays
-    df = docs.withColumn("__lines", F.filter(F.transform(F.split(text_of(text), "\n"), lambda x: F.btrim(x, F.lit(SPACES))), lambda x: x != ""))
-    df = df.withColumn("__good", F.filter(F.array_distinct("__lines"), lambda x: ~_line_fails(x)))
-    df = df.withColumn("clean_text", F.array_join("__good", "\n"))
+    df = docs.withColumn(raw, F.filter(F.transform(F.split(text_of(text), "\n"), lambda x: F.btrim(x, F.lit(SPACES))), lambda x: x != ""))
+    df = df.withColumn(good, F.filter(F.array_distinct(raw), lambda x: ~_line_fails(x)))
+    df = df.withColumn(cleaned, F.array_join(good, "\n"))
     # one mark between two lines
-    total = F.length(F.array_join("__lines", "\n"))
-    share = F.when(total > 0, F.length("clean_text") / total).otherwise(F.lit(0.0))
-    df = df.withColumn("kept_share", share)
+    total = F.length(F.array_join(raw, "\n"))
+    df = df.withColumn(share, F.when(total > 0, F.length(cleaned) / total).otherwise(F.lit(0.0)))
     return df.select(
-        *[F.col(f"`{c}`") for c in names],
-        "clean_text",
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size("__good")).cast("long").alias("n_lines_removed"),
-        "kept_share",
-        ((F.col("kept_share") > 0) & (F.col("kept_share") >= least_kept)).alias("clean_kept"),
+        *kept,
+        F.col(cleaned).alias("clean_text"),
+        F.size(raw).cast("long").alias("n_lines"),
+        (F.size(raw) - F.size(good)).cast("long").alias("n_lines_removed"),
+        F.col(share).alias("kept_share"),
+        ((F.col(share) > 0) & (F.col(share) >= least_kept)).alias("clean_kept"),
     )
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to docs.
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to docs, in place of columns of these names.
 
     A word repeats if a window of five words that holds it is found twice or more in the text. Windows are
     compared by a 64-bit hash of their five words.
     """
-    names = docs.columns
+    kept = _beside(docs, COUNTED, text)
+    words, n, windows, ordered, found, repeats = fresh(docs, "words", "n", "windows", "sorted", "lines", "repeat")
     whole = text_of(text)
-    df = docs.withColumn("__words", words_of(whole)).withColumn("__n", F.size("__words"))
-    after = lambda i, k: F.get("__words", i + k)
-    starts = F.transform("__words", lambda x, i: F.xxhash64(x, after(i, 1), after(i, 2), after(i, 3), after(i, 4)))
-    df = df.withColumn("__windows", F.when(F.col("__n") >= 5, F.slice(starts, F.lit(1), F.col("__n") - 4)).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("__sorted", F.when(F.size(F.array_distinct("__windows")) < F.size("__windows"), F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda j, k: F.get("__sorted", k)["h"].eqNullSafe(F.get("__sorted", j)["h"])
-    at = F.sort_array(F.transform(F.filter(F.transform("__sorted", lambda x, j: F.struct(x["i"].alias("i"), (same(j, j - 1) | same(j, j + 1)).alias("same"))), lambda x: x["same"]), lambda x: x["i"]))
+    df = docs.withColumn(words, words_of(whole)).withColumn(n, F.size(words))
+    after = lambda i, k: F.get(words, i + k)
+    starts = F.transform(words, lambda x, i: F.xxhash64(x, after(i, 1), after(i, 2), after(i, 3), after(i, 4)))
+    df = df.withColumn(windows, F.when(F.col(n) >= 5, F.slice(starts, F.lit(1), F.col(n) - 4)).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn(ordered, F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    same = lambda j, k: F.get(ordered, k)["h"].eqNullSafe(F.get(ordered, j)["h"])
+    at = F.sort_array(F.transform(F.filter(F.transform(ordered, lambda x, j: F.struct(x["i"].alias("i"), (same(j, j - 1) | same(j, j + 1)).alias("same"))), lambda x: x["same"]), lambda x: x["i"]))
     # the windows that repeat, in order: each adds what the one before it has not covered
     covered = F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-5).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(5), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
     lines = F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    df = df.withColumn("__lines", lines).withColumn("__repeat", F.coalesce(covered, F.lit(0)).cast("long"))
+    df = df.withColumn(found, lines).withColumn(repeats, F.coalesce(covered, F.lit(0)).cast("long"))
     return df.select(
-        *[F.col(f"`{c}`") for c in names],
-        F.col("__n").cast("long").alias("n_words"),
-        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        *kept,
+        F.col(n).cast("long").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         _marks(whole, SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.col("__repeat").alias("n_repeat_words"),
-        ((F.col("__n") < 10) | (100 * F.col("__repeat") > 20 * F.col("__n"))).alias("base_failed"),
+        (F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("n_dup_lines"),
+        F.col(repeats).alias("n_repeat_words"),
+        ((F.col(n) < 10) | (100 * F.col(repeats) > 20 * F.col(n))).alias("base_failed"),
     )
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The counts, the line cleaning and the verdict of every document, with its cleaned text."""
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     df = clean_lines(base_counts(slim))
     return df.drop("text").withColumn("kept", ~F.col("base_failed") & F.col("clean_kept"))
 

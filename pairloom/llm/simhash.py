@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, map_arrow, text_of
+from .common import Scratch, documents, fresh, map_arrow, text_of
 
 SEED = 42
 #: Shingles whose bits are counted at once.
@@ -236,13 +236,18 @@ def connect(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFr
     return rows.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def roots_of(nodes: DataFrame, scratch: Scratch, most_bits: int = 3) -> DataFrame:
+    """fp and root, the smallest fingerprint linked with it, of the distinct fingerprints nodes(fp)."""
+    roots = connect(link_fingerprints(nodes, scratch, most_bits), scratch)
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, most_bits: int = 3) -> DataFrame:
     """doc_id, text_hash, fp, root (a fingerprint for each component) and component_id of every document."""
     scratch = Scratch(docs.sparkSession, "simhash")
     found = scratch.save(fingerprints(docs, doc_id, text, width), "fingerprints")
     nodes = scratch.save(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = connect(link_fingerprints(nodes, scratch, most_bits), scratch)
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = roots_of(nodes, scratch, most_bits)
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = scratch.save(named.join(groups, "root").select("fp", "root", "component_id"), "classes")
     return found.join(classes, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
@@ -256,9 +261,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id, with all its columns."""
     scratch = Scratch(docs.sparkSession, "keep-one")
-    own = F.xxhash64(text_of())
-    groups = near_duplicates(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
-    keep = scratch.save(groups.select(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__hash")), "keep")
-    kept = docs.withColumn("__own", own).join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_semi")
+    own, id_, hash_ = fresh(docs, "own", "id", "hash")
+    found = near_duplicates(docs.select("doc_id", "text"))
+    groups = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
+    keep = scratch.save(groups.select(F.col("x.doc_id").alias(id_), F.col("x.text_hash").alias(hash_)), "keep")
+    kept = docs.withColumn(own, F.xxhash64(text_of())).join(keep, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(hash_)), "left_semi")
     # repeated rows have the same id and text; one of each stays
-    return kept.dropDuplicates(["doc_id", "__own"]).drop("__own")
+    return kept.dropDuplicates(["doc_id", own]).drop(own)

@@ -10,7 +10,7 @@ smallest hash of their id; at most `most_features` cells (65,536 at the utmost)
 the driver is bounded by these.
 
 Nulls: a null text counts as empty; a null label is no label; labels of one id that disagree count as toxic from a
-half upwards. An id that is null is held out. Without labels of both kinds the score is the share of toxic labels
+half upwards; of several texts of one id the least is learnt from. An id that is null is held out. Without labels of both kinds the score is the share of toxic labels
 (0 without any). Repeated rows are scored alike. Columns beside id and text are ignored.
 """
 
@@ -72,8 +72,13 @@ def _hits(texts: list[str | None], known: np.ndarray) -> tuple[np.ndarray, np.nd
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def _count(rows: DataFrame) -> tuple[np.ndarray, int, int]:
-    """In how many documents of each label a cell occurs, and how many there are of each."""
+def _count(rows: DataFrame, ranges: int = 16) -> tuple[np.ndarray, int, int]:
+    """In how many documents of each label a cell occurs, and how many there are of each.
+
+    Tasks send their counts by ranges of cells, and a range is added up in one task; the driver gets the sums.
+    """
+    width = (1 << BITS) // ranges
+    schema = pa.schema([("range", pa.int32()), ("clean", pa.int64()), ("toxic", pa.int64()), ("seen", pa.binary())])
 
     def run(batches):
         seen, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
@@ -83,13 +88,22 @@ def _count(rows: DataFrame) -> tuple[np.ndarray, int, int]:
                 cells = np.unique(np.concatenate([np.empty(0, np.uint32), *(c for _, c in _grams(codes))]))
                 seen[toxic, cells] += 1
                 n[toxic] += 1
-        yield pa.RecordBatch.from_pydict({"clean": [n[0]], "toxic": [n[1]], "seen": [zlib.compress(seen.tobytes(), 1)]}, schema=pa.schema([("clean", pa.int64()), ("toxic", pa.int64()), ("seen", pa.binary())]))
-
+        for k in range(ranges):
+            part = zlib.compress(np.ascontiguousarray(seen[:, k * width : (k + 1) * width]).tobytes(), 1)
+            yield pa.RecordBatch.from_pydict({"range": [k], "clean": [n[0]], "toxic": [n[1]], "seen": [part]}, schema=schema)
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(2 * width, np.int32)
+        for part in table.column("seen").to_pylist():
+            total += np.frombuffer(zlib.decompress(part), np.int32)
+        sums = {c: [sum(table.column(c).to_pylist())] for c in ("clean", "toxic")}
+        return pa.Table.from_pydict({"range": table.column("range")[:1].to_pylist(), **sums, "seen": [zlib.compress(total.tobytes(), 1)]}, schema=schema)
+
+    ddl = "range int, clean long, toxic long, seen binary"
     total, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
-    for row in rows.mapInArrow(run, "clean long, toxic long, seen binary").toLocalIterator():
-        total += np.frombuffer(zlib.decompress(row.seen), np.int32).reshape(2, -1)
-        n[0] += row.clean
-        n[1] += row.toxic
+    for row in rows.mapInArrow(run, ddl).groupBy("range").applyInArrow(add, ddl).collect():  # `ranges` rows
+        total[:, row.range * width : (row.range + 1) * width] = np.frombuffer(zlib.decompress(row.seen), np.int32).reshape(2, -1)
+        n = [row.clean, row.toxic]
     return total, n[0], n[1]
 
 
@@ -128,7 +142,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, mos
     key = F.xxhash64(F.lit("toxicity"), "doc_id")
     sample = one.filter("toxic = 1").orderBy(key, "doc_id").limit(most_toxic).unionByName(one.filter("toxic = 0").orderBy(key, "doc_id").limit(most_clean))
     # the sample has most_toxic + most_clean rows of two numbers at most
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     rows = Scratch(docs.sparkSession, "toxicity").save(rows.repartition(parts), "sample")
     seen, clean, toxic = _count(rows)
     if not clean or not toxic:
@@ -152,7 +166,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, mos
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (y, found, n)], names=["toxic", "at", "n"])
 
     toxic_of, parts_of, ends = [], [], []
-    for row in rows.mapInArrow(run, "toxic binary, at binary, n binary").toLocalIterator():
+    for row in rows.mapInArrow(run, "toxic binary, at binary, n binary").collect():
         toxic_of.append(np.frombuffer(row.toxic, np.int8))
         parts_of.append(np.frombuffer(row.at, np.uint16))
         ends.append(np.frombuffer(row.n, np.int32))
