@@ -7,12 +7,11 @@ import mmap
 import numpy as np
 
 STEPS, FLOOR = 65535, -20.0
-_BYTES = np.arange(256, dtype=np.uint8)[:, None] >> np.arange(8, dtype=np.uint8) & 1
-#: Ones in a byte, and the place of its r-th one.
-ONES = _BYTES.sum(1).astype(np.uint8)
-PLACE = np.zeros((256, 8), np.uint8)
+#: The place of the r-th one of a byte.
+PLACE = np.zeros((256, 8), np.int64)
 for _b in range(256):
-    PLACE[_b, : ONES[_b]] = np.flatnonzero(_BYTES[_b])
+    _ones = [k for k in range(8) if _b >> k & 1]
+    PLACE[_b, : len(_ones)] = _ones
 #: Numbers coded at once; a multiple of 8, so that a piece ends with a byte.
 PIECE = 1 << 16
 
@@ -29,11 +28,12 @@ def restored(q: np.ndarray) -> np.ndarray:
 class EliasFano:
     """A monotone sequence of 64-bit numbers: lower bits side by side, upper bits as the places of ones.
 
-    `rank` holds the ones before each 64-bit word of the upper bits, so a number is found by a search among the words
-    and a look into one of them; nothing is unpacked as a whole. All arrays may be views of a memory map.
+    `rank` holds the ones before each 64-bit word of the upper bits and `near` the word of every 32nd one, so a number
+    is found by a few steps from word to word and a look into one of them; nothing is unpacked as a whole. All arrays
+    may be views of a memory map.
     """
 
-    PARTS = ("low", "high", "rank", "meta")
+    PARTS = ("low", "high", "rank", "near", "meta")
 
     @staticmethod
     def encode(x: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -47,38 +47,51 @@ class EliasFano:
         shifts = np.arange(low_bits, dtype=np.uint64)
         low = [np.packbits(((x[i : i + PIECE, None] >> shifts) & np.uint64(1)).astype(np.uint8).reshape(-1), bitorder="little") for i in range(0, n, PIECE)] if low_bits else []
         ones = np.bitwise_count(high.view(np.uint64)).astype(np.int64)
-        return {"low": np.concatenate([*low, np.zeros(8, np.uint8)]), "high": high.view(np.uint64), "rank": (np.cumsum(ones) - ones).astype(np.uint32), "meta": np.array([n, low_bits], np.int64)}
+        return {"low": np.concatenate([*low, np.zeros(16, np.uint8)]), "high": high.view(np.uint64), "rank": (np.cumsum(ones) - ones).astype(np.uint32), "near": (place[::32] >> 6).astype(np.uint32), "meta": np.array([n, low_bits], np.int64)}
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, rank: np.ndarray, meta: np.ndarray):
-        self.low, self.high, self.rank = low, high, rank
+    def __init__(self, low: np.ndarray, high: np.ndarray, rank: np.ndarray, near: np.ndarray, meta: np.ndarray):
+        self.low, self.high, self.rank, self.near = low, high, rank, near
         self.n, self.low_bits = int(meta[0]), int(meta[1])
+        # eight bytes from every byte on
+        self.windows = np.ndarray((len(low) - 8,), "<u8", low, 0, (1,))
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
-        word = np.searchsorted(self.rank, i, "right") - 1
-        left = (i - self.rank[word]).astype(np.int16)
-        parts = self.high[word].view(np.uint8).reshape(-1, 8)
-        ones = np.cumsum(ONES[parts], axis=1, dtype=np.int16)
-        byte = (ones <= left[:, None]).sum(1)
-        at = np.arange(len(i))
-        left = left - np.where(byte > 0, ones[at, byte - 1], 0)
-        upper = (word * 64 + byte * 8 + PLACE[parts[at, byte], left] - i).astype(np.uint64)
+        if not len(i):
+            return np.zeros(0, np.uint64)
+        word, last = self.near[i >> 5].astype(np.int64), len(self.rank) - 1
+        further = np.flatnonzero((word < last) & (self.rank[np.minimum(word + 1, last)] <= i))
+        while len(further):
+            word[further] += 1
+            at = word[further]
+            further = further[(at < last) & (self.rank[np.minimum(at + 1, last)] <= i[further])]
+        left, bits, place = i - self.rank[word], self.high[word], word * 64
+        for width in (32, 16, 8):
+            lower = bits & np.uint64((1 << width) - 1)
+            ones = np.bitwise_count(lower)
+            beyond = left >= ones
+            left = left - np.where(beyond, ones, 0)
+            place += np.where(beyond, width, 0)
+            bits = np.where(beyond, bits >> np.uint64(width), lower)
+        upper = (place + PLACE[bits & np.uint64(255), left] - i).astype(np.uint64)
         if not self.low_bits:
             return upper
         bit = i * self.low_bits
-        start, shift = bit >> 3, (bit & 7).astype(np.uint64)
-        found = np.zeros(len(i), np.uint64)
-        for k in range((self.low_bits + 14) // 8):
-            part = self.low[np.minimum(start + k, len(self.low) - 1)].astype(np.uint64)
-            found |= part >> shift if not k else part << (np.uint64(8 * k) - shift)
-        mask = np.uint64((1 << self.low_bits) - 1)
-        return (upper << np.uint64(self.low_bits)) | (found & mask)
+        found = self.windows[bit >> 3] >> (bit & 7).astype(np.uint64)
+        if self.low_bits > 57:  # the window of eight bytes may end before the number does
+            shift = bit & 7
+            over = np.flatnonzero(shift)
+            found[over] |= self.low[(bit[over] >> 3) + 8].astype(np.uint64) << (64 - shift[over]).astype(np.uint64)
+        return (upper << np.uint64(self.low_bits)) | (found & np.uint64((1 << self.low_bits) - 1))
 
     def first_from(self, wanted: np.ndarray, low: np.ndarray, high: np.ndarray, below: np.ndarray, above: np.ndarray) -> np.ndarray:
         """The first place in low..high whose number is not smaller than wanted; numbers there lie in below..above.
 
         Interpolation, as the numbers are hashes, and halving in turn.
         """
+        if len(wanted) > PIECE // 2:  # pieces that stay in a processor's cache
+            cuts = [slice(i, i + PIECE // 2) for i in range(0, len(wanted), PIECE // 2)]
+            return np.concatenate([self.first_from(wanted[c], low[c], high[c], below[c], above[c]) for c in cuts])
         low, high = low.astype(np.int64).copy(), high.astype(np.int64).copy()
         a, b = below.astype(np.float64), above.astype(np.float64)
         open_, turn = np.flatnonzero(low < high), 0
@@ -133,11 +146,11 @@ class Trie:
 
     def __init__(self, buffer):
         data = buffer if isinstance(buffer, np.ndarray) else np.frombuffer(buffer, np.uint8)
-        kinds = [np.uint8, np.uint64, np.uint32, np.int64] * len(self.LEVELS) + [np.uint16, np.uint16]
+        kinds = [np.uint8, np.uint64, np.uint32, np.uint32, np.int64] * len(self.LEVELS) + [np.uint16, np.uint16]
         places = data[: 16 * len(kinds)].view(np.int64).reshape(-1, 2)
         parts = [data[at : at + n].view(kind) for (at, n), kind in zip(places.tolist(), kinds, strict=True)]
-        self.contexts, self.pointers, self.successors = (EliasFano(*parts[4 * k : 4 * k + 4]) for k in range(3))
-        self.log10, self.backoff = parts[12], parts[13]
+        self.contexts, self.pointers, self.successors = (EliasFano(*parts[5 * k : 5 * k + 5]) for k in range(3))
+        self.log10, self.backoff = parts[15], parts[16]
 
     def context(self, x: np.ndarray) -> np.ndarray:
         """The rank of each context, -1 for those that are not there."""

@@ -44,7 +44,7 @@ K = np.uint64(0x9E3779B97F4A7C15)
 END = np.uint64(0x5851F42D4C957F2D)
 BLOCK, WORDS, PAIRS, MODEL, SUMS = range(5)
 #: Weights of the bigram part to choose from.
-GRID = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.0)
+GRID = (0.02, 0.1, 0.25, 0.4, 0.55, 0.7, 0.8, 0.9, 1.0)
 
 
 # --- bytes ----------------------------------------------------------------------------------------------------------
@@ -109,7 +109,7 @@ def each_row(df: DataFrame, f: Callable[[dict], Iterator[tuple]]) -> DataFrame:
 
 
 def each_group(df: DataFrame, key: str, f: Callable[[list[dict]], Iterator], ddl: str = ROW_DDL, batches_of=_rows) -> DataFrame:
-    """f over the rows of each value of key, by kind and block. Ranges of the key, so tasks get as many values each."""
+    """f over the rows of each value of key, by kind, shard and block."""
 
     def run(batches):
         def out():
@@ -129,7 +129,7 @@ def each_group(df: DataFrame, key: str, f: Callable[[list[dict]], Iterator], ddl
 
     # the number is given, so that few bytes of much work are not put into one task
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(parts, key).sortWithinPartitions(key, "kind", "shard", "block").mapInArrow(run, ddl)
+    return df.repartition(parts, key).sortWithinPartitions(key, "kind", "shard", "block").mapInArrow(run, ddl)
 
 
 # --- blocks ---------------------------------------------------------------------------------------------------------
@@ -203,15 +203,26 @@ class Block:
     def pairs(self, shards: int, hot: Hot) -> tuple[np.ndarray, ...]:
         """For the distinct pairs, sorted by shard, context and word: shard, context, hash of the word, number of the
         context; and for each token the place of its pair."""
-        n = np.uint64(len(self.hashes))
-        key, at = np.unique(self.before.astype(np.uint64) * n + self.ids, return_inverse=True)
-        first, second = (key // n).astype(np.int64), (key % n).astype(np.int64)
-        x, w = as_context(self.hashes[first]), self.hashes[second] >> np.uint64(64 - Trie.BITS)
-        shard = shard_of(x + hot.part(x, w) * K, shards)
-        order = np.lexsort((w, x, shard))
+        n = len(self.hashes)
+        key, at = np.unique(self.before.astype(np.uint64) * np.uint64(n) + self.ids, return_inverse=True)
+        first, second = (key // np.uint64(n)).astype(np.int64), (key % np.uint64(n)).astype(np.int64)
+        x, w = as_context(self.hashes), (self.hashes >> np.uint64(64 - Trie.BITS))[second]
+        # contexts, and the parts of hot ones, are put in order first; then a pair is one number
+        part, own = np.zeros(n, np.uint64), first.copy()
+        cut = np.flatnonzero(hot.at(x)[first] >= 0)
+        if len(cut):
+            parts = hot.part(x[first[cut]], w[cut])
+            both, own_cut = np.unique(np.stack([first[cut].astype(np.uint64), parts]), axis=1, return_inverse=True)
+            own[cut] = n + own_cut.ravel()
+            x, part = np.append(x, x[both[0].astype(np.int64)]), np.append(part, both[1])
+        shard = shard_of(x + part * K, shards)
+        rank = np.empty(len(x), np.uint64)
+        order = np.lexsort((part, x, shard))
+        rank[order] = np.arange(len(x), dtype=np.uint64)
+        order = np.argsort(rank[own] << np.uint64(Trie.BITS) | w, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        return shard[order], x[order], w[order], first[order], place[at]
+        return shard[own[order]], x[own[order]], w[order], first[order], place[at]
 
 
 class Hot:
@@ -295,14 +306,16 @@ def _tries(discount: float, hot: Hot, keep: bool):
             asked.append((unpack(x, np.uint64), unpack(each, np.uint32).astype(np.int64), unpack(w, np.uint64)))
         x, w = np.concatenate([np.repeat(a, n) for a, n, _ in asked]), np.concatenate([a for _, _, a in asked])
         c = np.concatenate([unpack(unframed(r["data"])[3], np.uint32) for r in rows]).astype(np.int64)
-        seen = c > 0
-        x, w, c = x[seen], w[seen], c[seen]
         order = np.lexsort((w, x))
-        x, w, c = x[order], w[order], c[order]
-        new = np.ones(len(x), bool)
-        new[1:] = (x[1:] != x[:-1]) | (w[1:] != w[:-1])
+        sx, sw = x[order], w[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (sx[1:] != sx[:-1]) | (sw[1:] != sw[:-1])
         at = np.flatnonzero(new)
-        x, w, c = x[at], w[at], np.add.reduceat(c, at) if len(at) else c
+        question = np.empty(len(order), np.int64)
+        question[order] = np.cumsum(new) - 1
+        asked_x, asked_w, c = sx[at], sw[at], np.add.reduceat(c[order], at)
+        seen = c > 0
+        x, w, c = asked_x[seen], asked_w[seen], c[seen]
         first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
         contexts, starts = x[first], np.append(first, len(x))
         types, total = np.diff(starts), np.add.reduceat(c, first) if len(first) else first
@@ -313,10 +326,15 @@ def _tries(discount: float, hot: Hot, keep: bool):
         with np.errstate(divide="ignore"):
             backoff = np.log10(discount * types / total)
         trie = Trie(buffer := Trie.build(contexts, starts, w, log10, backoff))
-        for r, (own, each, word) in zip(rows, asked, strict=True):
-            rank = trie.context(own)
-            weight = np.where(rank >= 0, trie.backoff[rank] if trie.contexts.n else 0, 0).astype(np.uint16)
-            yield PAIRS, r["shard"], r["block"], len(word), None, framed(pack(trie.find(np.repeat(rank, each), word)), pack(np.repeat(weight, each)))
+        # a question that several blocks ask is answered once
+        asked_first = np.flatnonzero(np.r_[True, asked_x[1:] != asked_x[:-1]])
+        rank = np.repeat(trie.context(asked_x[asked_first]), np.diff(np.append(asked_first, len(asked_x))))
+        answer = trie.find(rank, asked_w)
+        weight = np.where(rank >= 0, trie.backoff[rank] if trie.contexts.n else 0, 0).astype(np.uint16)
+        low = 0
+        for r, (_, _, word) in zip(rows, asked, strict=True):
+            own, low = question[low : low + len(word)], low + len(word)
+            yield PAIRS, r["shard"], r["block"], len(word), None, framed(pack(answer[own]), pack(weight[own]))
         if keep:
             yield MODEL, rows[0]["shard"], 0, len(contexts), len(w), bytes(buffer)
         known = np.flatnonzero(cut >= 0)
@@ -354,26 +372,27 @@ def _scores(n: int, v: int, word_shards: int, pair_shards: int, discount: float,
         starts = (np.cumsum(b.sizes) - b.sizes).astype(np.int64)
         total = lambda z: np.add.reduceat(z, starts)
         # training tokens with their own occurrence left out: pair count c of a context's m, after T different words
-        m, once = counts[context].astype(np.float64), np.zeros(len(own), bool)
+        m = counts[context].astype(np.float64)
         c = np.rint(own * m + discount * (own > 0))
-        once = c == 1
         left = np.maximum(0.0, c - 1 - discount) / np.maximum(1.0, m - 1)
-        rest = np.where(m > 1, (lower * m - discount * once) / np.maximum(1.0, m - 1), 1.0)
+        rest = np.where(m > 1, (lower * m - discount * (c == 1)) / np.maximum(1.0, m - 1), 1.0)
+        # g a + (g b + 1 - g) u  is  u + g (a + (b - 1) u)
+        gain = own[place] + (lower[place] - 1) * u_token
         at, u_train = place[b.train], u_token[b.train]
-        scores, fit = [], []
-        for g in GRID:
-            scores.append(total(np.log10(g * own[place] + (g * lower[place] + 1 - g) * u_token)))
-            fit.append(float(np.log10(g * left[at] + (g * rest[at] + 1 - g) * u_train).sum()))
+        gain_train = left[at] + (rest[at] - 1) * u_train
+        ten = 1 / np.log(10)
+        scores = [total(np.log(u_token + g * gain)) * ten for g in GRID]
+        fit = [float(np.log(u_train + g * gain_train).sum() * ten) for g in GRID]
         flat = pa.array(np.stack(scores, axis=1).ravel())
         scores = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(GRID)), pa.int32()), flat)
         none = pa.nulls(len(b.sizes), SCORED.field("fit").type)
-        yield pa.RecordBatch.from_arrays([pa.array(b.docs, mask=b.null), pa.array(b.held), pa.array(b.sizes.astype(np.int64)), pa.array(total((counts[b.ids] > 0).astype(np.int64))), pa.array(np.full(len(b.sizes), n)), pa.array(total(np.log10(u)[b.ids])), scores, none], schema=SCORED)
+        yield pa.RecordBatch.from_arrays([pa.array(b.docs, mask=b.null), pa.array(b.held), pa.array(b.sizes.astype(np.int64)), pa.array(total((counts[b.ids] > 0).astype(np.int64))), pa.array(np.full(len(b.sizes), n)), pa.array(total(np.log10(u_token))), scores, none], schema=SCORED)
         yield pa.RecordBatch.from_pylist([{"fit": fit}], schema=SCORED)
 
     return run
 
 
-def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10, block_bytes: int = 8 << 20, shard_tokens: int = 1 << 19, discount: float = 0.75, model_path: str | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10, block_bytes: int = 4 << 20, shard_tokens: int = 1 << 19, discount: float = 0.75, model_path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     model_path: a folder that gets the tries, as Parquet rows (shard, contexts, pairs, trie).
