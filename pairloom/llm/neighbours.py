@@ -406,7 +406,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, scratch: Scratch, top: int =
     if shapes is None:
         return empty
     once = lambda df: df.filter(F.size("v") == shapes.dim).groupBy("vec_id").agg(F.min("v").alias("v"))
-    vectors, queries = scratch.save(once(vectors), "vectors"), once(queries)
+    # walks are work, though queries have few bytes: the number of their partitions is given
+    vectors, queries = scratch.save(once(vectors), "vectors"), once(queries).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("vec_id"))
     lists = max(1, min(most_lists, round(shapes.n / list_rows)))
     sample = vectors.orderBy(F.xxhash64(F.lit("centroids"), "vec_id"), "vec_id").limit(min(sample_rows, fit_rows * lists)).toArrow()
     far = vectors.orderBy(square.desc(), "vec_id").limit(anchors).toArrow()
