@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -84,8 +85,8 @@ class MergeOrder(Machine):
             i = min(ranks)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def _weight(self, pair: tuple[int, int]) -> float:
-        a, b = self.texts.get(pair[0]), self.texts.get(pair[1])
+    def _weight(self, pair: int) -> float:
+        a, b = self.texts.get((pair >> 20) - 1), self.texts.get(pair & 0xFFFFF)
         if b is None:
             return 0.0
         if a is None or (a[-1], b[0]) not in self.beside:
@@ -93,7 +94,10 @@ class MergeOrder(Machine):
         return 0.0 if self.merged(a + b) == [a, b] else 1.0
 
     def arcs(self, state: int, label):
-        return () if label is EPSILON else (((label,), self.weights[state, label], label),)
+        return () if label is EPSILON else (((label,), self.weigh(state, label), label),)
+
+    def weigh(self, state: int, label: int) -> float:
+        return self.weights[(state + 1) << 20 | label]
 
 
 class Free(Machine):
@@ -140,10 +144,11 @@ class PieceMachine:
         self.words = Kept(lambda s: self._path(s, inside), most_words)
         self.split = self._cuts([t for t in texts if len(t) > 1], {t for t in texts if len(t) == 1}) if self.bytes else regex.compile(r"(?s).+")
 
-    def _path(self, stretch: str, start) -> tuple[int, ...]:
+    def _path(self, stretch: str, start) -> bytes:
         ids = shortest_path(self.machine, stretch, start)[0]
-        # unknown characters side by side are one piece
-        return ids if self.bytes else tuple(x for k, x in enumerate(ids) if x != self.unknown or not k or ids[k - 1] != x)
+        if not self.bytes:  # unknown characters side by side are one piece
+            ids = [x for k, x in enumerate(ids) if x != self.unknown or not k or ids[k - 1] != x]
+        return pack(f"<{len(ids)}i", *ids)
 
     @staticmethod
     def _cuts(pieces: list[str], characters: set[str]) -> regex.Pattern:
@@ -158,12 +163,17 @@ class PieceMachine:
         space = f" {SPACE}"
         return regex.compile(f"[{space}]*\\p{{L}}+(?=[{space}{own}{outside}]|$)|[{outside}]|[{space}]*[^{space}{outside}]+|[{space}]+" if outside else f"[{space}]*[^{space}]+|[{space}]+")
 
-    def encode(self, text: str) -> list[tuple[int, ...]]:
-        """The ids of a text, stretch by stretch."""
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as little-endian 32-bit numbers, put together stretch by stretch."""
         if not text:
-            return []
+            return b""
+        found = self.split.findall(text)
+        return self.first[found[0]] + b"".join(map(self.words.__getitem__, found[1:]))
+
+    def encode(self, text: str) -> list[tuple[int, ...]]:
+        """The ids of a text by stretch."""
         found = self.split.findall(text)
-        return [self.first[found[0]], *map(self.words.__getitem__, found[1:])]
+        return [tuple(np.frombuffer((self.words if k else self.first)[s], "<i4").tolist()) for k, s in enumerate(found)]
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.output.__getitem__, ids))
@@ -189,9 +199,8 @@ def encode_pieces(docs: DataFrame, text: str = "text", tokenizer: str = "piece_b
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ends, flat = [0], []
             for s in batch.column(whole):
-                ids = [i for word in m.encode(s.as_py()) for i in word]
-                flat.append(np.array(ids, np.int32))
-                ends.append(ends[-1] + len(ids))
+                flat.append(np.frombuffer(m.packed(s.as_py()), "<i4"))
+                ends.append(ends[-1] + len(flat[-1]))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
             at = batch.schema.get_field_index(whole)
             return pa.RecordBatch.from_arrays([*batch.columns[:at], ids], names=[*batch.schema.names[:at], "ids"])
@@ -232,11 +241,11 @@ def piece_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
             ends, flat, digests, same = [0], [], [], []
             for s in batch.column("text"):
                 s = s.as_py()
-                ids = [i for word in m.encode(s) for i in word]
-                same.append(m.decode(ids) == s)
-                flat.append(np.array(ids, np.int32))
-                digests.append(hashlib.sha256(flat[-1].tobytes()).hexdigest())
-                ends.append(ends[-1] + len(ids))
+                data = m.packed(s)
+                flat.append(np.frombuffer(data, "<i4"))
+                same.append(m.decode(flat[-1].tolist()) == s)
+                digests.append(hashlib.sha256(data).hexdigest())
+                ends.append(ends[-1] + len(flat[-1]))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(digests), pa.array(same), ids], schema=out)
 

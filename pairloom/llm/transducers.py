@@ -2,7 +2,8 @@
 
 A machine has a start state; arcs(state, label) - tuples (output labels, weight, next state) for an input label, or for
 EPSILON without reading one; final(state) - the weight of ending there, or None; and moves(labels, at, state) - tuples
-(place after, output labels, weight, next state): its composition with an input, as far as one move goes. Machines are
+(place after, output labels, weight, next state): its composition with an input, as far as one move goes, those that read most first. An acceptor whose state is the label it
+read last may have weigh(state, label) for the weight of its only arc. Machines are
 written out (Table, Lexicon) or compute arcs as they are asked for, and a composition is only explored where a shortest
 path goes.
 """
@@ -10,6 +11,7 @@ path goes.
 from __future__ import annotations
 
 from heapq import heappop, heappush
+from itertools import chain
 
 EPSILON = None
 #: The input label of an arc for every label that has no arc of its own there; as an output label, the label read.
@@ -112,7 +114,8 @@ class Lexicon(Machine):
                 out.append((i, *found))
         single = bool(out) and out[0][0] == at + 1
         if not single and at < n:
-            out.append((at + 1, *self.fallback(labels[at]), 0))
+            out.insert(0, (at + 1, *self.fallback(labels[at]), 0))
+        out.reverse()
         return out
 
     def _begin(self, labels):
@@ -133,6 +136,7 @@ class Lexicon(Machine):
                 break
             if self.piece[node] is not None:
                 held.append((i + 1, *self.piece[node]))
+        held.reverse()
         return held
 
     def final(self, state):
@@ -152,14 +156,16 @@ class Composed(Machine):
 
     def moves(self, labels, at, state):
         a, b = state
-        arcs, out = self.second.arcs, []
+        second = self.second
+        weigh = getattr(second, "weigh", None)
         for place, outputs, weight, to in self.first.moves(labels, at, a):
-            found = arcs(b, outputs[0]) if len(outputs) == 1 else self._fed(b, outputs)
-            for o, w, end in found:
-                out.append((place, o, weight + w, (to, end)))
-        for o, w, end in arcs(b, EPSILON):
-            out.append((at, o, w, (a, end)))
-        return out
+            if weigh is not None and len(outputs) == 1:
+                yield place, outputs, weight + weigh(b, outputs[0]), (to, outputs[0])
+            else:
+                for o, w, end in self._fed(b, outputs):
+                    yield place, o, weight + w, (to, end)
+        for o, w, end in second.arcs(b, EPSILON):
+            yield at, o, w, (a, end)
 
     def _fed(self, state, labels: tuple):
         """All ways of the second machine through several labels, with its own epsilon arcs between them."""
@@ -182,17 +188,13 @@ class Composed(Machine):
 def shortest_path(machine: Machine, labels, start=None) -> tuple[tuple, float] | None:
     """Outputs and weight of the lightest path that reads all labels; None without one. Weights must not be negative.
 
-    Of equally light places the one that has read most goes on first; of equally light paths to a place the one whose
-    last move began earliest stays.
+    The lightest place goes on first, of equally light ones that which has read most. A place's moves are made one at a
+    time, so arcs behind a path without weight are never weighed.
     """
     n = len(labels)
-    first = (0, machine.start if start is None else start)
-    best, came, count, end = {first: 0.0}, {}, 0, (n + 1, None)
-    heap = [(0.0, n, 0, first)]
-    while heap:
-        weight, _, _, place = heappop(heap)
-        if weight > best[place]:
-            continue
+    weight, place, moves, count = 0.0, (0, machine.start if start is None else start), None, 0
+    best, came, heap, end = {place: 0.0}, {}, [], (n + 1, None)
+    while True:
         if place == end:
             out = []
             while place in came:
@@ -200,16 +202,30 @@ def shortest_path(machine: Machine, labels, start=None) -> tuple[tuple, float] |
                 out.append(outputs)
             return tuple([x for outputs in reversed(out) for x in outputs]), weight
         at, state = place
-        moves = machine.moves(labels, at, state)
-        if at == n and (last := machine.final(state)) is not None:
-            moves = [*moves, (n + 1, (), last, None)]
+        if moves is None:
+            moves = iter(machine.moves(labels, at, state))
+            if at == n and (last := machine.final(state)) is not None:
+                moves = chain(((n + 1, (), last, None),), moves)
         for to, outputs, more, after in moves:
-            new, more = (to, after), weight + more
+            new, total = (to, after), weight + more
             old = best.get(new)
-            if old is None or more < old:
-                best[new], came[new] = more, (place, outputs)
-                count += 1
-                heappush(heap, (more, n - to, count, new))
-            elif more == old and new in came and at < came[new][0][0]:
-                came[new] = (place, outputs)
-    return None
+            if old is not None and (old < total or old == total and not (new in came and at < came[new][0][0])):
+                continue
+            came[new] = (place, outputs)
+            if old == total:
+                continue
+            best[new] = total
+            count += 1
+            if not more:
+                # no place is lighter: it goes on now, and the other moves wait
+                heappush(heap, (weight, n - at, count, place, moves))
+                place, moves = new, None
+                break
+            heappush(heap, (total, n - to, count, new, None))
+        else:
+            while heap:
+                weight, _, _, place, moves = heappop(heap)
+                if weight <= best[place]:
+                    break
+            else:
+                return None
