@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from operator import itemgetter
 from struct import pack
 
 import numpy as np
@@ -168,7 +169,9 @@ class PieceMachine:
         if not text:
             return b""
         found = self.split.findall(text)
-        return self.first[found[0]] + b"".join(map(self.words.__getitem__, found[1:]))
+        first = self.first[found[0]]
+        # several at once: the loop stays in C
+        return first + b"".join(itemgetter(*found[1:])(self.words)) if len(found) > 2 else first + b"".join(map(self.words.__getitem__, found[1:]))
 
     def encode(self, text: str) -> list[tuple[int, ...]]:
         """The ids of a text by stretch."""
@@ -176,7 +179,7 @@ class PieceMachine:
         return [tuple(np.frombuffer((self.words if k else self.first)[s], "<i4").tolist()) for k, s in enumerate(found)]
 
     def decode(self, ids: list[int]) -> str:
-        data = b"".join(map(self.output.__getitem__, ids))
+        data = b"".join(itemgetter(*ids)(self.output) if len(ids) > 1 else map(self.output.__getitem__, ids))
         text = data.decode("utf-8", "replace")
         return text.removeprefix(" ") if self.prefix else text
 
