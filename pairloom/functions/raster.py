@@ -18,7 +18,10 @@ def map_grids(df: DataFrame, column: str, height: int, width: int, f: Callable[[
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(column)
-            out = [None if x is None else f(np.array(x).reshape(height, width)) for x in batch.column(at).to_pylist()]
+            grids = batch.column(at)
+            flat = grids.flatten().to_numpy(zero_copy_only=False).reshape(-1, height, width)
+            grid = iter(flat)
+            out = [f(next(grid)) if there else None for there in grids.is_valid().to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], names=[*batch.schema.names, to])
 
     return rows.mapInArrow(run, StructType([*rows.schema, StructField(to, DataType.fromDDL(kind))]))

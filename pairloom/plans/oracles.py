@@ -53,6 +53,31 @@ def _morph(source: str, to: str, how: str) -> str:
     return f"{to} AS (SELECT a.id, a.p, a.r, a.c, {how}(b.v) AS v FROM {source} a JOIN {source} b ON a.id = b.id AND (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 1 GROUP BY a.id, a.p, a.r, a.c)"
 
 
+#: Two grids of a pair as lists, one row a pair; and one row a pixel beside both lists, without a join of pixels.
+LISTS = "lists AS (SELECT a.vec_id // 2 AS id, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)"
+SPOTS = f"{LISTS}, spots AS (SELECT id, i - 1 AS p, (i - 1) // 8 AS r, (i - 1) % 8 AS c, a, b FROM lists, LATERAL (SELECT unnest(range(1, 65)) AS i))"
+
+
+def _heat() -> str:
+    """The difference of two pictures whose red, green and blue are |v|, 1 - |v| and v * v, each times 255."""
+    rgb = lambda v: (f"(255 * least(abs({v}), 1.0))", f"(255 * (1 - least(abs({v}), 1.0)))", f"(255 * least({v} * {v}, 1.0))")
+    mixed = lambda x: f"(0.299::DOUBLE * {x[0]} + 0.587::DOUBLE * {x[1]} + 0.114::DOUBLE * {x[2]})"
+    light = lambda v: mixed([f"pow({x} / 255, 2.2)" for x in rgb(v)])
+    straight = lambda x: f"(CASE WHEN {x} / 255 > 0.04045 THEN pow(({x} / 255 + 0.055) / 1.055, 2.4) ELSE {x} / 255 / 12.92 END)"
+    axes = (("x", (0.412453, 0.357580, 0.180423), 0.950456), ("y", (0.212671, 0.715160, 0.072169), 1.0), ("z", (0.019334, 0.119193, 0.950227), 1.088754))
+    sums = ", ".join(f"({' + '.join(f'{w}::DOUBLE * {straight(x)}' for w, x in zip(weights, rgb(f'{side}[p + 1]'), strict=True))}) / {white} AS {name}{side}" for side in "ab" for name, weights, white in axes)
+    bent = lambda x: f"(CASE WHEN {x} > 216.0::DOUBLE / 24389 THEN cbrt({x}) ELSE {x} * (841.0::DOUBLE / 108) + 16.0::DOUBLE / 116 END)"
+    at = lambda side, dr, dc: mixed(rgb(f"{side}[((7 - abs(7 - abs(r + {dr}))) * 8 + 7 - abs(7 - abs(c + {dc})) + 1)::BIGINT]"))
+    edge = lambda side, turn: " + ".join(f"{k} * ({at(side, *((d, 1) if turn else (1, d)))} - {at(side, *((d, -1) if turn else (-1, d)))})" for d, k in ((-1, 1), (0, 2), (1, 1)))
+    steep = lambda side: f"sqrt(pow({edge(side, True)}, 2) + pow({edge(side, False)}, 2))"
+    scaled = lambda n: f"CASE WHEN q{n} > 0 THEN least(greatest({n} / (q{n} + 1e-6), 0.0), 1.0) ELSE 0.0 END"
+    return f"""WITH {SPOTS}, xyz AS (SELECT *, {sums} FROM spots),
+ parts AS (SELECT id, p, abs(ln({light("a[p + 1]")} + 1e-3) - ln({light("b[p + 1]")} + 1e-3)) AS l,
+ sqrt(pow(500 * ({bent("xa")} - {bent("ya")} - {bent("xb")} + {bent("yb")}), 2) + pow(200 * ({bent("ya")} - {bent("za")} - {bent("yb")} + {bent("zb")}), 2)) AS k, abs({steep("a")} - {steep("b")}) AS t FROM xyz),
+ q AS (SELECT id, quantile_cont(l, 0.99) FILTER (WHERE l > 0) AS ql, quantile_cont(k, 0.99) FILTER (WHERE k > 0) AS qk, quantile_cont(t, 0.99) FILTER (WHERE t > 0) AS qt FROM parts GROUP BY id)
+ SELECT id, p, round(least(greatest(0.6 * {scaled("l")} + 0.3 * {scaled("k")} + 0.1 * {scaled("t")}, 0.0), 1.0), 6) + 0.0 AS v FROM parts JOIN q USING (id)"""
+
+
 SQL: dict[str, str] = {
     "ordered_pairs": f"""WITH {EDITS}, used AS (SELECT * FROM edits WHERE shard NOT IN (3) AND category IN ('{ADD}', '{REMOVE}')),
  n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY shard, "row") - 1 + CASE WHEN category = '{ADD}' THEN 0 ELSE (SELECT count(*) FROM used WHERE category = '{ADD}') END AS id FROM used)
@@ -101,7 +126,7 @@ SQL: dict[str, str] = {
     "binarize": f"WITH {PIXELS} SELECT id, p, {BINARY}::BIGINT AS v FROM px",
     "heat_p99": f"""WITH {PIXELS}, q AS (SELECT id, quantile_cont(v, 0.99) FILTER (WHERE v > 0) AS p99 FROM px GROUP BY id)
  SELECT q.id, round(p99, 6) AS p99, round(sum(CASE WHEN p99 > 0 THEN least(greatest(v / (p99 + 1e-6), 0.0), 1.0) ELSE 0.0 END), 6) AS heat FROM q JOIN px ON q.id = px.id GROUP BY q.id, p99""",
-    "weighted_heatmap": f"WITH {PAIRED} SELECT id, p, round(least(greatest(abs(ln(abs(a) + 1e-3) - ln(abs(b) + 1e-3)) * 0.6 + sqrt((a - b) * (a - b) + (a + b) * (a + b)) * 0.3 + abs(a - b) * 0.1, 0.0), 1.0), 6) AS v FROM pr",
+    "weighted_heatmap": _heat(),
     "linear_light": f"WITH {PIXELS} SELECT id, round(sum(pow(abs(v) * 255.0 / 255.0, 2.2)), 6) AS light FROM px GROUP BY id",
     "gradient_sum": f"WITH g AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings) SELECT id, round({_sobel()}, 5) AS gradient FROM g",
     "maxpool": f"WITH {PIXELS} SELECT id, r // 4 * 2 + c // 4 AS p, round(max(v), 6) AS v FROM px GROUP BY ALL",
@@ -109,11 +134,12 @@ SQL: dict[str, str] = {
     "nearest_resize": f"WITH {PIXELS}, t AS (SELECT i AS p, (i // 5) * 8 // 3 AS r, (i % 5) * 8 // 5 AS c FROM range(15) x(i)) SELECT id, t.p, round(v, 6) AS v FROM px JOIN t ON px.r = t.r AND px.c = t.c",
     "pack_latents": f"WITH {PIXELS} SELECT id, r // 2 * 4 + c // 2 AS patch, r % 2 * 2 + c % 2 AS k, round(v, 6) AS v FROM px",
     "unpack_latents": "SELECT vec_id AS id, true AS same FROM embeddings",
-    "position_grid": f"WITH {PIXELS} SELECT id, p, r AS y, c AS x FROM px WHERE id % 100 = 0",
+    "position_grid": f"WITH {PIXELS} SELECT id, p, r AS y, c AS x FROM px",
     "mask_bbox": f"WITH {PIXELS} SELECT id, min(c) AS x1, min(r) AS y1, max(c) AS x2, max(r) AS y2 FROM px WHERE v > 0.2 GROUP BY id",
     "mask_area": f"WITH {PIXELS} SELECT id, sum({BINARY})::BIGINT AS area FROM px GROUP BY id",
-    "shift_mask": f"""WITH {PIXELS} SELECT a.id, a.p, coalesce(CASE WHEN b.v > {HEAT} THEN 1 ELSE 0 END, 0)::BIGINT AS v FROM px a LEFT JOIN px b ON a.id = b.id AND b.r = a.r - (a.id % 3 - 1) AND b.c = a.c - (a.id % 5 - 2)""",
-    "mask_fuse": f"WITH {PAIRED} SELECT id, p, (CASE WHEN a > {HEAT} OR b > {HEAT} THEN 1 ELSE 0 END)::BIGINT AS v FROM pr",
+    "shift_mask": f"""WITH g AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, i - 1 AS p, (i - 1) // 8 - (vec_id % 3 - 1) AS r, (i - 1) % 8 - (vec_id % 5 - 2) AS c FROM embeddings, LATERAL (SELECT unnest(range(1, 65)) AS i))
+ SELECT id, p, (CASE WHEN r BETWEEN 0 AND 7 AND c BETWEEN 0 AND 7 AND e[(r * 8 + c + 1)::BIGINT] > {HEAT} THEN 1 ELSE 0 END)::BIGINT AS v FROM g""",
+    "mask_fuse": f"WITH {SPOTS} SELECT id, p, (CASE WHEN a[p + 1] > {HEAT} OR b[p + 1] > {HEAT} THEN 1 ELSE 0 END)::BIGINT AS v FROM spots",
     "mask_difference": f"WITH {PAIRED} SELECT id, count(*) FILTER (WHERE a > {HEAT} AND NOT b > {HEAT}) AS left_over, count(*) FILTER (WHERE a > {HEAT} AND NOT b > {HEAT}) AS outside FROM pr GROUP BY id",
     "effect_ratio": f"""WITH {PAIRED}, k AS (SELECT id, count(*) FILTER (WHERE a > {HEAT})::DOUBLE AS o, count(*) FILTER (WHERE b > {HEAT} AND NOT a > {HEAT})::DOUBLE AS s FROM pr GROUP BY id), q AS (SELECT id, CASE WHEN o > 0 THEN s / o ELSE 0.0 END AS x FROM k) SELECT id, round(x, 6) AS ratio, x > 0.25 AS has_effect FROM q""",
     "hard_blend": f"WITH {PAIRED} SELECT id, round(sum(CASE WHEN a > {HEAT} THEN b ELSE a END), 6) + 0.0 AS hard, round(sum(b / (1 + exp(-a * 4)) + a * (1 - 1 / (1 + exp(-a * 4)))), 6) + 0.0 AS soft FROM pr GROUP BY id",
@@ -151,7 +177,7 @@ SQL: dict[str, str] = {
     "column_widths": f'WITH {CELLS} SELECT "column", max(length(cell))::BIGINT AS width, max({DECIMALS})::BIGINT AS decimals FROM cells GROUP BY "column"',
     "thousands_numbers": f'WITH {CELLS} SELECT "row", "column", {THOUSANDS} AS thousands FROM cells',
     "decimal_places": f'WITH {CELLS} SELECT "row", "column", ({DECIMALS})::BIGINT AS decimals FROM cells',
-    "padded_cells": f"""WITH {CELLS}, k AS (SELECT *, greatest(12 - length(cell), 0) AS n FROM cells WHERE "column" IN ('price', 'brand'))
+    "padded_cells": f"""WITH {CELLS}, k AS (SELECT *, greatest(12 - length(cell), 0) AS n FROM cells)
  SELECT "row", "column", '|' || cell || repeat(' ', n) || '|' AS "left", '|' || repeat(' ', n) || cell || '|' AS "right", '|' || repeat(' ', n // 2) || cell || repeat(' ', n - n // 2) || '|' AS "center" FROM k""",
     "escaped_cells": """SELECT r_regionkey, '&lt;' || r_name || '&gt; &amp; 100% &quot;a&quot;_{&#x27;b&#x27;}' AS html, r_name || '\\_50\\%\\&\\#' AS latex, '..' AS rst FROM region""",
 }

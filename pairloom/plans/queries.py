@@ -261,12 +261,18 @@ def heat_p99(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def weighted_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = grid_pairs(spark, sf_dir)
-    light = F.zip_with("a", "b", lambda x, y: px.log_difference(F.abs(x), F.abs(y)))
-    color = F.zip_with("a", "b", lambda x, y: F.sqrt((x - y) * (x - y) + (x + y) * (x + y)))
-    texture = F.zip_with("a", "b", lambda x, y: F.abs(x - y))
-    heat = px.weighted_heat(light, color, texture)
-    return exploded(g.select("id", heat.alias("h")), "h", "v").withColumn("v", rounded(F.col("v")))
+    """The difference of two pictures made of two grids: log light, Lab colour plane and Sobel texture, weighted."""
+    import numpy as np
+    import pyarrow as pa
+
+    def heat(m: np.ndarray) -> list[float]:
+        v = np.abs(m)
+        rgb = 255 * np.stack([np.minimum(v, 1), 1 - np.minimum(v, 1), np.minimum(v * v, 1)], -1)
+        return raster.difference_heat(rgb[:H], rgb[H:]).ravel().tolist()
+
+    both = grid_pairs(spark, sf_dir).select("id", F.concat("a", "b").alias("m"))
+    found = raster.map_grids(both, "m", 2 * H, W, heat, "h", "array<double>", pa.list_(pa.float64()))
+    return exploded(found, "h", "v").withColumn("v", rounded(F.col("v")))
 
 
 @query
@@ -309,7 +315,7 @@ def unpack_latents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def position_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = views.grids(spark, sf_dir).filter("id % 100 = 0").select("id", F.posexplode(px.position_grid(W, H)).alias("p", "x"))
+    g = views.grids(spark, sf_dir).select("id", F.posexplode(px.position_grid(W, H)).alias("p", "x"))
     return g.select("id", F.col("p").cast("long").alias("p"), F.col("x.y").cast("long").alias("y"), F.col("x.x").cast("long").alias("x"))
 
 
@@ -531,7 +537,7 @@ def decimal_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def padded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = views.cells(spark, sf_dir).filter("column in ('price', 'brand')")
+    c = views.cells(spark, sf_dir)
     pad = lambda side: F.concat(F.lit("|"), cell_functions.padded(F.col("cell"), F.lit(12), side), F.lit("|"))
     return c.select("row", "column", pad("left").alias("left"), pad("right").alias("right"), pad("center").alias("center"))
 
