@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import chunked
+from .order import chunked, dense_index
 
 #: Mask modes and their weights; fixed values.
 MODES = (("shrink", 0.35), ("expand", 0.2), ("holes", 0.1), ("shift", 0.05), ("sam", 0.3))
@@ -23,20 +23,21 @@ def uniform(*parts: Column | str) -> Column:
 
 
 def bucket_batches(res: DataFrame, size: int, seed: int = 0, drop_last: bool = True) -> DataFrame:
-    """idx, width, height, chunk and place: shuffled inside each resolution, cut into batches."""
-    return chunked(res, ["width", "height"], [shuffled(str(seed), F.col("idx")), F.col("idx")], size, drop_last).select("idx", "width", "height", "chunk", "place")
+    """idx, width, height, chunk and place: shuffled inside each resolution, cut into batches.
 
+    The shuffle key is uniform, so its first digits deal a resolution, however common, to many tasks.
+    """
+    key = shuffled(str(seed), F.col("idx"))
+    slot = F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
+    return chunked(res, ["width", "height"], [key, F.col("idx")], size, drop_last, slot).select("idx", "width", "height", "chunk", "place")
 
-def rank_batches(batches: DataFrame, replicas: int, seed: int = 0) -> DataFrame:
-    """width, height, chunk, batch_no and rank: whole batches shuffled and dealt in turn; what doesn't go round is left out.
 
-    Batches, not rows, are ordered in one task.
-    """
+def rank_batches(batches: DataFrame, replicas: int, seed: int = 0) -> DataFrame:
+    """width, height, chunk, batch_no and rank: whole batches shuffled and dealt in turn; what doesn't go round is left out."""
     whole = batches.select("width", "height", "chunk").distinct()
-    order = shuffled(str(seed), F.col("width"), F.col("height"), F.col("chunk"))
-    numbered = whole.withColumn("batch_no", F.row_number().over(Window.orderBy(order, "width", "height", "chunk")).cast("long") - 1)
-    total = F.count("*").over(Window.partitionBy(F.lit(0)))
-    return numbered.withColumn("__n", total).filter(F.col("batch_no") < F.floor(F.col("__n") / replicas) * replicas).withColumn("rank", F.pmod(F.col("batch_no"), F.lit(replicas))).drop("__n")
+    whole = whole.withColumn("__key", shuffled(str(seed), F.col("width"), F.col("height"), F.col("chunk")))
+    numbered = dense_index(whole, "__key", "width", "height", "chunk", to="batch_no", total="__total").drop("__key")
+    return numbered.filter(F.col("batch_no") < F.floor(F.col("__total") / replicas) * replicas).withColumn("rank", F.pmod(F.col("batch_no"), F.lit(replicas))).drop("__total")
 
 
 def batches_per_rank(res: DataFrame, size: int, replicas: int) -> DataFrame:

@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a table is cut into for numbering, and rows sampled to place their bounds.
-RANGES, SAMPLE = 64, 2048
+#: Rows of a range that is numbered in one task, bounds looked through at each of two levels, and keys sampled a range.
+RANGE_ROWS, SIDE, SAMPLE = 1 << 18, 64, 16
 
 
 def dense_index(df: DataFrame, key: str, *ties: str, to: str = "idx", total: str | None = None) -> DataFrame:
     """Adds 0, 1, 2 ... in the order of key (never null), then ties; total names a column for the number of rows.
 
-    Rows are cut into ranges of the key at quantiles of a hash sample (a bounded number of keys), numbered in their
-    range, and moved on by the number of rows of the ranges before. Ties should make rows unique.
+    Rows are cut into ranges of the key at quantiles of a hash sample, numbered in their range, and moved on by the
+    number of rows of the ranges before. The ranges follow the number of rows, up to SIDE * SIDE of them; a row finds
+    its own in two steps of at most SIDE comparisons, and SAMPLE keys a range are collected. Ties should make rows unique.
     """
-    found = sorted(r[0] for r in df.select(key).orderBy(F.xxhash64(F.col(key)), key).limit(SAMPLE).collect())
-    cuts = sorted({found[i * len(found) // RANGES] for i in range(1, RANGES)}) if found else []
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array(F.lit(None).cast(df.schema[key].dataType))
-    cut = df.withColumn("__range", F.size(F.filter(bounds, lambda b: b <= F.col(key))))
+    side = min(SIDE, max(1, math.ceil(math.sqrt(df.count() / RANGE_ROWS))))
+    found = sorted(r[0] for r in df.select(key).orderBy(F.xxhash64(F.col(key)), key).limit(SAMPLE * side * side).collect()) if side > 1 else []
+    cuts = sorted({found[i * len(found) // (side * side)] for i in range(1, side * side)}) if found else []
+    chunks = [cuts[i : i + side] for i in range(0, len(cuts), side)]
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b <= F.col(key)))
+    place = F.lit(0)
+    if chunks:
+        step = below(F.array(*[F.lit(c[0]) for c in chunks[1:]])) if len(chunks) > 1 else F.lit(0)
+        place = step * side + below(F.element_at(F.array(*[F.array(*[F.lit(x) for x in c]) for c in chunks]), step + 1))
+    cut = df.withColumn("__range", place)
     before = cut.groupBy("__range").agg(F.count("*").alias("__n"))
     if total:
         before = before.withColumn(total, F.sum("__n").over(Window.partitionBy(F.lit(0))))
@@ -53,11 +62,20 @@ def worker_shares(df: DataFrame, key: str, workers: int) -> DataFrame:
     return numbered.withColumn("worker", worker_of(F.col("idx"), F.col("__total"), workers)).drop("__total")
 
 
-def chunked(df: DataFrame, group: list[str], order: list[str | Column], size: int, drop_last: bool) -> DataFrame:
-    """Adds chunk and place: rows of a group cut into chunks of a size; the last short one stays or goes."""
+def chunked(df: DataFrame, group: list[str], order: list[str | Column], size: int, drop_last: bool, slot: Column | None = None) -> DataFrame:
+    """Adds chunk and place: rows of a group (never null) cut into chunks of a size; the last short one stays or goes.
+
+    slot: a whole number that grows with the order and has few values, each with about as many rows. Slots are numbered
+    one by one and moved on by the rows of the slots before, so a group of any size is never in one task.
+    """
+    parts = df.withColumn("__slot", F.lit(0) if slot is None else slot)
+    counts = parts.groupBy(*group, "__slot").agg(F.count("*").alias("__own"))
     w = Window.partitionBy(*group)
-    df = df.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1)
-    df = df.withColumn("chunk", F.floor(F.col("__i") / size).cast("long")).withColumn("place", (F.col("__i") % size).cast("long"))
+    before = F.sum("__own").over(w.orderBy("__slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__own")
+    counts = counts.withColumn("__before", before).withColumn("__n", F.sum("__own").over(w)).drop("__own")
+    own = F.row_number().over(Window.partitionBy(*group, "__slot").orderBy(*order)) - 1
+    out = parts.withColumn("__i", own).join(counts, [*group, "__slot"]).withColumn("__i", F.col("__i") + F.col("__before"))
+    out = out.withColumn("chunk", F.floor(F.col("__i") / size).cast("long")).withColumn("place", (F.col("__i") % size).cast("long"))
     if drop_last:
-        df = df.withColumn("__n", F.count("*").over(w)).filter(F.col("chunk") < F.floor(F.col("__n") / size)).drop("__n")
-    return df.drop("__i")
+        out = out.filter(F.col("chunk") < F.floor(F.col("__n") / size))
+    return out.drop("__i", "__slot", "__before", "__n")

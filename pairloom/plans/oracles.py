@@ -78,6 +78,15 @@ def _heat() -> str:
  SELECT id, p, round(least(greatest(0.6 * {scaled("l")} + 0.3 * {scaled("k")} + 0.1 * {scaled("t")}, 0.0), 1.0), 6) + 0.0 AS v FROM parts JOIN q USING (id)"""
 
 
+def _lab() -> str:
+    straight = lambda x: f"(CASE WHEN {x} > 0.04045 THEN pow(({x} + 0.055) / 1.055, 2.4) ELSE {x} / 12.92 END)"
+    bent = lambda x: f"(CASE WHEN {x} > 216.0::DOUBLE / 24389 THEN cbrt({x}) ELSE {x} * (841.0::DOUBLE / 108) + 16.0::DOUBLE / 116 END)"
+    return f"""WITH {PIXELS}, lin AS (SELECT id, p, {straight("least(abs(v), 1.0)")} AS r, {straight("(1 - least(abs(v), 1.0))")} AS g, {straight("(least(abs(v), 1.0) * least(abs(v), 1.0))")} AS b FROM px),
+ xyz AS (SELECT id, p, (0.412453::DOUBLE * r + 0.357580::DOUBLE * g + 0.180423::DOUBLE * b) / 0.950456 AS x, 0.212671::DOUBLE * r + 0.715160::DOUBLE * g + 0.072169::DOUBLE * b AS y, (0.019334::DOUBLE * r + 0.119193::DOUBLE * g + 0.950227::DOUBLE * b) / 1.088754 AS z FROM lin),
+ f AS (SELECT id, p, {bent("x")} AS x, {bent("y")} AS y, {bent("z")} AS z FROM xyz)
+ SELECT id, p, round(116 * y - 16, 5) + 0.0 AS l, round(500 * (x - y), 5) + 0.0 AS a, round(200 * (y - z), 5) + 0.0 AS b FROM f"""
+
+
 SQL: dict[str, str] = {
     "ordered_pairs": f"""WITH {EDITS}, used AS (SELECT * FROM edits WHERE shard NOT IN (3) AND category IN ('{ADD}', '{REMOVE}')),
  n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY shard, "row") - 1 + CASE WHEN category = '{ADD}' THEN 0 ELSE (SELECT count(*) FROM used WHERE category = '{ADD}') END AS id FROM used)
@@ -127,6 +136,10 @@ SQL: dict[str, str] = {
     "heat_p99": f"""WITH {PIXELS}, q AS (SELECT id, quantile_cont(v, 0.99) FILTER (WHERE v > 0) AS p99 FROM px GROUP BY id)
  SELECT q.id, round(p99, 6) AS p99, round(sum(CASE WHEN p99 > 0 THEN least(greatest(v / (p99 + 1e-6), 0.0), 1.0) ELSE 0.0 END), 6) AS heat FROM q JOIN px ON q.id = px.id GROUP BY q.id, p99""",
     "weighted_heatmap": _heat(),
+    "lab_colors": _lab(),
+    "soft_edge": f"""WITH {PIXELS}, m AS (SELECT id, p, r, c, v > 0.15 AS s FROM px), d AS (SELECT a.id, a.p, sqrt(min((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c))) AS d FROM m a JOIN m b ON a.id = b.id AND b.s GROUP BY a.id, a.p)
+ SELECT m.id, m.p, round(coalesce(least(greatest(1 - d / 3, 0.0), 1.0), 0.0), 6) + 0.0 AS v FROM m LEFT JOIN d ON m.id = d.id AND m.p = d.p""",
+    "byte_thresholds": f"WITH {PIXELS} SELECT id, count(*) FILTER (WHERE floor(abs(v) * 100.0) + 110 > 127) AS over_127, count(*) FILTER (WHERE floor(abs(v) * 100.0) + 110 > 128) AS over_128 FROM px GROUP BY id",
     "linear_light": f"WITH {PIXELS} SELECT id, round(sum(pow(abs(v) * 255.0 / 255.0, 2.2)), 6) AS light FROM px GROUP BY id",
     "gradient_sum": f"WITH g AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings) SELECT id, round({_sobel()}, 5) AS gradient FROM g",
     "maxpool": f"WITH {PIXELS} SELECT id, r // 4 * 2 + c // 4 AS p, round(max(v), 6) AS v FROM px GROUP BY ALL",

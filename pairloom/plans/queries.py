@@ -275,6 +275,38 @@ def weighted_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(found, "h", "v").withColumn("v", rounded(F.col("v")))
 
 
+@query
+def lab_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L, a and b of pixels whose red, green and blue are |v|, 1 - |v| and v * v, each times 255."""
+    import numpy as np
+    import pyarrow as pa
+
+    def lab(m: np.ndarray) -> list[list[float]]:
+        v = np.minimum(np.abs(m), 1)
+        return raster.lab_of(255 * np.stack([v, 1 - v, v * v], -1)).reshape(-1, 3).tolist()
+
+    found = raster.map_grids(views.grids(spark, sf_dir), "v", H, W, lab, "x", "array<array<double>>", pa.list_(pa.list_(pa.float64())))
+    # the rounding of 5 digits hides the last bits of powers and roots
+    return exploded(found, "x", "c").select("id", "p", *[rounded(F.col("c")[k], 5).alias(n) for k, n in enumerate(("l", "a", "b"))])
+
+
+@query
+def soft_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights that fall from a mask's edge to nothing within three pixels."""
+    import pyarrow as pa
+
+    found = raster.map_grids(masks(spark, sf_dir, 0.15), "m", H, W, lambda m: raster.soft_edge(m, 3).ravel().tolist(), "x", "array<double>", pa.list_(pa.float64()))
+    return exploded(found, "x", "v").withColumn("v", rounded(F.col("v")))
+
+
+@query
+def byte_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks of 8-bit grids at the two thresholds, which differ at 128 only."""
+    g = views.grids(spark, sf_dir).select("id", F.transform("v", lambda x: F.floor(F.abs(x) * 100.0) + 110.0).alias("v"))
+    at = lambda k: px.total(px.binary(F.col("v"), k).cast("array<double>")).cast("long")
+    return g.select("id", at(127.0).alias("over_127"), at(128.0).alias("over_128"))
+
+
 @query
 def linear_light(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = views.grids(spark, sf_dir)

@@ -187,3 +187,22 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_numbering_in_many_ranges(spark, monkeypatch):
+    """Ranges of a few rows at two levels, a key that many rows share, and groups dealt to slots."""
+    from pyspark.sql import functions as F
+
+    from pairloom.operators import order
+
+    monkeypatch.setattr(order, "RANGE_ROWS", 20)
+    rows = [(f"k{(i * 7919) % 997:04}", i) for i in range(900)] + [("k0500", 1000 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, n long").repartition(5)
+    got = order.dense_index(df, "key", "n", total="all").collect()
+    assert [(r.key, r.n) for r in sorted(got, key=lambda r: r.idx)] == sorted(rows) and {r["all"] for r in got} == {1200}
+    assert [r.idx for r in sorted(got, key=lambda r: r.idx)] == list(range(1200))
+    empty = order.dense_index(df.filter("false"), "key")
+    assert empty.count() == 0
+    plain = order.chunked(df, ["key"], ["n"], 7, True).collect()
+    dealt = order.chunked(df, ["key"], ["n"], 7, True, F.floor(F.col("n") / 100).cast("int")).collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, dealt)) and len(plain) > 200
