@@ -34,7 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written under the shared folder: lineage ends there, and a lost executor costs no recomputation."""
+    """Tables written under the shared folder: lineage ends there, and a lost executor costs no recomputation.
+
+    Results read them lazily, so they stay as long as the driver runs and are deleted when it ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -43,12 +46,17 @@ class Scratch:
         """Writes df once; the schema is kept, so nothing is inferred when it is read."""
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        root, fs = self._at(self.root)
+        fs.deleteOnExit(root)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _at(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = self._at(f"{self.root}/{name}")
+        fs.delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
