@@ -41,6 +41,8 @@ PIECE = 1 << 20
 HELD = 1 << 20
 PLACE = 24
 ASK, DIRECT, COVERED = 0, 1, 2
+#: Tasks that the blocks of one anchor are dealt to when hot anchors are marked.
+SALTS = 32
 
 K = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
@@ -312,7 +314,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     second = scratch.save(asked.repartition("route").sortWithinPartitions("m").mapInArrow(_decide, "covered boolean, m long, key long, s int, n int"), "settled")
     compare = second.filter("not covered")
     hot = compare.groupBy("m").agg(F.count("*").alias("blocks")).filter(F.col("blocks") > hot_blocks).select("m", F.lit(True).alias("is_hot"))
-    lists = compare.join(hot, "m", "left").groupBy("key").agg(F.collect_list(F.struct("m", "s", "n", F.coalesce("is_hot", F.lit(False)).alias("hot"))).alias("at"))
+    # an anchor's blocks are dealt to several tasks to learn whether it is hot
+    salted = compare.withColumn("salt", F.pmod(F.xxhash64("key", "s"), F.lit(SALTS)).cast("int"))
+    hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lists = salted.join(hot, ["m", "salt"], "left").groupBy("key").agg(F.collect_list(F.struct("m", "s", "n", F.coalesce("is_hot", F.lit(False)).alias("hot"))).alias("at"))
     parts = rows.select("key", "text").join(lists, "key").mapInArrow(_cut_out, "m long, key long, s int, n int, data binary, done boolean")
     third = scratch.save(parts.repartition("m").sortWithinPartitions("m").mapInArrow(_radix, "key long, s int, n int"), "found")
     covered = second.filter("covered").select("key", "s", "n").unionByName(third).groupBy("key").agg(F.collect_list(F.struct("s", "n")).alias("at"))
