@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from functools import lru_cache
+from os.path import commonprefix
 
 import pyarrow as pa
 import regex
@@ -34,10 +35,26 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+#: The steps that are done here, as a file names them.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def _check(spec: dict) -> None:
+    """Raises for a file with other steps than those of this module."""
+    model, steps = spec["model"], spec["pre_tokenizer"].get("pretokenizers", [])
+    split = [(s["type"], s.get("behavior"), s.get("invert")) for s in steps if s["type"] == "Split"]
+    plain = [s for s in steps if s["type"] == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"]]
+    free = [t["content"] for t in spec["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+    odd = model["type"] != "BPE" or not model["end_of_word_suffix"] or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if (spec["normalizer"] or {}).get("normalizers") != NORMAL or split != [("Split", "Removed", True)] or len(plain) != 1 or len(steps) != 2 or free or odd:
+        raise ValueError("only byte-level BPE files with word ends, NFC, single spaces and lower case are read")
+
+
 class PrefixCounter:
     def __init__(self, path: str, most_pieces: int = 1_000_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec)
         byte, mark = byte_letters(), spec["model"]["end_of_word_suffix"]
 
         def plain(token: str) -> str:
@@ -52,6 +69,8 @@ class PrefixCounter:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.split = regex.compile(" ?(?:" + split + ")")
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
+        # what all special strings begin with: texts without it have none
+        self.begin = commonprefix(sorted(added))
         # the counts of a piece's prefixes, and the last of them
         self.prefixes = Kept(self._prefixes, most_pieces)
         self.pieces = Kept(lambda piece: self.prefixes[piece][-1], most_pieces)
@@ -91,7 +110,7 @@ class PrefixCounter:
 
     def _parts(self, text: str) -> list[str]:
         """Stretches between special strings; each gap between two is one token."""
-        return self.special.split(text) if self.special and "<|" in text else [text]
+        return self.special.split(text) if self.special and self.begin in text else [text]
 
     def count(self, text: str) -> int:
         get, total, parts = self.pieces.__getitem__, 0, self._parts(text)

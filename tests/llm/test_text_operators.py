@@ -1,6 +1,7 @@
 """Operators that score or rewrite one text at a time."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -81,6 +82,15 @@ def test_counts_equal_the_library(library):
         assert c.count(s) == len(library.encode(s, add_special_tokens=False).ids), repr(s)
 
 
+def test_other_steps_raise(tmp_path):
+    with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"added_tokens": [{**spec["added_tokens"][0], "lstrip": True}]}, {"model": {**spec["model"], "ignore_merges": True}}):
+        (tmp_path / "other.json").write_text(json.dumps({**spec, **change}))
+        with pytest.raises(ValueError, match="are read"):
+            token_counts.PrefixCounter(str(tmp_path / "other.json"))
+
+
 def test_every_prefix(library):
     c = token_counts.counter("word_bpe_49k.json")
     for s in strings(120, 6, 30):
