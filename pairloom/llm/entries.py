@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .filter_audit import AUDIT_SQL, op11_filter_audit
 from .language_model import op5_language_model
 from .mixing import op6_mix_sources
 from .neighbours import op10_nearest
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_quality_rules": op9_quality_rules,
     "op10_nearest": op10_nearest,
+    "op11_filter_audit": op11_filter_audit,
 }
 
-SQL: dict[str, str] = {"op9_quality_rules": QUALITY_SQL}
+SQL: dict[str, str] = {"op9_quality_rules": QUALITY_SQL, "op11_filter_audit": AUDIT_SQL}
