@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .filter_audit import AUDIT_SQL, op11_filter_audit
+from .hard_negatives import NEGATIVES_SQL, op13_hard_negatives
 from .language_model import op5_language_model
 from .mixing import op6_mix_sources
 from .neighbours import op10_nearest
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_nearest": op10_nearest,
     "op11_filter_audit": op11_filter_audit,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-SQL: dict[str, str] = {"op9_quality_rules": QUALITY_SQL, "op11_filter_audit": AUDIT_SQL}
+SQL: dict[str, str] = {"op9_quality_rules": QUALITY_SQL, "op11_filter_audit": AUDIT_SQL, "op13_hard_negatives": NEGATIVES_SQL}
