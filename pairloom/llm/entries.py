@@ -11,6 +11,7 @@ from .hard_negatives import NEGATIVES_SQL, op13_hard_negatives
 from .language_model import op5_language_model
 from .mixing import op6_mix_sources
 from .neighbours import op10_nearest
+from .ngram_join import op12_ngram_join
 from .personal import op8_personal_data
 from .pieces import op3_sentencepiece
 from .quality import QUALITY_SQL, op9_quality_rules
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_nearest": op10_nearest,
     "op11_filter_audit": op11_filter_audit,
+    "op12_ngram_join": op12_ngram_join,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
