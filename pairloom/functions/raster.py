@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 
-def map_grids(df: DataFrame, column: str, height: int, width: int, f: Callable[[np.ndarray], object], to: str, kind: str, arrow: pa.DataType) -> DataFrame:
-    """df with a column `to`: f of each row's grid; null for null."""
+def map_grids(df: DataFrame, column: str, height: int, width: int, f: Callable[..., object], to: str, kind: str, arrow: pa.DataType, also: Sequence[str] = ()) -> DataFrame:
+    """df with a column `to`: f of each row's grid and of its columns `also`; null for null."""
     rows = df.select(*[F.col(f"`{c}`") for c in df.columns if c != to])
 
     def run(batches):
@@ -21,64 +22,109 @@ def map_grids(df: DataFrame, column: str, height: int, width: int, f: Callable[[
             grids = batch.column(at)
             flat = grids.flatten().to_numpy(zero_copy_only=False).reshape(-1, height, width)
             grid = iter(flat)
-            out = [f(next(grid)) if there else None for there in grids.is_valid().to_pylist()]
+            more = list(zip(*(batch.column(c).to_pylist() for c in also), strict=True)) if also else [()] * batch.num_rows
+            out = [f(next(grid), *x) if there else None for there, x in zip(grids.is_valid().to_pylist(), more, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], names=[*batch.schema.names, to])
 
     return rows.mapInArrow(run, StructType([*rows.schema, StructField(to, DataType.fromDDL(kind))]))
 
 
-def ring(width: int) -> list[tuple[int, int]]:
-    """The offsets of a disk."""
-    return [(r, c) for r in range(-width, width + 1) for c in range(-width, width + 1) if r * r + c * c <= width * width]
-
-
 def moved(mask: np.ndarray, dr: int, dc: int, fill) -> np.ndarray:
+    """A picture moved by rows and columns; a move beyond its sides leaves nothing of it."""
     out = np.full_like(mask, fill)
     h, w = mask.shape
-    out[max(0, dr) : h + min(0, dr), max(0, dc) : w + min(0, dc)] = mask[max(0, -dr) : h + min(0, -dr), max(0, -dc) : w + min(0, -dc)]
+    if abs(dr) < h and abs(dc) < w:
+        out[max(0, dr) : h + min(0, dr), max(0, dc) : w + min(0, dc)] = mask[max(0, -dr) : h + min(0, -dr), max(0, -dc) : w + min(0, -dc)]
     return out
 
 
-def dilated(mask: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
-    return np.logical_or.reduce([moved(mask, r, c, False) for r, c in offsets])
+def widened(mask: np.ndarray, reach: int, axis: int) -> np.ndarray:
+    """Set where a set pixel is at most `reach` places away along an axis: differences of running sums."""
+    n = mask.shape[axis]
+    sums = np.concatenate([np.zeros_like(mask.take([0], axis), dtype=np.int32), np.cumsum(mask, axis, dtype=np.int32)], axis)
+    at = np.arange(n)
+    return sums.take(np.minimum(at + reach + 1, n), axis) > sums.take(np.maximum(at - reach, 0), axis)
+
+
+def box_dilated(mask: np.ndarray, kernel: int, times: int = 1) -> np.ndarray:
+    """Dilated `times` times by a square of odd side; squares add up, so all times are one pass for each axis."""
+    reach = kernel // 2 * times
+    return widened(widened(mask > 0, reach, 0), reach, 1)
+
+
+def disk_dilated(mask: np.ndarray, radius: int) -> np.ndarray:
+    """Dilated by a disk, one pass for each of its rows."""
+    out = np.zeros(mask.shape, bool)
+    for dr in range(radius + 1):
+        wide = widened(mask, math.isqrt(radius * radius - dr * dr), 1)
+        out |= moved(wide, dr, 0, False)
+        out |= moved(wide, -dr, 0, False)
+    return out
 
 
-def eroded(mask: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
-    return np.logical_and.reduce([moved(mask, r, c, True) for r, c in offsets])
+def disk_eroded(mask: np.ndarray, radius: int) -> np.ndarray:
+    """Eroded by a disk; what lies outside the picture has no say."""
+    return ~disk_dilated(~mask, radius)
 
 
 def opened_closed(mask: np.ndarray, radius: int = 3) -> np.ndarray:
     """Opening, then closing, with a disk; what lies outside the picture has no say."""
-    disk, mask = ring(radius), mask > 0
-    mask = dilated(eroded(mask, disk), disk)
-    return eroded(dilated(mask, disk), disk)
+    mask = disk_dilated(disk_eroded(mask > 0, radius), radius)
+    return disk_eroded(disk_dilated(mask, radius), radius)
 
 
 EIGHT = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)]
 FOUR = [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)]
 
 
-def labelled(mask: np.ndarray, offsets: list[tuple[int, int]] = EIGHT) -> np.ndarray:
-    """Each set pixel gets the smallest place (in row order) of its component, others -1."""
-    mask = mask > 0
-    far = mask.size
-    label = np.where(mask, np.arange(far).reshape(mask.shape), far)
+def _least_joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of 0 .. n - 1 that each is joined with by the pairs (a, b)."""
+    label = np.arange(n)
     while True:
-        low = np.where(mask, np.minimum.reduce([moved(label, r, c, far) for r, c in offsets]), far)
-        # a label is the place of a pixel of the same component: its own label is as good
-        low = np.where(mask, np.append(low.reshape(-1), far)[low], far)
-        if (low == label).all():
-            return np.where(mask, label, -1)
-        label = low
+        x, y = label[a], label[b]
+        low, new = np.minimum(x, y), label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def labelled(mask: np.ndarray, offsets: list[tuple[int, int]] = EIGHT) -> np.ndarray:
+    """Each set pixel gets the smallest place (in row order) of its component, others -1.
+
+    Components are made of the runs of rows: those that touch in neighbouring rows are joined.
+    """
+    h, w = mask.shape
+    # columns of unset pixels on both sides keep the runs of a row from the next row's
+    flat = np.pad(mask > 0, ((0, 0), (1, 1))).ravel().astype(np.int8)
+    wide, slack = w + 2, int(len(offsets) > 5)
+    edge = np.diff(flat, prepend=0, append=0)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    first = np.searchsorted(end, start + wide - slack, "right")
+    last = np.searchsorted(start, end + wide + slack, "left")
+    n = np.maximum(last - first, 0)
+    a = np.repeat(np.arange(len(start)), n)
+    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    root = start[_least_joined(len(start), a, b)]
+    out = np.full(h * wide, -1)
+    out[np.repeat(start, end - start) + np.arange((end - start).sum()) - np.repeat(np.cumsum(end - start) - (end - start), end - start)] = np.repeat(root // wide * w + root % wide - 1, end - start)
+    return out.reshape(h, wide)[:, 1:-1]
 
 
 def component_rows(mask: np.ndarray) -> list[dict]:
     """label, area and half-open bounds of the components, in order of their labels."""
-    label, out = labelled(mask), []
-    for k in np.unique(label[label >= 0]):
-        r, c = np.nonzero(label == k)
-        out.append({"label": int(k), "area": len(r), "x1": int(c.min()), "y1": int(r.min()), "x2": int(c.max()) + 1, "y2": int(r.max()) + 1})
-    return out
+    label = labelled(mask)
+    r, c = np.nonzero(label >= 0)
+    ids, own, area = np.unique(label[r, c], return_inverse=True, return_counts=True)
+    low, high = np.full((2, len(ids)), label.size), np.zeros((2, len(ids)), np.int64)
+    for k, at in enumerate((c, r)):
+        np.minimum.at(low[k], own, at)
+        np.maximum.at(high[k], own, at + 1)
+    names = ("label", "area", "x1", "y1", "x2", "y2")
+    return [dict(zip(names, row, strict=True)) for row in zip(ids.tolist(), area.tolist(), *low.tolist(), *high.tolist(), strict=True)]
 
 
 COMPONENT = pa.list_(pa.struct([(n, pa.int64()) for n in ("label", "area", "x1", "y1", "x2", "y2")]))
@@ -149,50 +195,120 @@ def shrunk(mask: np.ndarray, keep: float) -> np.ndarray:
     return mask & (d > np.sort(d[mask])[less - 1])
 
 
+#: What a step costs in the 5 x 5 chamfer distance, in 65,536ths: straight on, diagonally, like a knight; fixed values.
+STRAIGHT, DIAGONAL, KNIGHT = 65536, 91750, 143976
+#: The distance of pixels that no unset pixel can be reached from.
+FAR = (1 << 31) - 1 >> 2
+
+
+def chamfer_distance(mask: np.ndarray) -> np.ndarray:
+    """How far each set pixel is from the nearest unset one in steps of the 5 x 5 chamfer, in 65,536ths.
+
+    Two passes: downwards from the two rows above and the pixel on the left, then the same from the other end. The steps
+    along a row are one running minimum.
+    """
+    h, w = mask.shape
+    d = np.full((h + 4, w + 4), FAR, np.int64)
+    d[2:-2, 2:-2] = np.where(mask > 0, FAR, 0)
+    along = STRAIGHT * np.arange(w)
+    for _ in range(2):
+        for r in range(2, h + 2):
+            near, far = d[r - 1], d[r - 2]
+            row = np.minimum.reduce([
+                d[r, 2:-2],
+                near[2:-2] + STRAIGHT,
+                np.minimum(near[1:-3], near[3:-1]) + DIAGONAL,
+                np.minimum(np.minimum(near[:-4], near[4:]), np.minimum(far[1:-3], far[3:-1])) + KNIGHT,
+            ])
+            d[r, 2:-2] = np.minimum(np.minimum.accumulate(row - along) + along, FAR)
+        d = d[::-1, ::-1]
+    return d[2:-2, 2:-2]
+
+
+def chamfer_shrunk(mask: np.ndarray, keep: float) -> np.ndarray:
+    """Shrunk to about `keep` of its pixels by chamfer distance; all at the last distance go.
+
+    A mask without an outside has one distance everywhere, so nothing of it stays.
+    """
+    mask = mask > 0
+    less = int(mask.sum()) - int(int(mask.sum()) * keep)
+    if less <= 0:
+        return mask
+    d = chamfer_distance(mask)
+    return d > np.partition(d[mask], less - 1)[less - 1]
+
+
 def soft_edge(mask: np.ndarray, width: int = 8) -> np.ndarray:
     if not (mask > 0).any():
         return np.zeros(mask.shape)
     return np.where(mask > 0, 1.0, np.clip(1 - np.sqrt(square_distance(mask)) / max(1, width), 0, 1))
 
 
+def outer_components(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The labels of a mask's pixels, and those of its components that no hole of another holds.
+
+    Unset pixels are joined by four neighbours, so the border of a component is closed to them; a component lies outside
+    of all holes if it touches the unset region around the picture.
+    """
+    room = np.pad(mask > 0, 1)
+    ground = labelled(~room, FOUR)
+    around = ground == ground[0, 0]
+    beside = np.logical_or.reduce([moved(around, r, c, False) for r, c in FOUR[1:]])
+    label = labelled(mask)
+    return label, np.unique(label[beside[1:-1, 1:-1] & (label >= 0)])
+
+
+def _turns(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The corners of one side of a convex hull, of points in order, without the last."""
+    held: list[tuple[int, int]] = []
+    for p in points:
+        while len(held) > 1 and (held[-1][0] - held[-2][0]) * (p[1] - held[-2][1]) <= (held[-1][1] - held[-2][1]) * (p[0] - held[-2][0]):
+            held.pop()
+        held.append(p)
+    return held[:-1]
+
+
 def hull_filled(mask: np.ndarray) -> np.ndarray:
-    """Each component filled to its convex hull: a pixel is inside if it is on no edge's outer side."""
+    """Each outer component filled to its convex hull: the pixels whose centres are in it or on its border.
+
+    A hull is made of the first and last pixels of a component's rows and filled row by row, between the least and the
+    greatest place where an edge meets the row.
+    """
+    h, w = mask.shape
     out = np.zeros(mask.shape, bool)
-    rows, cols = np.indices(mask.shape)
-    label = labelled(mask)
-    for k in np.unique(label[label >= 0]):
-        points = sorted((int(x), int(y)) for y, x in np.argwhere(label == k))
-
-        def chain(pts):
-            held: list[tuple[int, int]] = []
-            for p in pts:
-                while len(held) > 1 and (held[-1][0] - held[-2][0]) * (p[1] - held[-2][1]) <= (held[-1][1] - held[-2][1]) * (p[0] - held[-2][0]):
-                    held.pop()
-                held.append(p)
-            return held[:-1]
-
-        hull = chain(points) + chain(points[::-1]) or points
-        inside = np.ones(mask.shape, bool)
+    label, outer = outer_components(mask)
+    r, c = np.nonzero(np.isin(label, outer) & (label >= 0))
+    own = np.searchsorted(outer, label[r, c])
+    low, high = np.full((len(outer), h), w), np.full((len(outer), h), -1)
+    np.minimum.at(low, (own, r), c)
+    np.maximum.at(high, (own, r), c)
+    for k in range(len(outer)):
+        rows = np.flatnonzero(high[k] >= 0)
+        points = sorted({(int(x), int(y)) for side in (low[k], high[k]) for x, y in zip(side[rows], rows, strict=True)})
+        hull = _turns(points) + _turns(points[::-1]) or points
+        first, last = np.full(h, w), np.full(h, -1)
         for (ax, ay), (bx, by) in zip(hull, hull[1:] + hull[:1], strict=True):
-            inside &= (bx - ax) * (rows - ay) - (by - ay) * (cols - ax) >= 0
-        if len(hull) < 3:
-            inside &= (cols >= min(p[0] for p in hull)) & (cols <= max(p[0] for p in hull)) & (rows >= min(p[1] for p in hull)) & (rows <= max(p[1] for p in hull))
-        out |= inside
+            if ay == by:
+                first[ay], last[ay] = min(first[ay], ax, bx), max(last[ay], ax, bx)
+                continue
+            (ax, ay), (bx, by) = sorted([(ax, ay), (bx, by)], key=lambda p: p[1])
+            y = np.arange(ay, by + 1)
+            up = (bx - ax) * (y - ay)
+            first[y] = np.minimum(first[y], ax - (-up // (by - ay)))
+            last[y] = np.maximum(last[y], ax + up // (by - ay))
+        out |= (np.arange(w)[None, :] >= first[:, None]) & (np.arange(w)[None, :] <= last[:, None])
     return out
 
 
 def hull_expanded(mask: np.ndarray, kernel: int, times: int) -> np.ndarray:
-    out, reach = hull_filled(mask), [(r, c) for r in range(-(kernel // 2), kernel // 2 + 1) for c in range(-(kernel // 2), kernel // 2 + 1)]
-    for _ in range(times):
-        out = dilated(out, reach)
-    return out
+    """The hulls of the outer components, dilated `times` times by a square."""
+    return box_dilated(hull_filled(mask), kernel, times)
 
 
 def holed(mask: np.ndarray, seeds: np.ndarray, kernel: int, least: float = 0.4) -> np.ndarray:
     """Square holes at seeds; undone where less than `least` of the mask would stay."""
     mask = mask > 0
-    reach = [(r, c) for r in range(-(kernel // 2), kernel // 2 + 1) for c in range(-(kernel // 2), kernel // 2 + 1)]
-    out = mask & ~dilated(seeds > 0, reach)
+    out = mask & ~box_dilated(seeds, kernel)
     return mask if out.sum() < mask.sum() * least else out
 
 

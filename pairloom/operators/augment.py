@@ -39,14 +39,14 @@ def augmented(mask: np.ndarray, mode: str, rng: np.random.Generator, ranges: Ran
     """A mask of 0 and 255 changed by a mode; unknown modes only binarize."""
     m = mask > 128
     if mode == "shrink":
-        m = raster.shrunk(m, rng.uniform(*ranges.keep))
+        m = raster.chamfer_shrunk(m, rng.uniform(*ranges.keep))
     elif mode == "expand" and m.any():
         m = raster.hull_expanded(m, int(rng.choice(ranges.kernels)), int(rng.integers(ranges.times[0], ranges.times[1] + 1)))
     elif mode == "holes":
         m = raster.holed(m, rng.random(m.shape) < ranges.hole_share, int(rng.choice(ranges.holes)))
     elif mode == "shift":
         dx, dy = (int(v) for v in rng.integers(-ranges.shift, ranges.shift + 1, 2))
-        m = raster.moved(m, dy, dx, False) if abs(dy) < m.shape[0] and abs(dx) < m.shape[1] else np.zeros_like(m)
+        m = raster.moved(m, dy, dx, False)
     return m.astype(np.uint8) * 255
 
 

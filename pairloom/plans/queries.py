@@ -578,3 +578,6 @@ def padded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def escaped_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat(F.lit("<"), F.col("r_name"), F.lit("> & 100% \"a\"_{'b'}"))
     return views.table(spark, sf_dir, "region").select("r_regionkey", cell_functions.html_escaped(t).alias("html"), cell_functions.latex_escaped(F.concat(F.col("r_name"), F.lit("_50%&#"))).alias("latex"), cell_functions.rst_first(F.lit("  ")).alias("rst"))
+
+
+from . import picture_queries  # noqa: E402, F401 - registers its queries
