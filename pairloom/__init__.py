@@ -28,8 +28,9 @@ _HOMES = {
     "iou": "functions.boxes",
     "difference_heat": "functions.raster",
     "expanded": "functions.raster",
-    "render": "functions.render",
-    "show_table": "functions.render",
+    "resized": "functions.resample",
+    "resize_pictures": "functions.resample",
+    "paste_back": "functions.resample",
     "read_shards": "sources.shards",
 }
 __all__ = sorted(_HOMES)

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pairloom.functions import cells, raster, render
+from pairloom.functions import cells, raster
 from pairloom.functions import pixels as px
 from pairloom.functions.boxes import iou
 from pairloom.operators.order import dense_index, positional_join, worker_shares
@@ -50,28 +50,6 @@ def test_column_type(spark, values, want):
     assert cells.column_types(df).first().type == want
 
 
-ROWS = [["spam", 41.9999], ["eggs", "451.0"]]
-
-
-def test_render():
-    assert len(render.FORMATS) == 37
-    assert render.render(ROWS, ["strings", "numbers"]) == "strings      numbers\n---------  ---------\nspam         41.9999\neggs        451"
-    assert render.render(ROWS, fmt="plain") == "spam   41.9999\neggs  451"
-    assert render.render(ROWS, ["strings", "numbers"], "pipe").splitlines()[1] == "|:----------|----------:|"
-    assert render.render(ROWS, ["strings", "numbers"], "latex").splitlines()[2:4] == [" strings   &   numbers \\\\", "\\hline"]
-    assert render.render(ROWS, ["n"], "tsv").splitlines()[0].endswith("n")
-    assert hasattr(render.render(ROWS, fmt="html"), "_repr_html_")
-    assert "&lt;b&gt;" in render.render([["<b>"]], fmt="html") and "<b>" in render.render([["<b>"]], fmt="unsafehtml")
-    assert render.render([["a", 1], [render.SEPARATOR, ""], ["b", 2]], fmt="outline").count("+---+---+") == 2
-    assert render.render([["x"]], fmt="no such format") == render.render([["x"]])
-    assert render.render([[1, "a\nb"]], fmt="grid").splitlines()[2] == "|   | b |"
-    assert render.render([["x", "a\nb\nc"]], fmt="plain", row_align="bottom").splitlines()[2].startswith("x")
-    assert render.render([["x", "a\nb\nc"]], fmt="plain", row_align="center").splitlines()[1].startswith("x")
-    for name in render.FORMATS:
-        assert "spam" in render.render([*ROWS, [None, None]], ["strings", "numbers"], name)
-        render.render([], ["a"], name)
-
-
 def test_dense_index_and_shares(spark):
     df = spark.range(103).select(F.format_string("%03d", F.pmod(F.col("id") * 37, F.lit(103))).alias("stem"))
     got = worker_shares(df, "stem", 8).orderBy("stem").collect()
