@@ -6,8 +6,8 @@ A pair is a candidate only if that holds under each of several orders, so the fi
 
 1. Under the first order the prefixes of all sets are dealt out by shingle. A shingle that no other set of a fitting size
    has in its prefix makes no candidates, and its rows end there.
-2. Pairs that still stand must pass an upper bound of their shared shingles, the sum of the smaller counts of a histogram
-   of both sets, before any text is moved.
+2. Pairs that still stand must pass an upper bound of their shared shingles before any text is moved: the sum over the
+   cells of a histogram of the smaller of both counts.
 3. Where the two texts meet, their prefixes under all other orders must meet as well, and then the sets are compared.
 
 All orders put shingles last that many documents have, as counted in a bounded sample; each then goes by a hash of its
@@ -42,7 +42,7 @@ from .repeats import whole_groups
 from .simhash import SEED, connect
 
 #: Documents of the sample that shapes the orders, the fewest of them a common shingle is in, and common shingles kept.
-SAMPLE, COMMON, MOST_COMMON = 8192, 4, 1 << 17
+SAMPLE, COMMON, MOST_COMMON = 65536, 4, 1 << 18
 #: Tasks that the list of a common shingle is dealt to.
 SALTS = 16
 _R = np.random.default_rng(SEED)
@@ -117,8 +117,8 @@ def common_shingles(docs: DataFrame, width: int) -> Orders:
     limit = min(share, SAMPLE * share // max(1, docs.count()) + 1)
     some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) < limit).select(text_of().alias("text"))
     counts = some.mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
-    rows = counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).collect()
-    return Orders(np.array([r.token for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64))
+    rows = counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()
+    return Orders(rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy())
 
 
 def marked(docs: DataFrame, orders, least: int, width: int) -> DataFrame:
@@ -194,9 +194,16 @@ def prefix_lists(marks: DataFrame, least: int) -> DataFrame:
 
 
 def few_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): each set with two others, those it shares most prefix shingles with of its lists' least and greatest."""
-    ends = lists.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
-    met = lists.select("token", "key").join(ends, "token").select("key", F.explode(F.array("low", "high")).alias("other")).filter("key <> other")
+    """(a, b): each set with two others of its lists, those it shares most prefix shingles with.
+
+    A list offers its least set and its most central one: the set of whose prefix the largest part is in lists. What a
+    copy has changed is in no list, so the text that many were made from is central to all of them.
+    """
+    part = F.max(F.struct("n", "key"))
+    central = lists.groupBy("key").agg(F.count("*").alias("m"), F.first("n").alias("size")).select("key", F.floor(1000 * F.col("m") / F.col("size")).cast("int").alias("n"))
+    ranked = lists.select("token", "key").join(central, "key")
+    ends = ranked.groupBy("token").agg(F.min("key").alias("low"), part.alias("high")).select("token", "low", F.col("high.key").alias("high"))
+    met = lists.select("token", "key").join(ends, "token").select("key", F.explode(F.array_distinct(F.array("low", "high"))).alias("other")).filter("key <> other")
     shared = met.groupBy("key", "other").agg(F.count("*").alias("n"))
     best = shared.withColumn("rank", F.expr("row_number() over (partition by key order by n desc, other)")).filter("rank <= 2")
     return best.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
@@ -206,12 +213,12 @@ PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _apart(least: int):
-    """Pairs of sets from different components, of fitting size and place, in each group of rows sorted by gid and n."""
+    """Pairs of sets from different components whose sizes, places and histograms fit, of rows sorted by gid and n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "gid"):
             gid, key, root, n, pos, part, i, j = (t.column(c).to_numpy() for c in ("gid", "key", "root", "n", "pos", "part", "i", "j"))
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            n, pos, cells = n.astype(np.int64), pos.astype(np.int64), t.column("cells").to_pylist()
             # x is the smaller set of a pair, and its place has to leave it enough
             x, step = np.flatnonzero(n - pos >= enough(n, n, least)), 1
             while len(x):
@@ -220,8 +227,10 @@ def _apart(least: int):
                 go = (gid[x] == gid[y]) & (100 * n[x] >= least * n[y])
                 x, y = x[go], y[go]
                 fits = (root[x] != root[y]) & ((i[x] == j[x]) | (part[x] != part[y]))
-                fits &= np.minimum(n[x] - pos[x], n[y] - pos[y]) >= enough(n[x], n[y], least)
-                a, b = key[x[fits]], key[y[fits]]
+                need = enough(n[x], n[y], least)
+                fits &= np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need
+                at = [k for k in np.flatnonzero(fits).tolist() if most_shared(cells[x[k]], cells[y[k]], int(n[x[k]])) >= need[k]]
+                a, b = key[x[at]], key[y[at]]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=PAIRS)
                 step += 1
@@ -229,16 +238,16 @@ def _apart(least: int):
     return run
 
 
-def pairs_apart(lists: DataFrame, roots: DataFrame, least: int, block: int) -> DataFrame:
-    """(a, b): pairs from different components that share a prefix shingle, with sizes and places that may fit."""
+def pairs_apart(lists: DataFrame, roots: DataFrame, sets: DataFrame, least: int, block: int) -> DataFrame:
+    """(a, b): pairs from different components that share a prefix shingle and may share enough."""
     own = lists.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).filter("low < high")
     parts = F.ceil(F.col("m") / block).cast("int")
     dealt = own.join(mixed.select("token", parts.alias("parts")), "token").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).withColumn("gid", F.xxhash64("token", "i", "j"))
-    cells = dealt.select("gid", "key", "root", "n", "pos", "part", "i", "j").repartition("gid").sortWithinPartitions("gid", "n", "key")
-    return cells.mapInArrow(_apart(least), "a long, b long").distinct()
+    dealt = dealt.select("gid", "key", "root", "n", "pos", "part", "i", "j").join(sets.select("key", "cells"), "key")
+    return dealt.repartition("gid").sortWithinPartitions("gid", "n", "key").mapInArrow(_apart(least), "a long, b long").distinct()
 
 
 def bounded(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -325,7 +334,7 @@ def similar_texts(docs: DataFrame, least: int = 80, width: int = 5, n_orders: in
     links = scratch.save(checked(bounded(few, sets, least), texts, orders, least, width, n_orders), "links")
     inner = Scratch(spark, "ngram-join-few")
     roots = connect(links, inner)
-    more = scratch.save(bounded(pairs_apart(lists, roots, least, block).join(few, ["a", "b"], "left_anti"), sets, least), "more")
+    more = scratch.save(pairs_apart(lists, roots, sets, least, block).join(few, ["a", "b"], "left_anti"), "more")
     further = scratch.save(checked(more, texts, orders, least, width, n_orders), "further")
     roots = connect(links.unionByName(further), Scratch(spark, "ngram-join-all"))
 
