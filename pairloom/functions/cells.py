@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,41 @@ def plain(cell: Column) -> Column:
     return F.regexp_replace(cell, ANSI, "")
 
 
+def _class(wanted: Callable[[str], bool]) -> str:
+    """A regular expression's class of the code points that a rule on characters picks, as intervals."""
+    spans: list[list[int]] = []
+    for code in range(0x20, 0x110000):
+        if wanted(chr(code)):
+            if spans and spans[-1][1] == code - 1:
+                spans[-1][1] = code
+            else:
+                spans.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
+
+
+@cache
+def wide_class() -> str:
+    """Characters that take two columns: East Asian wide and full-width ones that are no marks."""
+    return _class(lambda c: unicodedata.east_asian_width(c) in "WF" and unicodedata.category(c) not in ("Mn", "Me", "Cf"))
+
+
+@cache
+def flat_class() -> str:
+    """Characters that take none: marks that combine, and format characters other than the soft hyphen."""
+    return _class(lambda c: unicodedata.category(c) in ("Mn", "Me", "Cf") and c != "\xad")
+
+
+def display_width(text: Column) -> Column:
+    """Columns that a line takes on a screen: escapes and marks none, wide characters two; null for null."""
+    bare = plain(text)
+    return (F.length(bare) + F.regexp_count(bare, F.lit(wide_class())) - F.regexp_count(bare, F.lit(flat_class()))).cast("int")
+
+
+def visible_width(cell: Column) -> Column:
+    """The columns of a cell's widest line."""
+    return F.array_max(F.transform(F.split(cell, "\n"), display_width))
+
+
 def is_thousands(cell: Column) -> Column:
     """Groups of three digits after commas, at most three digits before; a fraction may follow or stand alone."""
     return cell.rlike(r"^([+-]?[0-9]{1,3}(,[0-9]{3})*(\.[0-9]*)?|(\.[0-9]+)?)$")
@@ -102,9 +141,14 @@ def rst_first(cell: Column) -> Column:
     return F.when(F.trim(cell) == "", "..").otherwise(cell)
 
 
+#: Stands for replacement characters that a text has of its own, while others are taken out.
+OWN = "\uf8ff\x00\uf8fe"
+
+
 def as_text(data: Column) -> Column:
-    """Bytes as UTF-8; what is none becomes the replacement character and goes."""
-    return F.replace(F.decode(data, "UTF-8"), F.lit("�"), F.lit(""))
+    """Bytes as UTF-8; what is none goes."""
+    text = F.make_valid_utf8(F.replace(data.cast("string"), F.lit("\ufffd"), F.lit(OWN)))
+    return F.replace(F.replace(text, F.lit("\ufffd"), F.lit("")), F.lit(OWN), F.lit("\ufffd"))
 
 
 def checkpoint_step(path: Column) -> Column:

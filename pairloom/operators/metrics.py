@@ -56,3 +56,27 @@ def first_of_step(images: DataFrame, n: int = 4) -> DataFrame:
     """The first n images of each step, and their place in a grid of four columns."""
     rank = F.row_number().over(Window.partitionBy("step").orderBy("pos")) - 1
     return images.withColumn("rank", rank.cast("long")).filter(F.col("rank") < n).withColumns({"grid_row": F.floor(F.col("rank") / 4).cast("long"), "grid_col": F.col("rank") % 4})
+
+
+def sample_grid(images: DataFrame, height: int, width: int, n: int = 4, across: int = 4, pad: int = 2) -> DataFrame:
+    """step, grid_height, grid_width and grid: the first n images (v, arrays in row order) of each step in one picture.
+
+    Tiles stand `across` to a row with `pad` empty pixels around each; a single image stays as it is. A step's images
+    meet in one aggregate of at most n, and each pixel of the grid looks its own up by its place.
+    """
+    first = first_of_step(images, n).groupBy("step").agg(F.sort_array(F.collect_list(F.struct("rank", "v"))).alias("tiles"))
+    count = F.size("tiles")
+    columns = F.least(count, F.lit(across))
+    rows = F.ceil(count / columns).cast("int")
+    alone = count == 1
+    sized = first.withColumn("grid_width", F.when(alone, width).otherwise((width + pad) * columns + pad)).withColumn("grid_height", F.when(alone, height).otherwise((height + pad) * rows + pad))
+    margin = F.when(alone, 0).otherwise(pad)
+
+    def pixel(p):
+        y, x = F.floor(p / F.col("grid_width")).cast("int") - margin, (p % F.col("grid_width")).cast("int") - margin
+        tile = F.floor(y / (height + pad)).cast("int") * columns + F.floor(x / (width + pad)).cast("int")
+        inside = (y >= 0) & (x >= 0) & (y % (height + pad) < height) & (x % (width + pad) < width) & (tile < count)
+        value = F.get(F.get(F.transform("tiles", lambda t: t["v"]), tile), (y % (height + pad)) * width + x % (width + pad))
+        return F.when(inside, value).otherwise(0.0)
+
+    return sized.select("step", "grid_height", "grid_width", F.transform(F.sequence(F.lit(0), F.col("grid_height") * F.col("grid_width") - 1), pixel).alias("grid"))

@@ -6,8 +6,10 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Extensions read, all small or all capital letters.
 EXTENSIONS = (".jpg", ".jpeg", ".png")
@@ -32,12 +34,6 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     return image.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
-def image_sizes(images: DataFrame) -> DataFrame:
-    """path, width and height; unreadable files count as 512 x 512."""
-    side = lambda c: F.when(F.coalesce(F.col(c), F.lit(-1)) > 0, F.col(c)).otherwise(FALLBACK)
-    return images.select("path", side("width").alias("width"), side("height").alias("height"))
-
-
 def rgb(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     """The reader's rows, blue first, as red, green, blue; one channel is repeated, transparency dropped."""
     x = np.frombuffer(data, np.uint8).reshape(height, width, channels)
@@ -63,3 +59,34 @@ def png(image: np.ndarray) -> bytes:
         return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
 
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def with_png(df: DataFrame, pixels: str, channels: int, to: str = "png") -> DataFrame:
+    """Adds PNG files of the pictures in a column (arrays in row order, with height and width); null stays null."""
+    rows = df.select(*[F.col(f"`{c}`") for c in df.columns if c != to])
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for x, h, w in zip(batch.column(pixels), *(batch.column(c).to_pylist() for c in ("height", "width")), strict=True):
+                picture = x.values.to_numpy(zero_copy_only=False).astype(np.uint8).reshape(h, w, channels) if x.is_valid else None
+                out.append(None if picture is None else png(picture[..., 0] if channels == 1 else picture))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, to])
+
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField(to, BinaryType())]))
+
+
+def picture_sums(images: DataFrame) -> DataFrame:
+    """path, height, width, channels, total (the sum of all bytes in red, green, blue order) and placed (each times its place, from 1)."""
+    sums = "path string, height int, width int, channels int, total long, placed long"
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                x = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["channels"])
+                x = (x if r["channels"] == 1 else x[:, :, 2::-1]).ravel().astype(np.int64)
+                out.append((int(x.sum()), int((x * np.arange(1, len(x) + 1)).sum())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "height", "width", "channels")), *(pa.array([o[k] for o in out], pa.int64()) for k in (0, 1))], names=["path", "height", "width", "channels", "total", "placed"])
+
+    return images.filter("height > 0").mapInArrow(run, sums)

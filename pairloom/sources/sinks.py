@@ -2,51 +2,62 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.resample import resize_pictures
 from ..operators.metrics import checkpoints_to_drop
+from .images import with_png
 
 
-def write_files(df: DataFrame, folder: str, name: str = "name", data: str = "data") -> None:
-    """One file for each row, written by the executors; the folder must be one that all of them share.
+def image_names(df: DataFrame, folder: str, prefix: str = "") -> DataFrame:
+    """df with name: folder/<prefix><stem>.png."""
+    return df.withColumn("name", F.concat(F.lit(f"{folder}/{prefix}"), F.col("stem"), F.lit(".png")))
 
-    A file is written beside its place and moved there, so a task that runs again leaves no half file.
-    """
 
-    def write(rows: Iterable[Row]) -> None:
-        for row in rows:
-            path = os.path.join(folder, row[name])
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(f"{path}.{os.getpid()}.part", "wb") as f:
-                f.write(row[data])
-            os.replace(f.name, path)
+def pair_files(pairs: DataFrame) -> DataFrame:
+    """name and data of the files of pairs (stem, bg and shot as encoded pictures): bg/<stem>.png and shot/<stem>.png."""
+    return _files(pairs, "bg", "bg").unionByName(_files(pairs, "shot", "shot"))
 
-    df.select(name, data).foreachPartition(write)
 
+def mask_files(masks: DataFrame, mask: str = "mask") -> DataFrame:
+    """name and data of masks (stem, height, width and an array of 0 and 1): masks/mask_<stem>.png in 0 and 255."""
+    scaled = masks.withColumn("__data", F.transform(mask, lambda x: (x > 0).cast("int") * 255))
+    return _files(with_png(scaled, "__data", 1), "masks", "png", "mask_")
 
-def image_names(df: DataFrame, folder: str, prefix: str = "") -> DataFrame:
-    """df with name: folder/<prefix><stem>.png."""
-    return df.withColumn("name", F.concat(F.lit(f"{folder}/{prefix}"), F.col("stem"), F.lit(".png")))
 
+def core_files(cores: DataFrame, least: float = 0.15, mask: str = "mask") -> DataFrame:
+    """name and data of the masks of objects (stem, height, width, mask, ratio) whose effect is beyond a share of them."""
+    found = cores.filter(F.col("ratio") > least).withColumn("__data", F.transform(mask, lambda x: (x > 0).cast("int") * 255))
+    return _files(with_png(found, "__data", 1), "masks_object", "png")
+
+
+def result_files(results: DataFrame, kernel: str = "bicubic") -> DataFrame:
+    """name and data of results (stem, result, its height and width, to_height and to_width), brought back to their original size."""
+    back = resize_pictures(results, "result", kernel, "__data", 3, as_bytes=True).select("stem", "__data", F.col("to_height").alias("height"), F.col("to_width").alias("width"))
+    return _files(with_png(back, "__data", 3), "results", "png")
 
-def write_map(df: DataFrame, path: str, key: str = "stem", value: str = "prompt") -> None:
-    """JSON lines {key: value} in key order, one part for each range of keys: no task holds the whole map."""
-    line = F.to_json(F.map_from_arrays(F.array(key), F.array(F.coalesce(value, F.lit("")))))
-    df.orderBy(key).select(line.alias("value")).write.mode("overwrite").text(path)
 
+def _files(df: DataFrame, folder: str, data: str, prefix: str = "") -> DataFrame:
+    return image_names(df, folder, prefix).select("name", F.col(data).alias("data"))
 
-def map_text(df: DataFrame, key: str = "stem", value: str = "prompt", most: int = 100_000) -> str:
-    """One JSON object with indented lines, for maps of a bounded number of rows; larger ones raise."""
-    import json
 
-    rows = df.select(key, value).orderBy(key).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} entries; use write_map")
-    return json.dumps({r[0]: r[1] for r in rows}, ensure_ascii=False, indent=2)
+def write_map(df: DataFrame, path: str, key: str = "stem", value: str = "prompt") -> None:
+    """One JSON object, an indented entry on each line in key order, as a folder of parts: put together they are the object.
+
+    Each part is a range of keys, so no task holds the whole map; only the first and last key are known beforehand, for
+    the brackets and the last entry's missing comma. Null values are empty text. Keys are different from each other.
+    """
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("x"))), r"^\{\"x\":(.*)\}$", 1)
+    ends = df.agg(F.min(key).alias("__first"), F.max(key).alias("__last"))
+    first, last = F.col(key) == F.col("__first"), F.col(key) == F.col("__last")
+    entry = F.concat(F.lit("  "), quoted(F.col(key)), F.lit(": "), quoted(F.col(value)), F.when(last, "").otherwise(","))
+    lines = F.concat(F.when(first, F.array(F.lit("{"))).otherwise(F.array()), F.array(entry), F.when(last, F.array(F.lit("}"))).otherwise(F.array()))
+    rows = df.select(key, value).join(F.broadcast(ends)).select(key, lines.alias("lines")).orderBy(key).select(F.explode("lines").alias("value"))
+    rows = df.sparkSession.createDataFrame([("{}",)], "value string") if df.isEmpty() else rows
+    rows.write.mode("overwrite").text(path)
 
 
 def write_log(results: DataFrame, path: str) -> None:
