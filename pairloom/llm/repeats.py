@@ -17,7 +17,8 @@ Skew: equal blocks of a task are counted before they are sent, and of an anchor
 one is asked about, so an anchor gets two rows from a task at most. Anchors with more than `hot_blocks` differing
 blocks are dealt out window by window instead, again counted within tasks first.
 
-Matches never cross documents. Nulls count as empty texts. Repeated rows (same id and text) repeat each other.
+Matches never cross documents. Nulls count as empty texts. Repeated rows (same id and text) repeat each other: they are
+covered as a whole, and one of them is read for the others.
 Columns beside id and text are ignored. Empty tables give empty results. Texts of any length are read whole, in
 overlapping stretches.
 """
@@ -216,25 +217,32 @@ def _decide(batches):
 BYTES = pa.schema([("m", pa.int64()), ("key", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("data", pa.binary()), ("done", pa.bool_())])
 
 
+def _window_hashes(data: np.ndarray) -> np.ndarray:
+    """The hash of the window at each position that has one."""
+    lv, n = levels(data), len(data) - WIDTH + 1
+    return mix(mix(lv[128][:n], lv[64][128 : 128 + n]), lv[8][192 : 192 + n])
+
+
 def _cut_out(batches):
     """The bytes of each block to compare; blocks of hot anchors window by window, equal ones of a batch counted here."""
     for batch in batches:
         texts, keys, lists = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("key").to_pylist(), batch.column("at").to_pylist()
-        rows = []
-        hot: dict[bytes, list] = {}
-        for text, key, at in zip(texts, keys, lists, strict=True):
+        rows, hot = [], []
+        for t, at in enumerate(lists):
             for x in at:
                 s, n = x["s"], x["n"]
-                if not x["hot"]:
-                    rows.append((x["m"], key, s, n, text[s : s + n + WIDTH], False))
-                    continue
-                for i in range(s, s + n + 1):
-                    hot.setdefault(text[i : i + WIDTH], []).append((key, i))
-        for data, where in hot.items():
-            m = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
-            done = len(where) > 1
-            rows += [(m, key, i, 0, b"", True) for key, i in where] if done else []
-            rows.append((m, *where[0], 0, data, False))
+                if x["hot"]:
+                    m = _window_hashes(np.frombuffer(texts[t], np.uint8, n + WIDTH, s))
+                    hot.append((m, np.full(n + 1, t), np.arange(s, s + n + 1)))
+                else:
+                    rows.append((x["m"], keys[t], s, n, texts[t][s : s + n + WIDTH], False))
+        if hot:
+            m, own, start = (np.concatenate(c) for c in zip(*hot, strict=True))
+            _, first, which, count = np.unique(m, return_index=True, return_inverse=True, return_counts=True)
+            again = np.flatnonzero(count[which] > 1).tolist()
+            m = m.view(np.int64).tolist()
+            rows += [(m[i], keys[own[i]], int(start[i]), 0, b"", True) for i in again]
+            rows += [(m[i], keys[own[i]], int(start[i]), 0, texts[own[i]][start[i] : start[i] + WIDTH], False) for i in first.tolist()]
         for i in range(0, len(rows), 20_000):
             part = list(zip(*rows[i : i + 20_000], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, BYTES, strict=True)], schema=BYTES)
@@ -310,7 +318,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     scratch = Scratch(docs.sparkSession, "repeats")
     whole = text_of(text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id).cast("long"), whole).alias("key"), whole.alias("text"))
-    asked = rows.select("key", "text").mapInArrow(_map_blocks, FIRST_DDL)
+    # rows that repeat an id and a text are covered as a whole; one of them stands for all towards other texts
+    copies = rows.groupBy("key").agg(F.count("*").alias("rows"), F.max(F.octet_length("text")).alias("size")).filter("rows > 1")
+    copies = scratch.save(copies.select("key", F.lit(0).alias("s"), (F.col("size") - WIDTH).alias("n")), "copies")
+    plain = rows.select("key", "text")
+    once = plain.join(copies, "key", "left_anti").unionByName(plain.join(copies, "key", "left_semi").dropDuplicates(["key"]))
+    asked = once.mapInArrow(_map_blocks, FIRST_DDL)
     second = scratch.save(asked.repartition("route").sortWithinPartitions("m").mapInArrow(_decide, "covered boolean, m long, key long, s int, n int"), "settled")
     compare = second.filter("not covered")
     hot = compare.groupBy("m").agg(F.count("*").alias("blocks")).filter(F.col("blocks") > hot_blocks).select("m", F.lit(True).alias("is_hot"))
@@ -318,9 +331,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     salted = compare.withColumn("salt", F.pmod(F.xxhash64("key", "s"), F.lit(SALTS)).cast("int"))
     hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     lists = salted.join(hot, ["m", "salt"], "left").groupBy("key").agg(F.collect_list(F.struct("m", "s", "n", F.coalesce("is_hot", F.lit(False)).alias("hot"))).alias("at"))
-    parts = rows.select("key", "text").join(lists, "key").mapInArrow(_cut_out, "m long, key long, s int, n int, data binary, done boolean")
+    parts = once.join(lists, "key").mapInArrow(_cut_out, "m long, key long, s int, n int, data binary, done boolean")
     third = scratch.save(parts.repartition("m").sortWithinPartitions("m").mapInArrow(_radix, "key long, s int, n int"), "found")
-    covered = second.filter("covered").select("key", "s", "n").unionByName(third).groupBy("key").agg(F.collect_list(F.struct("s", "n")).alias("at"))
+    found = second.filter("covered").select("key", "s", "n").unionByName(third).join(copies, "key", "left_anti")
+    covered = found.unionByName(copies.filter("n >= 0")).groupBy("key").agg(F.collect_list(F.struct("s", "n")).alias("at"))
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else "")
     return rows.join(covered, "key", "left").select("doc_id", "text", "at").mapInArrow(_remove(with_kept), ddl)
 
