@@ -22,8 +22,7 @@ _HOMES = {
     "main_regions": "operators.boxes",
     "validated": "operators.boxes",
     "reason_counts": "operators.boxes",
-    "detect": "operators.slots",
-    "segment": "operators.slots",
+    "best_boxes": "operators.boxes",
     "instantiate": "operators.slots",
     "iou": "functions.boxes",
     "difference_heat": "functions.raster",

@@ -6,7 +6,7 @@ pair of boxes is ever shuffled. The number of boxes of a sample is what a detect
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import area, iou, overlap
@@ -56,8 +56,15 @@ def best_matches(samples: DataFrame) -> DataFrame:
     return m.select("sample", F.col("m.box.pos").alias("pos"), F.col("m.best.pos").alias("match_pos"), F.col("m.best.iou").alias("iou"))
 
 
-def validated(samples: DataFrame, least_iou: float = 0.3, scale: float = 2.0) -> DataFrame:
-    """sample, is_valid, reason and kept (boxes). The first difference, in order, that breaks a rule decides alone."""
+def best_boxes(boxes: Column, least: float = 0.3, k: int | None = 3) -> Column:
+    """Of an array of scored boxes the k best with a score of at least `least`, equal scores in their order; none for null."""
+    placed = F.transform(F.coalesce(boxes, F.array()), lambda b, i: F.struct((-b["score"]).alias("first"), i.alias("at"), b.alias("box")))
+    found = F.transform(F.array_sort(F.filter(placed, lambda x: -x["first"] >= least)), lambda x: x["box"])
+    return found if k is None else F.slice(found, 1, k)
+
+
+def with_verdict(samples: DataFrame, least_iou: float = 0.3, scale: float = 2.0) -> DataFrame:
+    """Adds reason and kept (boxes). The first difference, in order, that breaks a rule decides alone."""
 
     def verdict(m):
         r, ratio = m["best"]["iou"], area(m["box"]).cast("double") / F.greatest(m["best"]["area"], F.lit(1))
@@ -68,7 +75,13 @@ def validated(samples: DataFrame, least_iou: float = 0.3, scale: float = 2.0) ->
     broken = F.filter("verdicts", lambda v: v.isin("scale_overflow_aligned", "background_collapse"))
     kept = F.transform(F.filter(F.arrays_zip("diffs", "verdicts"), lambda z: z["verdicts"] == "keep"), lambda z: z["diffs"])
     reason = F.when(F.size("diffs") == 0, "no_diff_regions").when(F.size("detections") == 0, "no_semantic_targets").when(F.size(broken) > 0, F.get(broken, F.lit(0))).when(F.size(kept) == 0, "no_valid_regions").otherwise("pass")
-    return df.withColumn("reason", reason).select("sample", (F.col("reason") == "pass").alias("is_valid"), "reason", F.when(F.col("reason") == "pass", kept).otherwise(F.slice(kept, 1, 0)).alias("kept"))
+    df = df.withColumn("reason", reason)
+    return df.withColumn("kept", F.when(F.col("reason") == "pass", kept).otherwise(F.slice(kept, 1, 0))).drop("matches", "verdicts")
+
+
+def validated(samples: DataFrame, least_iou: float = 0.3, scale: float = 2.0) -> DataFrame:
+    """sample, is_valid, reason and kept (boxes) of samples with diffs and detections."""
+    return with_verdict(samples, least_iou, scale).select("sample", (F.col("reason") == "pass").alias("is_valid"), "reason", "kept")
 
 
 def covered_components(components: DataFrame, boxes: DataFrame, least: float = 0.5) -> DataFrame:

@@ -1,7 +1,7 @@
 """Places for models, and operators named in a configuration.
 
-A slot maps Arrow batches with a model that each worker process makes once. The stubs are deterministic stand-ins
-for tests and dry runs; networks are not part of this library.
+A slot maps Arrow batches with a model that each worker process makes once; networks are not part of this library. What
+models found elsewhere comes in columns (plans/curation.py).
 """
 
 from __future__ import annotations
@@ -14,10 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DataType, StructField, StructType
 
-BOXES_DDL = "array<struct<x1:int,y1:int,x2:int,y2:int,score:double>>"
-BOXES = pa.list_(pa.struct([("x1", pa.int32()), ("y1", pa.int32()), ("x2", pa.int32()), ("y2", pa.int32()), ("score", pa.float64())]))
-MASKS_DDL, MASKS = "array<array<int>>", pa.list_(pa.list_(pa.int32()))
-
 
 def instantiate(config: Mapping):
     """The class or function named by `target`, called with `params`."""
@@ -42,53 +38,3 @@ def apply_model(df: DataFrame, make: Callable[[], Callable[[dict], object]], to:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([model(r) for r in batch.to_pylist()], arrow)], names=[*batch.schema.names, to])
 
     return df.mapInArrow(run, schema)
-
-
-def detect(df: DataFrame, make: Callable, threshold: float = 0.3, k: int | None = 3) -> DataFrame:
-    """df with boxes: a detector's boxes above a threshold, the best k, equal scores in their order."""
-
-    def bounded():
-        model = _model(make)
-
-        def call(row: dict) -> list[dict]:
-            found = [b for b in model(row) if b["score"] >= threshold]
-            return sorted(found, key=lambda b: -b["score"])[:k]
-
-        return call
-
-    return apply_model(df, bounded, "boxes", BOXES_DDL, BOXES)
-
-
-def segment(df: DataFrame, make: Callable) -> DataFrame:
-    """df with segments: one mask (in row order) for each of a row's boxes; none for none."""
-
-    def each():
-        model = _model(make)
-        return lambda row: [model(row, b) for b in row["boxes"] or ()]
-
-    return apply_model(df, each, "segments", MASKS_DDL, MASKS)
-
-
-def edge_detector() -> Callable[[dict], list[dict]]:
-    """A stub: the bounds of the row's difference mask, scored by how much of them it fills."""
-
-    def call(row: dict) -> list[dict]:
-        w = row["width"]
-        at = [i for i, x in enumerate(row["mask"]) if x]
-        if not at:
-            return []
-        xs, ys = [i % w for i in at], [i // w for i in at]
-        box = {"x1": min(xs), "y1": min(ys), "x2": max(xs) + 1, "y2": max(ys) + 1}
-        return [box | {"score": len(at) / ((box["x2"] - box["x1"]) * (box["y2"] - box["y1"]))}]
-
-    return call
-
-
-def box_segmenter() -> Callable[[dict, dict], list[int]]:
-    """A stub: every pixel of the box."""
-
-    def call(row: dict, b: dict) -> list[int]:
-        w = row["width"]
-        return [int(b["x1"] <= i % w < b["x2"] and b["y1"] <= i // w < b["y2"]) for i in range(len(row["mask"]))]
-
-    return call

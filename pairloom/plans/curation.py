@@ -1,22 +1,24 @@
-"""The whole curation of pairs: difference, audit, detection, validation, segmentation, fusion - one row a sample.
+"""The whole curation of pairs: difference, audit, detections, validation, segments, fusion - one row a sample.
 
-Cheap stages come first and their filters keep rows from the costly ones. Every sample ends with a reason; a row that
-raises ends with `error` and doesn't stop the others.
+What models found comes in columns: `boxes`, a detector's scored boxes on the edited picture, and `objects`, a
+segmenter's mask of it. Nothing is shuffled: a sample's pictures are compared in one Arrow stage, Catalyst judges its
+regions against the boxes, and a second stage fuses the masks of samples that passed. Every sample ends with a reason; a
+row that raises ends with `error` and doesn't stop the others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..functions import raster
 from ..operators import boxes as box_operators
-from ..operators.slots import box_segmenter, detect, edge_detector, segment
 
 
 @dataclass(frozen=True)
@@ -39,7 +41,9 @@ class Settings:
     expand: float = 1.2
 
 
-AUDIT_DDL = "sample long, height int, width int, mask array<int>, regions array<struct<x1:bigint,y1:bigint,x2:bigint,y2:bigint,area:bigint>>, reason string"
+REGION = ("x1", "y1", "x2", "y2", "area")
+REGIONS = pa.list_(pa.struct([(k, pa.int64()) for k in REGION]))
+FOUND_DDL = {"mask": "binary", "regions": f"array<struct<{','.join(f'{k}:bigint' for k in REGION)}>>", "reason": "string"}
 
 
 def audit(found: list[dict], set_: Settings) -> str | None:
@@ -53,61 +57,78 @@ def audit(found: list[dict], set_: Settings) -> str | None:
     return "diff_quality_high_noise" if 1 - sum(main) / max(sum(areas), 1) > set_.noise else None
 
 
-def differences(pairs: DataFrame, set_: Settings = Settings()) -> DataFrame:
-    """pairs (sample, height, width, bg, shot, and bg_height, bg_width; pictures as RGB bytes) with their masks, main regions and reason."""
-    schema = pa.schema([("sample", pa.int64()), ("height", pa.int32()), ("width", pa.int32()), ("mask", pa.list_(pa.int32())), ("regions", pa.list_(pa.struct([(k, pa.int64()) for k in ("x1", "y1", "x2", "y2", "area")]))), ("reason", pa.string())])
-
-    def one(r: dict) -> dict:
-        out = {"sample": r["sample"], "height": r["height"], "width": r["width"], "mask": None, "regions": []}
-        if r["bg"] is None or r["shot"] is None:
-            return out | {"reason": "image_load_error"}
-        if (r["bg_height"], r["bg_width"]) != (r["height"], r["width"]):
-            return out | {"reason": "shape_mismatch"}
-        try:
-            a, b = (np.frombuffer(r[k], np.uint8).reshape(r["height"], r["width"], 3) for k in ("bg", "shot"))
-            mask = raster.cleaned(raster.difference_heat(a, b, set_.weights) > set_.threshold, set_.disk, set_.least_area, set_.most_hole)
-            found = raster.component_rows(mask)
-        except Exception:  # one bad picture is a counted reason, not a failed job
-            return out | {"reason": "error"}
-        most = max((c["area"] for c in found), default=0)
-        regions = sorted((c for c in found if c["area"] >= most * set_.main_ratio), key=lambda c: -c["area"])
-        return out | {"mask": mask.astype(int).ravel().tolist(), "regions": [{k: c[k] for k in ("x1", "y1", "x2", "y2", "area")} for c in regions], "reason": audit(found, set_)}
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_pylist([one(r) for r in batch.to_pylist()], schema=schema)
+def _compared(bg: bytes | None, shot: bytes | None, before: tuple, shape: tuple, set_: Settings) -> tuple[bytes | None, list[dict], str | None]:
+    """The cleaned mask of what differs, its main regions (the largest first) and what is wrong with them."""
+    if bg is None or shot is None:
+        return None, [], "image_load_error"
+    if before != shape:
+        return None, [], "shape_mismatch"
+    try:
+        a, b = (np.frombuffer(x, np.uint8).reshape(*shape, 3) for x in (bg, shot))
+        mask = raster.cleaned(raster.difference_heat(a, b, set_.weights) > set_.threshold, set_.disk, set_.least_area, set_.most_hole)
+        found = raster.component_rows(mask)
+    except Exception:  # one bad picture is a counted reason, not a failed job
+        return None, [], "error"
+    most = max((c["area"] for c in found), default=0)
+    regions = sorted((c for c in found if c["area"] >= most * set_.main_ratio), key=lambda c: -c["area"])
+    return mask.astype(np.uint8).tobytes(), [{k: c[k] for k in REGION} for c in regions], audit(found, set_)
 
-    return pairs.select("sample", "height", "width", "bg_height", "bg_width", "bg", "shot").mapInArrow(run, AUDIT_DDL)
 
+def differences(pairs: DataFrame, set_: Settings = Settings()) -> DataFrame:
+    """Pairs with mask (a byte a pixel), regions and reason (null if good) in place of the pictures.
 
-def curate(pairs: DataFrame, detector: Callable = edge_detector, segmenter: Callable = box_segmenter, set_: Settings = Settings()) -> DataFrame:
-    """sample, is_valid, reason and mask (of the valid ones) of every pair."""
+    pairs have height and width, bg_height and bg_width, and the pictures bg and shot as RGB bytes.
+    """
+    used = ["bg", "shot", "bg_height", "bg_width", "height", "width"]
+    rest = [c for c in pairs.columns if c not in ("bg", "shot", "bg_height", "bg_width", *FOUND_DDL)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_compared(bg, shot, (h, w), (th, tw), set_) for bg, shot, h, w, th, tw in zip(*(batch.column(c).to_pylist() for c in used), strict=True)]
+            masks, regions, reasons = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(masks, pa.binary()), pa.array(regions, REGIONS), pa.array(reasons, pa.string())], names=[*rest, *FOUND_DDL])
+
+    schema = StructType([*(pairs.schema[c] for c in rest), *(StructField(c, DataType.fromDDL(d)) for c, d in FOUND_DDL.items())])
+    return pairs.select(*rest, *[c for c in used if c not in rest]).mapInArrow(run, schema)
+
+
+def _fused(mask: bytes, objects: list[int] | None, kept: list[dict], shape: tuple, set_: Settings) -> bytes:
+    """The components that a kept box covers and the objects inside kept boxes, expanded."""
+    label = raster.labelled(np.frombuffer(mask, np.uint8).reshape(shape))
+    covered = []
+    for c in raster.component_rows(label >= 0):
+        sides = [(min(c["x2"], k["x2"]) - max(c["x1"], k["x1"]), min(c["y2"], k["y2"]) - max(c["y1"], k["y1"])) for k in kept]
+        if any(w > 0 and h > 0 and w * h / c["area"] > set_.keep_overlap for w, h in sides):
+            covered.append(c["label"])
+    final = np.isin(label, covered) & (label >= 0)
+    if objects is not None:
+        seen = objects.reshape(shape) > 0
+        for k in kept:
+            final[k["y1"] : k["y2"], k["x1"] : k["x2"]] |= seen[k["y1"] : k["y2"], k["x1"] : k["x2"]]
+    return raster.expanded(final, set_.expand).astype(np.uint8).tobytes()
+
+
+def curate(pairs: DataFrame, set_: Settings = Settings()) -> DataFrame:
+    """sample, is_valid, reason and mask (a byte a pixel, of the valid ones) of every pair.
+
+    pairs: as for differences, with sample, boxes (array of x1, y1, x2, y2, score) and objects (array of a number a pixel,
+    more than 0 on objects; null: none).
+    """
     diff = differences(pairs, set_)
-    bad = diff.filter(F.col("reason").isNotNull()).select("sample", F.lit(False).alias("is_valid"), "reason", F.lit(None).cast("array<int>").alias("mask"))
-    seen = detect(diff.filter(F.col("reason").isNull()).drop("reason"), detector, set_.score, set_.detections)
-    place = lambda boxes: F.transform(boxes, lambda b, i: F.struct(i.cast("long").alias("pos"), *[b[c].cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")]))
-    verdict = box_operators.validated(seen.select("sample", place("regions").alias("diffs"), place("boxes").alias("detections")), set_.least_iou, set_.scale)
-    judged = seen.join(verdict, "sample")
-    failed = judged.filter(~F.col("is_valid")).select("sample", "is_valid", "reason", F.lit(None).cast("array<int>").alias("mask"))
-    cut = segment(judged.filter("is_valid"), segmenter)
-    schema = pa.schema([("sample", pa.int64()), ("is_valid", pa.bool_()), ("reason", pa.string()), ("mask", pa.list_(pa.int32()))])
-
-    def fuse(batches):
+    place = lambda boxes: F.transform(boxes, lambda b, i: F.struct(i.cast("long").alias("pos"), *[b[c].cast("long").alias(c) for c in box_operators.BOX]))
+    seen = diff.withColumnRenamed("reason", "__fault").withColumns({"diffs": place(F.col("regions")), "detections": place(box_operators.best_boxes(F.col("boxes"), set_.score, set_.detections))})
+    judged = box_operators.with_verdict(seen, set_.least_iou, set_.scale)
+    judged = judged.withColumn("reason", F.coalesce("__fault", "reason"))
+    good = F.col("reason") == "pass"
+    rows = judged.select("sample", good.alias("is_valid"), "reason", "height", "width", F.when(good, F.col("mask")).alias("mask"), F.when(good, F.col("objects").cast("array<int>")).alias("objects"), F.when(good, F.col("kept")).alias("kept"))
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.select(["sample", "height", "width", "mask", "segments", "kept"]).to_pylist():
-                own = np.array(r["mask"]).reshape(r["height"], r["width"]) > 0
-                label, final = raster.labelled(own), np.zeros_like(own)
-                for c in raster.component_rows(own):
-                    for k in r["kept"]:
-                        w, h = min(c["x2"], k["x2"]) - max(c["x1"], k["x1"]), min(c["y2"], k["y2"]) - max(c["y1"], k["y1"])
-                        if w > 0 and h > 0 and w * h / c["area"] > set_.keep_overlap:
-                            final |= label == c["label"]
-                            break
-                for s in r["segments"]:
-                    final |= np.array(s).reshape(final.shape) > 0
-                out.append({"sample": r["sample"], "is_valid": True, "reason": "pass", "mask": raster.expanded(final, set_.expand).astype(int).ravel().tolist()})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    good = cut.mapInArrow(fuse, "sample long, is_valid boolean, reason string, mask array<int>")
-    return bad.unionByName(failed).unionByName(good)
+            objects, out = batch.column("objects"), []
+            for k, (mask, kept, h, w) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("mask", "kept", "height", "width")), strict=True)):
+                own = objects[k].values.to_numpy(zero_copy_only=False) if objects[k].is_valid else None
+                out.append(None if mask is None else _fused(mask, own, kept, (h, w), set_))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sample", "is_valid", "reason")), pa.array(out, pa.binary())], names=["sample", "is_valid", "reason", "mask"])
+
+    schema = StructType([*(rows.schema[c] for c in ("sample", "is_valid", "reason")), StructField("mask", DataType.fromDDL("binary"))])
+    return rows.mapInArrow(fuse, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .curation_oracles import CURATION_SQL
 from .file_oracles import FILE_SQL
 from .picture_oracles import PICTURE_SQL
 from .views import ADD, BOXES, CELLS, EDITS, METRICS, PIXELS, PROMPTS, REMOVE, RESOLUTIONS, images_sql
@@ -92,6 +93,7 @@ def _lab() -> str:
 SQL: dict[str, str] = {
     **PICTURE_SQL,
     **FILE_SQL,
+    **CURATION_SQL,
     "ordered_pairs": f"""WITH {EDITS}, used AS (SELECT * FROM edits WHERE shard NOT IN (3) AND category IN ('{ADD}', '{REMOVE}')),
  n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY shard, "row") - 1 + CASE WHEN category = '{ADD}' THEN 0 ELSE (SELECT count(*) FROM used WHERE category = '{ADD}') END AS id FROM used)
  SELECT printf('%06d', id) AS stem, category, CASE WHEN category = '{ADD}' THEN source ELSE edited END AS bg, CASE WHEN category = '{ADD}' THEN edited ELSE source END AS shot, instruction AS prompt FROM n""",

@@ -580,4 +580,4 @@ def escaped_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "region").select("r_regionkey", cell_functions.html_escaped(t).alias("html"), cell_functions.latex_escaped(F.concat(F.col("r_name"), F.lit("_50%&#"))).alias("latex"), cell_functions.rst_first(F.lit("  ")).alias("rst"))
 
 
-from . import file_queries, picture_queries  # noqa: E402, F401 - register their queries
+from . import curation_queries, file_queries, picture_queries  # noqa: E402, F401 - register their queries

@@ -6,11 +6,12 @@ from collections import namedtuple
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import augment, batches, metrics, pairs, slots
-from pairloom.operators.boxes import validated
+from pairloom.operators.boxes import best_boxes, validated
 from pairloom.plans.curation import Settings, curate
 from pairloom.sources import images, shards, sinks, tables
 from pairloom.sources.headers import probe_folder
@@ -147,20 +148,36 @@ def test_slots(spark):
     assert slots.instantiate({"target": "collections.Counter", "params": {"a": 2}})["a"] == 2
     with pytest.raises(KeyError):
         slots.instantiate({})
-    df = spark.createDataFrame([(1, [0, 1, 1, 0], 2), (2, [0, 0, 0, 0], 2)], "sample long, mask array<int>, width int")
-    got = {r.sample: r for r in slots.segment(slots.detect(df, slots.edge_detector), slots.box_segmenter).collect()}
-    assert got[1].segments == [[1, 1, 1, 1]] and got[1].boxes[0].score == 0.5 and got[2].segments == []
+    counted = slots.apply_model(spark.range(3), lambda: lambda row: row["id"] * 2, "twice", "bigint", pa.int64())
+    assert [r.twice for r in counted.orderBy("id").collect()] == [0, 2, 4]
+
+
+def test_best_boxes(spark):
+    boxes = [(0, 0, 1, 1, 0.5), (1, 0, 2, 1, 0.9), (2, 0, 3, 1, 0.29), (3, 0, 4, 1, 0.5), (4, 0, 5, 1, 0.3)]
+    df = spark.createDataFrame([(1, boxes), (2, []), (3, None)], "id int, boxes array<struct<x1:int,y1:int,x2:int,y2:int,score:double>>")
+    got = {r.id: [b.x1 for b in r.b] for r in df.select("id", best_boxes(F.col("boxes"), 0.3, 3).alias("b")).collect()}
+    assert got == {1: [1, 0, 3], 2: [], 3: []}
 
 
 def test_curation(spark):
     bg = np.full((32, 32, 3), 60, np.uint8)
     shot = bg.copy()
     shot[8:20, 8:20] = 240
-    rows = [(1, 32, 32, 32, 32, bg.tobytes(), shot.tobytes()), (2, 32, 32, 32, 32, bg.tobytes(), bg.tobytes()), (3, 32, 32, 16, 32, bg.tobytes(), shot.tobytes()), (4, 32, 32, 32, 32, None, shot.tobytes()), (5, 32, 32, 32, 32, b"x", shot.tobytes())]
-    df = spark.createDataFrame([(*r[:5], None if r[5] is None else bytearray(r[5]), bytearray(r[6])) for r in rows], "sample long, height int, width int, bg_height int, bg_width int, bg binary, shot binary")
-    got = {r.sample: r for r in curate(df, set_=Settings(disk=1, least_area=20, most_hole=10)).collect()}
-    assert {k: r.reason for k, r in got.items()} == {1: "pass", 2: "diff_quality_empty_mask", 3: "shape_mismatch", 4: "image_load_error", 5: "error"}
-    assert sum(got[1].mask) >= 144
+    box = [(8, 8, 20, 20, 0.9)]
+    rows = [(1, 32, 32, 32, 32, bg, shot, box), (2, 32, 32, 32, 32, bg, bg, box), (3, 32, 32, 16, 32, bg, shot, box), (4, 32, 32, 32, 32, None, shot, box), (5, 32, 32, 32, 32, bg[:1], shot, box), (6, 32, 32, 32, 32, bg, shot, []), (7, 32, 32, 32, 32, bg, shot, None), (8, 32, 32, 32, 32, bg, shot, [(0, 0, 2, 2, 0.9)]), (9, 32, 32, 32, 32, bg, shot, [(8, 8, 16, 18, 0.9)]), (10, 32, 32, 32, 32, bg, shot, [(18, 18, 30, 30, 0.1), (19, 19, 20, 20, 0.4)])]
+    objects = np.zeros((32, 32), int)
+    objects[18:24, 18:24] = 7
+    data = [(*r[:5], *(None if x is None else bytearray(x.tobytes()) for x in r[5:7]), r[7], objects.ravel().tolist(), "x") for r in rows]
+    df = spark.createDataFrame(data, "sample long, height int, width int, bg_height int, bg_width int, bg binary, shot binary, boxes array<struct<x1:int,y1:int,x2:int,y2:int,score:double>>, objects array<int>, mask string")
+    set_ = Settings(disk=1, least_area=20, most_hole=10, expand=1.0)
+    got = {r.sample: r for r in curate(df, set_).collect()}
+    want = {1: "pass", 2: "diff_quality_empty_mask", 3: "shape_mismatch", 4: "image_load_error", 5: "error", 6: "no_semantic_targets", 7: "no_semantic_targets", 8: "no_valid_regions", 9: "scale_overflow_aligned", 10: "background_collapse"}
+    assert {k: r.reason for k, r in got.items()} == want and all(r.is_valid == (r.reason == "pass") and (r.mask is not None) == r.is_valid for r in got.values())
+    mask = np.frombuffer(got[1].mask, np.uint8).reshape(32, 32)
+    assert mask[10:18, 10:18].all() and mask[19, 19] and not mask[21, 21]
+    plain = curate(df.withColumn("objects", F.lit(None)), set_).filter("is_valid").first()
+    assert 0 < sum(plain.mask) <= mask.sum()
+    assert curate(df.limit(0)).count() == 0
 
 
 def test_stream(spark, tmp_path):
