@@ -82,17 +82,22 @@ def with_prompts(pairs: DataFrame, prompts: DataFrame, default: str = DEFAULT_PR
     return pairs.join(prompts, "stem", "left").withColumn("prompt", F.coalesce("prompt", F.lit(default)))
 
 
-def pair_masks(images: DataFrame, masks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Images (path) with masks (path): by position if there are as many, or one image only; else by stem.
+def pair_masks(images: DataFrame, masks: DataFrame, by: str = "count") -> tuple[DataFrame, DataFrame]:
+    """Images (path) with masks (path): stem, image and mask, and the images that stay without one.
 
-    Returns stem, image and mask, and the images that stay without one.
+    by: "position" pairs both lists in path order (the shorter one ends it), "stem" by file name, without a job of its
+    own. "count" is the original flow, which counts both lists first: by position if they are equally long or there is
+    one image only, else by stem; lists of the same length but of different files are paired without a word.
     """
-    n, m = images.count(), masks.count()
-    a = images.select(F.col("path").alias("image"))
-    b = masks.select(F.col("path").alias("mask"))
-    if n == m or n == 1:
+    if by not in ("position", "stem", "count"):
+        raise ValueError(f"masks are paired by position, stem or count, not by {by}")
+    a, b = images.select(F.col("path").alias("image")), masks.select(F.col("path").alias("mask"))
+    if by == "count":
+        n = images.count()
+        by = "position" if n == 1 or n == masks.count() else "stem"
+    if by == "position":
         pairs = positional_join(a, b, "image", "mask").select(stem_of(F.col("image")).alias("stem"), "image", "mask")
-        return pairs, a.limit(0).select("image")
+        return pairs, a.join(pairs.select("image"), "image", "left_anti")
     left, right = a.withColumn("stem", stem_of(F.col("image"))), last_by_stem(masks).withColumnRenamed("path", "mask")
     return left.join(right, "stem").select("stem", "image", "mask"), left.join(right, "stem", "left_anti").select("image")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .picture_oracles import CHAMFER, COMPONENTS, HULL
+from .views import PIXELS
+
 CELL = "+".join(f"e[((r // 3 * 2 + {a}) * 8 + c // 3 * 2 + {b} + 1)::BIGINT]" for a in (0, 1) for b in (0, 1))
 
 
@@ -48,7 +51,30 @@ placed AS (SELECT far.*, row_number() OVER (PARTITION BY far.id ORDER BY dist) A
 cut AS (SELECT id, max(dist) FILTER (WHERE o <= more) AS cut, bool_or(more >= outside) AS whole FROM placed WHERE more > 0 GROUP BY id),
 final AS (SELECT m7.id, m7.p FROM m7 LEFT JOIN far ON far.id = m7.id AND far.p = m7.p LEFT JOIN cut ON cut.id = m7.id WHERE m7.s = 1 OR coalesce(whole, false) OR coalesce(dist <= cut, false))"""
 
+_DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+def _augmented() -> str:
+    """Modes by batch, then each mode's pixels; holes are left out."""
+    draw = lambda what: _DRAW.format(f"'5-{what}-' || id")
+    return f"""WITH RECURSIVE {PIXELS}, drawn AS (SELECT vec_id AS id, {_DRAW.format("'5-' || (vec_id // 8)")} AS u FROM embeddings),
+ chosen AS (SELECT id, CASE WHEN u < 0.35 THEN 'shrink' WHEN u < 0.55 THEN 'expand' WHEN u < 0.65 THEN 'holes' WHEN u < 0.7 THEN 'shift' WHEN id % 3 <> 0 THEN 'sam' ELSE 'shrink' END AS mode,
+  0.5 + (0.7 - 0.5)::DOUBLE * {draw("keep")} AS keep, floor({draw("kernel")} * 3)::BIGINT * (1 + floor({draw("times")} * 2)::BIGINT) AS reach, floor({draw("dx")} * 7)::BIGINT - 3 AS dx, floor({draw("dy")} * 7)::BIGINT - 3 AS dy FROM drawn),
+ m AS (SELECT px.id, p, r, c, v > 0 AS s, v > 0.1 AS sam, mode, keep, reach, dx, dy FROM px JOIN chosen ON chosen.id = px.id),
+ {COMPONENTS}, {HULL},
+ n AS (SELECT id, any_value(keep) AS keep, count(*) FILTER (WHERE s) AS n FROM m GROUP BY id),
+ d AS (SELECT a.id, a.p, coalesce(min({CHAMFER.format(dr="abs(a.r - b.r)", dc="abs(a.c - b.c)")}), 536870911) AS d FROM m a LEFT JOIN m b ON a.id = b.id AND NOT b.s WHERE a.s GROUP BY a.id, a.p),
+ k AS (SELECT d.*, row_number() OVER (PARTITION BY d.id ORDER BY d) AS o, n - floor(n * keep)::BIGINT AS less FROM d JOIN n ON d.id = n.id), cut AS (SELECT id, max(d) FILTER (WHERE o <= less) AS cut FROM k GROUP BY id),
+ shrunk AS (SELECT m.id, m.p FROM m JOIN d ON d.id = m.id AND d.p = m.p LEFT JOIN cut ON cut.id = m.id WHERE coalesce(d.d > cut.cut, true) AND mode = 'shrink'),
+ grown AS (SELECT DISTINCT m.id, m.p FROM m JOIN hull ON hull.id = m.id AND abs(hull.r - m.r) <= m.reach AND abs(hull.c - m.c) <= m.reach WHERE mode = 'expand'),
+ moved AS (SELECT id, p + dy * 8 + dx AS p FROM m WHERE s AND mode = 'shift' AND r + dy BETWEEN 0 AND 7 AND c + dx BETWEEN 0 AND 7),
+ after AS (SELECT * FROM shrunk UNION ALL SELECT * FROM grown UNION ALL SELECT * FROM moved UNION ALL SELECT id, p FROM m WHERE sam AND mode = 'sam'),
+ told AS (SELECT id, count(*) AS n, sum(p)::BIGINT AS placed FROM after GROUP BY id)
+ SELECT c.id, mode, n.n AS before, CASE WHEN mode = 'holes' THEN -1 ELSE coalesce(t.n, 0) END AS after, CASE WHEN mode = 'holes' THEN -1 ELSE coalesce(placed, 0) END AS placed FROM chosen c JOIN n ON n.id = c.id LEFT JOIN told t ON t.id = c.id"""
+
+
 CURATION_SQL: dict[str, str] = {
     "curated_pairs": f"{CURATED} SELECT told.id AS sample, reason = 'pass' AS is_valid, reason, count(final.id) AS area, coalesce(sum(final.p), 0)::BIGINT AS placed FROM told LEFT JOIN final ON final.id = told.id GROUP BY told.id, reason",
     "curation_reasons": f"{CURATED} SELECT CASE WHEN reason = 'pass' THEN 'success' ELSE reason END AS reason, count(*) AS n FROM told GROUP BY 1",
+    "augmented_batches": _augmented(),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import augment as augment_operators
 from ..operators import boxes as box_operators
 from . import views
 from .curation import Settings, curate
@@ -12,6 +13,7 @@ from .queries import query
 
 #: Side of the pictures: 4 x 4 cells of 3 x 3 pixels.
 SIDE, CELL = 12, 3
+RANGES = augment_operators.Ranges(kernels=(1, 3, 5), times=(1, 2), holes=(1, 3), shift=3)
 SETTINGS = Settings(weights=(1.0, 0.0, 0.0), disk=1, least_area=6, most_hole=3, most_main=1, main_ratio=0.6)
 
 
@@ -63,3 +65,17 @@ def curated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def curation_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return box_operators.reason_counts(curate(curation_pairs(spark, sf_dir), SETTINGS))
+
+
+@query
+def augmented_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks of batches of eight changed by their batch's mode: the mode, the pixels before and after, and their places.
+
+    Where holes are drawn only the pixels before are told: their places come from a generator of NumPy's."""
+    total = lambda m: F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + (x > 128).cast("long"))
+    places = lambda m: F.aggregate(F.transform(m, lambda x, i: F.when(x > 128, i).otherwise(0).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    mask = lambda at: F.transform("v", lambda x: F.when(x > at, 255).otherwise(0))
+    g = views.grids(spark, sf_dir).select("id", F.expr("id div 8").alias("batch"), F.lit(8).alias("height"), F.lit(8).alias("width"), mask(0.0).alias("mask"), F.when(F.col("id") % 3 != 0, mask(0.1)).alias("sam_mask"))
+    found = augment_operators.augment(g, 5, RANGES)
+    told = lambda x: F.when(F.col("mode") == "holes", F.lit(-1).cast("long")).otherwise(x)
+    return found.select("id", "mode", total(F.col("gt_mask")).alias("before"), told(total(F.col("mask"))).alias("after"), told(places(F.col("mask"))).alias("placed"))

@@ -108,6 +108,7 @@ SQL: dict[str, str] = {
     "unmatched_images": f"WITH {BG}, {SHOT}, {LAST} SELECT path AS image FROM bg WHERE {STEM} NOT IN (SELECT stem FROM s)",
     "fallback_pairs": f"WITH {BG}, {SHOT}, {LAST} SELECT s.stem, path AS image, shot_path AS mask FROM bg JOIN s ON {STEM} = s.stem",
     "positional_pairs": f"WITH {BG}, {SHOT}, a AS (SELECT row_number() OVER (ORDER BY path) - 1 AS idx, path AS bg_path FROM bg), z AS (SELECT row_number() OVER (ORDER BY path) - 1 AS idx, path AS shot_path FROM shot) SELECT idx, bg_path, shot_path FROM a JOIN z USING (idx)",
+    "counted_pairs": f"WITH {BG}, {SHOT}, a AS (SELECT row_number() OVER (ORDER BY path) AS i, path AS image FROM bg), z AS (SELECT row_number() OVER (ORDER BY path) AS i, path AS mask FROM shot) SELECT regexp_extract(image, '([^/]*?)(\\.[^./]*)?$', 1) AS stem, image, mask FROM a JOIN z USING (i)",
     "ext_priority_lookup": f"""WITH {BG}, {SHOT}, best AS (SELECT {STEM} AS stem, path AS image FROM shot QUALIFY row_number() OVER (PARTITION BY {STEM} ORDER BY CASE WHEN path LIKE '%.png' THEN 1 ELSE 2 END) = 1)
  SELECT best.stem, replace(path, 'bg/', 'masks/mask_') AS mask, image FROM bg JOIN best ON {STEM} = best.stem""",
     "path_parts": f"WITH {BG} SELECT path, {STEM} AS stem, regexp_extract(path, '(\\.[^./]*)$', 1) AS suffix, {STEM} AS bare FROM bg",

@@ -85,11 +85,17 @@ def common_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unmatched_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.pair_masks(*_both(spark, sf_dir))[1]
+    return pairs.pair_masks(*_both(spark, sf_dir), by="stem")[1]
 
 
 @query
 def fallback_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.pair_masks(*_both(spark, sf_dir), by="stem")[0]
+
+
+@query
+def counted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of the same length: by position, whatever the files are called."""
     return pairs.pair_masks(*_both(spark, sf_dir))[0]
 
 

@@ -23,15 +23,17 @@ EDITS = f"""edits AS (SELECT event_id // 100 AS shard, event_id AS "row", CASE e
 
 
 def images(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    """Image files of one side: path and doc_id. Two documents share a stem; one is a jpg, the other a png."""
-    rule = F.col("doc_id") % 3 != 0 if side == "bg" else F.col("doc_id") % 5 > 1
-    path = F.format_string(f"{side}/%06d.%s", F.expr("doc_id div 2"), F.when(F.col("doc_id") % 2 == 0, "jpg").otherwise("png"))
-    return table(spark, sf_dir, "documents").filter(rule).select(path.alias("path"), "doc_id")
+    """Image files of one side: path and doc_id. Two documents share a stem; one is a jpg, the other a png. Some have a
+    stem that the other side lacks."""
+    shared = F.col("doc_id") % 3 != 0 if side == "bg" else F.col("doc_id") % 5 > 1
+    stem = F.concat(F.when(shared, "").otherwise(f"only_{side}_"), F.format_string("%06d", F.expr("doc_id div 2")))
+    path = F.concat(F.lit(f"{side}/"), stem, F.when(F.col("doc_id") % 2 == 0, ".jpg").otherwise(".png"))
+    return table(spark, sf_dir, "documents").select(path.alias("path"), "doc_id")
 
 
 def images_sql(side: str) -> str:
-    rule = "doc_id % 3 <> 0" if side == "bg" else "doc_id % 5 > 1"
-    return f"{side} AS (SELECT printf('{side}/%06d.%s', doc_id // 2, CASE doc_id % 2 WHEN 0 THEN 'jpg' ELSE 'png' END) AS path, doc_id FROM documents WHERE {rule})"
+    shared = "doc_id % 3 <> 0" if side == "bg" else "doc_id % 5 > 1"
+    return f"{side} AS (SELECT '{side}/' || CASE WHEN {shared} THEN '' ELSE 'only_{side}_' END || printf('%06d', doc_id // 2) || CASE doc_id % 2 WHEN 0 THEN '.jpg' ELSE '.png' END AS path, doc_id FROM documents)"
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

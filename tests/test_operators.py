@@ -141,7 +141,10 @@ def test_augment(spark):
     for r in got:
         n = sum(x > 0 for x in r.mask)
         assert n <= 64 if r.mode == "shrink" else n >= 64 if r.mode == "expand" else True
-    assert (augment.augmented(m, "unknown", np.random.default_rng(0)) == m).all()
+    assert (augment.augmented(m, "unknown", {}) == m).all()
+    assert augment.augment(df.drop("mask")).columns == ["batch", "id", "height", "width"]
+    blank = df.withColumn("mask", F.lit(None).cast("array<int>")).limit(3)
+    assert all(r.mask is None for r in augment.augment(blank).collect())
 
 
 def test_slots(spark):
