@@ -37,9 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents, text_of
-from .overlaps import shingles
 from .repeats import whole_groups
-from .simhash import SEED, connect
+from .simhash import SEED, connect, fingerprint_of, roots_of, shingle_hashes
 
 #: Documents of the sample that shapes the orders, the fewest of them a common shingle is in, and common shingles kept.
 SAMPLE, COMMON, MOST_COMMON = 65536, 4, 1 << 18
@@ -50,6 +49,11 @@ MASKS = _R.integers(0, 1 << 63, 16, np.uint64)
 TIMES = _R.integers(0, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def shingles(text: bytes, width: int = 5) -> np.ndarray:
+    """The hashes of a text's distinct shingles, sorted; none for a text without words."""
+    return np.unique(shingle_hashes(text, width))
+
+
 class Orders:
     """Global orders of shingles: common ones last, then by a hash of the order's own."""
 
@@ -91,18 +95,14 @@ def enough(n: int | np.ndarray, m: int | np.ndarray, least: int) -> int | np.nda
     return -(-least * (n + m) // (100 + least))
 
 
-MARKS = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("common", pa.list_(pa.bool_())), ("cells", pa.binary())])
-MARKS_DDL = "doc_id long, own long, key long, n long, tokens array<long>, common array<boolean>, cells binary"
+MARKS = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("common", pa.list_(pa.bool_())), ("cells", pa.binary()), ("fp", pa.int64())])
+MARKS_DDL = "doc_id long, own long, key long, n long, tokens array<long>, common array<boolean>, cells binary, fp long"
 
 
 def _key(tokens: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(tokens.tobytes(), SEED)], np.uint64).view(np.int64)[0])
 
 
-def _words(text: bytes) -> bool:
-    return bool(text.strip(b" \t\n\x0b\x0c\r"))
-
-
 def common_shingles(docs: DataFrame, width: int) -> Orders:
     """The orders, by the shingles that come up most in a sample of documents."""
     one = pa.schema([("token", pa.int64())])
@@ -122,31 +122,28 @@ def common_shingles(docs: DataFrame, width: int) -> Orders:
 
 
 def marked(docs: DataFrame, orders, least: int, width: int) -> DataFrame:
-    """doc_id, own, key and n of every document; tokens (the first order's prefix), common and cells once a task and key."""
+    """doc_id, own, key and n of every document; tokens (the first order's prefix), common, cells and fp once a task and key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         order = orders.value
+
+        def mark(text: bytes) -> tuple:
+            hashes = shingle_hashes(text, width)
+            if not len(hashes):
+                return None, 0, None, None, None, None
+            tokens = np.unique(hashes)
+            key = _key(tokens)
+            if key in seen:
+                return key, len(tokens), None, None, None, None
+            seen.add(key)
+            ranks = order.ranks(tokens)
+            first = order.prefix(tokens, ranks, 0, least)
+            return key, len(tokens), tokens[first].view(np.int64), ranks[first] > 0, histogram(tokens), int(np.uint64(fingerprint_of(hashes)).view(np.int64))
+
         for batch in batches:
-            keys, sizes, heads, common, cells = [], [], [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                if not _words(text):
-                    for column, x in ((keys, None), (sizes, 0), (heads, None), (common, None), (cells, None)):
-                        column.append(x)
-                    continue
-                tokens = shingles(text, width)
-                key = _key(tokens)
-                keys.append(key)
-                sizes.append(len(tokens))
-                new = key not in seen
-                seen.add(key)
-                if new:
-                    ranks = order.ranks(tokens)
-                    first = order.prefix(tokens, ranks, 0, least)
-                heads.append(tokens[first].view(np.int64) if new else None)
-                common.append(ranks[first] > 0 if new else None)
-                cells.append(histogram(tokens) if new else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("own"), *(pa.array(c, f.type) for c, f in zip((keys, sizes, heads, common, cells), list(MARKS)[2:], strict=True))], schema=MARKS)
+            found = list(zip(*map(mark, batch.column("text").cast(pa.binary()).to_pylist()), strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("own"), *(pa.array(c, f.type) for c, f in zip(found, list(MARKS)[2:], strict=True))], schema=MARKS)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("own"), text_of().alias("text"))
     return rows.mapInArrow(run, MARKS_DDL)
@@ -209,6 +206,15 @@ def few_pairs(lists: DataFrame) -> DataFrame:
     return best.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): stars of the components that the SimHash operator makes of the sets' fingerprints. sets have key and fp."""
+    scratch = Scratch(sets.sparkSession, "simhash-stage")
+    roots = roots_of(scratch.save(sets.select("fp").distinct(), "fps"), scratch)
+    named = scratch.save(sets.select("key", "fp").join(roots, "fp").select("key", "root"), "named")
+    hubs = named.groupBy("root").agg(F.min("key").alias("a"))
+    return named.join(hubs, "root").filter("a < key").select("a", F.col("key").alias("b"))
+
+
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -310,10 +316,12 @@ def checked(pairs: DataFrame, texts: DataFrame, orders, least: int, width: int,
     return placed.repartition("gid").sortWithinPartitions("gid", F.asc_nulls_first("other")).mapInArrow(_checked(orders, least, width, n_orders), "a long, b long")
 
 
-def similar_texts(docs: DataFrame, least: int = 80, width: int = 5, n_orders: int = 3, block: int = 2048) -> DataFrame:
-    """doc_id, own (hash of the text), key (of the set, null without one), n_shingles and component_id of every document.
+def similar_texts(docs: DataFrame, least: int = 80, width: int = 5, n_orders: int = 3, block: int = 2048, by_fingerprints: bool = False) -> DataFrame:
+    """doc_id, own (hash of the text), key (of the set, null without one), root (a key for each component), n_shingles and
+    component_id of every document.
 
-    Two sets link where the shared shingles are `least` hundredths or more of all of theirs.
+    Two sets link where the shared shingles are `least` hundredths or more of all of theirs. by_fingerprints: sets in
+    one component of the SimHash operator are compared first, and only what they leave apart goes on.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
@@ -321,7 +329,7 @@ def similar_texts(docs: DataFrame, least: int = 80, width: int = 5, n_orders: in
     orders = spark.sparkContext.broadcast(common_shingles(docs, width))
     marks = scratch.save(marked(docs, orders, least, width), "marks")
     own = scratch.save(marks.select("doc_id", "own", "key", "n"), "own")
-    sets = scratch.save(marks.filter("cells is not null").select("key", "n", "cells").dropDuplicates(["key"]), "sets")
+    sets = scratch.save(marks.filter("cells is not null").select("key", "n", "cells", "fp").dropDuplicates(["key"]), "sets")
     nodes = scratch.save(own.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("x")), "nodes")
     lists = scratch.save(prefix_lists(marks, least), "lists")
     scratch.drop("marks")
@@ -330,7 +338,12 @@ def similar_texts(docs: DataFrame, least: int = 80, width: int = 5, n_orders: in
     place = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64(text_of()).alias("own"), text_of().alias("text"))
     texts = scratch.save(place.join(listed, ["id", "none", "own"]).select("key", "text").dropDuplicates(["key"]), "texts")
 
-    few = scratch.save(few_pairs(lists), "few")
+    few = few_pairs(lists)
+    if by_fingerprints:
+        # a set that is in no list has no partner
+        stars = fingerprint_pairs(sets.join(lists.select("key").distinct(), "key", "left_semi"))
+        few = few.unionByName(stars).distinct()
+    few = scratch.save(few, "few")
     links = scratch.save(checked(bounded(few, sets, least), texts, orders, least, width, n_orders), "links")
     inner = Scratch(spark, "ngram-join-few")
     roots = connect(links, inner)
@@ -340,9 +353,9 @@ def similar_texts(docs: DataFrame, least: int = 80, width: int = 5, n_orders: in
 
     named = scratch.save(nodes.join(roots, nodes["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root")), "named")
     components = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(components, "root").select(F.col("key").alias("set_key"), "component_id")
+    classes = named.join(components, "root").select(F.col("key").alias("set_key"), "root", "component_id")
     found = own.join(classes, own["key"] == classes["set_key"], "left")
-    return found.select("doc_id", "own", "key", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return found.select("doc_id", "own", "key", "root", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

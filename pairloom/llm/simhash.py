@@ -37,14 +37,20 @@ CHUNK = 1 << 17
 LEAF = 96
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """The fingerprint of a text, by the bits of its shingles' hashes."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """The XXH64 values of a text's word shingles, repeats included; a text with fewer words is one, without words none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = words if width == 1 else map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    n = max(1, len(words) - width + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, max(1, len(words) - width + 1))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, n, CHUNK):
         part = hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8)
@@ -52,6 +58,11 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """The fingerprint of a text, by the bits of its shingles' hashes."""
+    return fingerprint_of(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """doc_id, text_hash and fp (the fingerprint as a signed long) of every document."""
     out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm import ngram_join
 from pairloom.llm.common import documents
-from pairloom.llm.ngram_join import Orders, enough, histogram, most_shared, op12_ngram_join, similar_texts
-from pairloom.llm.overlaps import shingles
+from pairloom.llm.ngram_join import Orders, enough, histogram, most_shared, op12_ngram_join, shingles, similar_texts
 
 from .conftest import TEXTS
 
