@@ -7,33 +7,45 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch_folder
+
 #: Rows of a range that is numbered in one task, bounds looked through at each of two levels, and keys sampled a range.
 RANGE_ROWS, SIDE, SAMPLE = 1 << 18, 64, 16
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table below the shared folder, so that what it is made of is not made again."""
+    path = f"{scratch_folder(df.sparkSession, 'numbered')}/rows"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dense_index(df: DataFrame, key: str, *ties: str, to: str = "idx", total: str | None = None) -> DataFrame:
     """Adds 0, 1, 2 ... in the order of key (never null), then ties; total names a column for the number of rows.
 
-    Rows are cut into ranges of the key at quantiles of a hash sample, numbered in their range, and moved on by the
-    number of rows of the ranges before. The ranges follow the number of rows, up to SIDE * SIDE of them; a row finds
-    its own in two steps of at most SIDE comparisons, and SAMPLE keys a range are collected. Ties should make rows unique.
+    A table of one range is counted and numbered. A larger one is written once; its rows are cut into ranges of the key
+    at quantiles of a hash sample, numbered in their range, and moved on by the number of rows of the ranges before. The
+    ranges follow the number of rows, up to SIDE * SIDE of them; a row finds its own in two steps of at most SIDE
+    comparisons, and SAMPLE keys a range are collected. Ties should make rows unique.
     """
-    side = min(SIDE, max(1, math.ceil(math.sqrt(df.count() / RANGE_ROWS))))
-    found = sorted(r[0] for r in df.select(key).orderBy(F.xxhash64(F.col(key)), key).limit(SAMPLE * side * side).collect()) if side > 1 else []
-    cuts = sorted({found[i * len(found) // (side * side)] for i in range(1, side * side)}) if found else []
+    n = df.count()
+    side = min(SIDE, max(1, math.ceil(math.sqrt(n / RANGE_ROWS))))
+    if side == 1:
+        numbered = df.withColumn(to, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key, *ties)) - 1).cast("long"))
+        return numbered.withColumn(total, F.lit(n).cast("long")) if total else numbered
+    df = written(df)
+    found = sorted(r[0] for r in df.select(key).orderBy(F.xxhash64(F.col(key)), key).limit(SAMPLE * side * side).collect())
+    cuts = sorted({found[i * len(found) // (side * side)] for i in range(1, side * side)})
     chunks = [cuts[i : i + side] for i in range(0, len(cuts), side)]
     below = lambda bounds: F.size(F.filter(bounds, lambda b: b <= F.col(key)))
-    place = F.lit(0)
-    if chunks:
-        step = below(F.array(*[F.lit(c[0]) for c in chunks[1:]])) if len(chunks) > 1 else F.lit(0)
-        place = step * side + below(F.element_at(F.array(*[F.array(*[F.lit(x) for x in c]) for c in chunks]), step + 1))
+    step = below(F.array(*[F.lit(c[0]) for c in chunks[1:]])) if len(chunks) > 1 else F.lit(0)
+    place = step * side + below(F.element_at(F.array(*[F.array(*[F.lit(x) for x in c]) for c in chunks]), step + 1))
     cut = df.withColumn("__range", place)
     before = cut.groupBy("__range").agg(F.count("*").alias("__n"))
-    if total:
-        before = before.withColumn(total, F.sum("__n").over(Window.partitionBy(F.lit(0))))
     before = before.withColumn("__before", F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).drop("__n")
     own = F.row_number().over(Window.partitionBy("__range").orderBy(key, *ties))
-    return cut.join(before, "__range").withColumn(to, (own - 1 + F.col("__before")).cast("long")).drop("__range", "__before")
+    numbered = cut.join(before, "__range").withColumn(to, (own - 1 + F.col("__before")).cast("long")).drop("__range", "__before")
+    return numbered.withColumn(total, F.lit(n).cast("long")) if total else numbered
 
 
 def positional_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, strict: bool = False) -> DataFrame:
