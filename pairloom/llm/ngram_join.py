@@ -36,12 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, text_of
+from .common import Scratch, documents, slices, text_of
 from .repeats import whole_groups
 from .simhash import SEED, connect, fingerprint_of, roots_of, shingle_hashes
 
 #: Documents of the sample that shapes the orders, the fewest of them a common shingle is in, and common shingles kept.
-SAMPLE, COMMON, MOST_COMMON = 65536, 4, 1 << 18
+SAMPLE, COMMON, MOST_COMMON = 16384, 4, 1 << 17
+#: Bytes of text that are taken at once.
+PIECE = 1 << 22
 #: Tasks that the list of a common shingle is dealt to.
 SALTS = 16
 _R = np.random.default_rng(SEED)
@@ -108,10 +110,9 @@ def common_shingles(docs: DataFrame, width: int) -> Orders:
     one = pa.schema([("token", pa.int64())])
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t, width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], schema=one)
+        for part in (part for batch in batches if batch.num_rows for part in slices(batch, "text", PIECE)):
+            found = [shingles(t, width) for t in part.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], schema=one)
 
     share = 1 << 20
     limit = min(share, SAMPLE * share // max(1, docs.count()) + 1)
@@ -141,9 +142,9 @@ def marked(docs: DataFrame, orders, least: int, width: int) -> DataFrame:
             first = order.prefix(tokens, ranks, 0, least)
             return key, len(tokens), tokens[first].view(np.int64), ranks[first] > 0, histogram(tokens), int(np.uint64(fingerprint_of(hashes)).view(np.int64))
 
-        for batch in batches:
-            found = list(zip(*map(mark, batch.column("text").cast(pa.binary()).to_pylist()), strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("own"), *(pa.array(c, f.type) for c, f in zip(found, list(MARKS)[2:], strict=True))], schema=MARKS)
+        for part in (part for batch in batches if batch.num_rows for part in slices(batch, "text", PIECE)):
+            found = zip(*map(mark, part.column("text").cast(pa.binary()).to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("own"), *(pa.array(c, f.type) for c, f in zip(found, list(MARKS)[2:], strict=True))], schema=MARKS)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("own"), text_of().alias("text"))
     return rows.mapInArrow(run, MARKS_DDL)
