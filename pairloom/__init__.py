@@ -30,6 +30,10 @@ _HOMES = {
     "resized": "functions.resample",
     "resize_pictures": "functions.resample",
     "paste_back": "functions.resample",
+    "text_table": "operators.text_table",
+    "write_pictures": "sources.picture_sink",
+    "zip_manifests": "sources.tables",
+    "key_columns": "sources.tables",
     "read_shards": "sources.shards",
 }
 __all__ = sorted(_HOMES)

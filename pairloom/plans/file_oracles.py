@@ -26,6 +26,11 @@ def _pictures() -> str:
  SELECT printf('%s%06d.png', folder, id) AS name, 8::BIGINT AS width, 8::BIGINT AS height, channels::BIGINT AS channels, sum(v)::BIGINT AS total, sum(v * (place + 1))::BIGINT AS placed FROM bytes GROUP BY folder, id, channels"""
 
 
+PARTS = """WITH t AS (SELECT p_partkey, p_name AS a, format('{:g}', p_retailprice) AS b, p_size::VARCHAR AS c FROM part),
+ n AS (SELECT *, CASE WHEN instr(b, '.') > 0 THEN length(b) - instr(b, '.') ELSE -1 END AS own FROM t),
+ w AS (SELECT greatest(max(length(a)), 8)::INT AS wa, greatest(max(length(b) - own) + max(own), 15)::INT AS wb, greatest(max(length(c)), 8)::INT AS wc, max(own) AS most, min(p_partkey) AS first FROM n),
+ x AS (SELECT p_partkey, first, wa, wb, wc, rpad(a, wa, ' ') AS a, lpad(b || repeat(' ', (most - own)::INT), wb, ' ') AS b, lpad(c, wc, ' ') AS c FROM n, w),
+ h AS (SELECT *, rpad('p_name', wa, ' ') AS a, lpad('p_retailprice', wb, ' ') AS b, lpad('p_size', wc, ' ') AS c, '+' || repeat('-', wa + 2) || '+' || repeat('-', wb + 2) || '+' || repeat('-', wc + 2) || '+' AS rule FROM w)"""
 FILE_SQL: dict[str, str] = {
     "shard_scan": f"""WITH {EDITS}, s AS (SELECT "row" % 5 AS shard, row_number() OVER (PARTITION BY "row" % 5 ORDER BY "row") - 1 AS place, "row", category FROM edits) SELECT * FROM s WHERE shard <> 3""",
     "shard_categories": f"""WITH {EDITS} SELECT "row" % 5 AS shard, category, count(*) AS n FROM edits WHERE "row" % 5 <> 3 GROUP BY 1, 2""",
@@ -55,4 +60,13 @@ FILE_SQL: dict[str, str] = {
     "point_aligned": """WITH c AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_retailprice::DECIMAL(18,2)::VARCHAR WHEN 1 THEN p_size::VARCHAR ELSE p_retailprice::DECIMAL(18,2)::DECIMAL(18,1)::VARCHAR END || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '   ' ELSE ' ' END AS cell FROM part)
  SELECT p_partkey, lpad(cell, greatest(14, length(cell))::INT, ' ') AS aligned FROM c""",
     "bytes_as_text": "SELECT doc_id, md5(text || chr(65533)) AS text_md5 FROM documents",
+    "text_table_grid": f"""{PARTS}, r AS (SELECT rule FROM h)
+ SELECT 0::BIGINT AS section, NULL::BIGINT AS p_partkey, k AS place, CASE k WHEN 0 THEN rule WHEN 1 THEN '| ' || a || ' | ' || b || ' | ' || c || ' |' ELSE replace(rule, '-', '=') END AS line FROM h, (SELECT unnest(range(3)) AS k) u
+ UNION ALL SELECT 1, p_partkey, CASE WHEN p_partkey = first THEN 0 ELSE 1 END, '| ' || a || ' | ' || b || ' | ' || c || ' |' FROM x
+ UNION ALL SELECT 1, p_partkey, 0, rule FROM x, r WHERE p_partkey <> first UNION ALL SELECT 2, NULL, 0, rule FROM r""",
+    "text_table_html": f"""{PARTS}, cell AS (SELECT 1 AS section, p_partkey, 'td' AS tag, a, b, c FROM x UNION ALL SELECT 0, NULL, 'th', a, b, c FROM h),
+ line AS (SELECT section, p_partkey, '<tr><' || tag || '>' || replace(replace(replace(a, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</' || tag || '><' || tag || ' style="text-align: right;">' || b || '</' || tag || '><' || tag || ' style="text-align: right;">' || c || '</' || tag || '></tr>' AS line FROM cell)
+ SELECT section::BIGINT AS section, p_partkey, CASE section WHEN 0 THEN 2 ELSE 0 END::BIGINT AS place, line FROM line
+ UNION ALL SELECT 0, NULL, k, CASE k WHEN 0 THEN '<table>' WHEN 1 THEN '<thead>' WHEN 3 THEN '</thead>' ELSE '<tbody>' END FROM (SELECT unnest([0, 1, 3, 4]) AS k) u
+ UNION ALL SELECT 2, NULL, k, CASE k WHEN 0 THEN '</tbody>' ELSE '</table>' END FROM (SELECT unnest([0, 1]) AS k) u""",
 }

@@ -9,6 +9,7 @@ from ..functions import cells as cell_functions
 from ..functions import pixels as px
 from ..operators import metrics as metric_operators
 from ..operators.order import worker_shares
+from ..operators.text_table import text_table
 from ..sources import headers, images, picture_sink, shards, sinks, tables
 from ..sources.files import scratch_folder
 from . import views
@@ -250,3 +251,21 @@ def bytes_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = views.table(spark, sf_dir, "documents")
     data = F.concat(F.unhex(F.lit("FF")), F.col("text").cast("binary"), F.unhex(F.lit("EFBFBDC3")))
     return d.select("doc_id", F.md5(cell_functions.as_text(data).cast("binary")).alias("text_md5"))
+
+
+def _parts_table(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
+    part = views.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice", "p_size")
+    found = text_table(part, "p_partkey", fmt=fmt)
+    return found.select(F.col("section").cast("long").alias("section"), "p_partkey", F.col("at").cast("long").alias("place"), "line")
+
+
+@query
+def text_table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as a table drawn with lines."""
+    return _parts_table(spark, sf_dir, "grid")
+
+
+@query
+def text_table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as a table of markup."""
+    return _parts_table(spark, sf_dir, "html")
