@@ -299,7 +299,7 @@ def text_table(df: DataFrame, order: str, layout: Layout = Layout(), **changes)
         text = number_text(c, layout.float_style) if rank[k] == 3 else c
         text = F.coalesce(F.when(c == "", c).otherwise(text), F.lit(missing(n))) if rank[k] in (2, 3) else F.coalesce(c, F.lit(missing(n)))
         text = wrapped(text, limit(n)) if limit(n) else text
-        return text if layout.keep_space or rank[k] in (2, 3) else F.array_join(F.transform(F.split(text, "\n"), F.trim), "\n")
+        return text if layout.keep_space or rank[k] in (2, 3) else F.array_join(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), "\n")
 
     usual = ["center" if pretty else layout.number_align if r in (2, 3) else layout.text_align for r in rank]
     aligns = [layout.aligns.get(n, u) for n, u in zip(names, usual, strict=True)]
