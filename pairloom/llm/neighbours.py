@@ -165,32 +165,55 @@ def query_points(q: np.ndarray, band: Band) -> np.ndarray:
     return np.column_stack([at, np.zeros(len(q))])
 
 
-def walk(points: np.ndarray, band: Band, ratio: float, typical: float, beam: int = 64, entries: int = 32) -> np.ndarray:
-    """Distances of query points to the centroids that a walk over the graph meets, infinite for the others.
-
-    A walk goes on from every centroid within the pruning limit of the closest one so far, or among its `beam` closest.
+def _nearest_few(row: np.ndarray, to: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (row, to, d) the k closest of each row, and their place among them."""
+    order = np.lexsort((to, d, row))
+    row, to, d = row[order], to[order], d[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = place < k
+    return row[keep], to[keep], d[keep], place[keep]
+
+
+def walk(points: np.ndarray, band: Band, ratio: float, typical: float, beam: int = 8, entries: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query point, centroid, distance) of the centroids that a best-first walk over the graph meets, by query point.
+
+    A walk starts from spread entries and goes on from every centroid within the pruning limit of the closest one so
+    far, or among its `beam` closest. The limit only falls, so a centroid is judged when it is met and never again: a
+    step costs what it meets, not what the graph holds. Where a step meets a large part of the graph, as the limit asks
+    for among even vectors, the distances of all come from one product.
     """
-    c, n = band.centroids, len(band.centroids)
-    d, done = np.full((len(points), n), np.inf), np.zeros((len(points), n), bool)
+    c, n, m = band.centroids, len(band.centroids), len(points)
+    degree, seen = np.diff(band.starts), np.zeros(m * n, bool)
     first = np.unique(np.linspace(0, n - 1, min(entries, n)).astype(np.int64))
-    row, to = np.repeat(np.arange(len(points)), len(first)), np.tile(first, len(points))
-    degree = np.diff(band.starts)
+    row, to = np.repeat(np.arange(m), len(first)), np.tile(first, m)
+    best, every, met = np.full(m, np.inf), None, []
+    pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     while len(row):
-        for s in pieces_of(len(row), c.shape[1]):
-            d[row[s], to[s]] = np.sqrt(((points[row[s]] - c[to[s]]) ** 2).sum(1))
-        limit = np.maximum(d.min(1), typical) * ratio
-        if beam < n:
-            limit = np.maximum(limit, np.partition(d, beam - 1, axis=1)[:, beam - 1])
-        more = (d <= limit[:, None]) & ~done & np.isfinite(d)
-        done |= more
-        a, b = np.nonzero(more)
+        seen[row * n + to] = True
+        if every is None and 8 * len(row) > m * n:
+            every = distances(points, c)
+        if every is not None:
+            d = every[row, to]
+        else:
+            d = np.concatenate([np.sqrt(((points[row[s]] - c[to[s]]) ** 2).sum(1)) for s in pieces_of(len(row), c.shape[1])])
+        met.append((row, to, d))
+        np.minimum.at(best, row, d)
+        *pool, place = _nearest_few(*(np.concatenate(x) for x in zip(pool, (row, to, d), strict=True)), beam)
+        last = np.full(m, -np.inf)
+        full = place == beam - 1
+        last[pool[0][full]] = pool[2][full]
+        short = np.ones(m, bool)
+        short[pool[0][full]] = False
+        go = (d <= np.maximum(np.maximum(best, typical) * ratio, last)[row]) | short[row]
+        a, b = row[go], to[go]
         each = degree[b]
-        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(band.starts[b], each)
-        key = np.unique(np.repeat(a, each) * n + band.links[place])
+        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(band.starts[b], each)
+        key = np.repeat(a, each) * n + band.links[at]
+        key = np.unique(key[~seen[key]])
         row, to = key // n, key % n
-        new = np.isinf(d[row, to])
-        row, to = row[new], to[new]
-    return d
+    row, to, d = (np.concatenate(x) for x in zip(*met, strict=True)) if met else pool
+    order = np.argsort(row, kind="stable")
+    return row[order], to[order], d[order]
 
 
 @dataclass(frozen=True)
@@ -218,9 +241,12 @@ def chosen(q: np.ndarray, floor: np.ndarray, index: Index, lists: Lists, least:
             at = slice(band.first, band.first + len(band.centroids))
             some = np.flatnonzero(reach[:, at].any(1))
             if len(some):
-                d = walk(query_points(q[s][some], band), band, lists.ratio[k], lists.typical[k])
-                limit = np.maximum(np.where(alive[at], d, np.inf).min(1), lists.typical[k]) * lists.ratio[k]
-                keep[some, at] = reach[some, at] & (d <= limit[:, None])
+                met, to, d = walk(query_points(q[s][some], band), band, lists.ratio[k], lists.typical[k])
+                there = alive[band.first + to]
+                near = np.full(len(some), np.inf)
+                np.minimum.at(near, met[there], d[there])
+                hit = there & (d <= np.maximum(near, lists.typical[k])[met] * lists.ratio[k])
+                keep[some[met[hit]], band.first + to[hit]] = reach[some[met[hit]], band.first + to[hit]]
         for i in np.flatnonzero(keep @ lists.homes < least):
             # too few vectors: the closest lists, band by band, until there are enough
             for band in index.bands:

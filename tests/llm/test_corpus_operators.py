@@ -417,6 +417,23 @@ def test_walk_finds_what_all_distances_find():
     x = r.normal(size=(3000, 16))
     band = build_index(x, float(np.linalg.norm(x, axis=1).max()), 300).bands[0]
     points = query_points(x[:200], band)
-    want, got = distances(points, band.centroids), walk(points, band, 1.2, 0.0)
+    want, got = distances(points, band.centroids), np.full((200, len(band.centroids)), np.inf)
+    row, to, d = walk(points, band, 1.2, 0.0)
+    got[row, to] = d
+    assert len(np.unique(row * len(band.centroids) + to)) == len(row)
     near = want <= want.min(1)[:, None] * 1.2
     assert np.isfinite(got[near]).mean() > 0.99 and np.allclose(got[np.isfinite(got)], want[np.isfinite(got)], atol=1e-6)
+
+
+def test_walk_meets_part_of_the_graph():
+    """Among groups most centroids are not met, and the closest one is found for nearly all queries."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(200, 48))[r.integers(0, 200, 30000)] + 0.1 * r.normal(size=(30000, 48))
+    band = build_index(x, float(np.linalg.norm(x, axis=1).max()), 2000).bands[0]
+    points = query_points(x[:300], band)
+    every = distances(points, band.centroids)
+    row, _, d = walk(points, band, 1.05, float(np.median(every.min(1))))
+    near = np.full(300, np.inf)
+    np.minimum.at(near, row, d)
+    assert len(row) < 0.5 * every.size and (near <= every.min(1) + 1e-6).mean() > 0.9
+    assert len(walk(points[:0], band, 1.1, 0.0)[0]) == 0
