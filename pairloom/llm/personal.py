@@ -8,7 +8,8 @@ spans are closed to it. Its weights are fitted by maximum likelihood on sentence
 base patterns miss (phones without a country code, cards with dots, spelled-out addresses) and look-alikes (dates,
 versions, sums, order numbers, ISBN).
 
-Nulls count as empty texts; empty texts have no spans; repeated rows are scored alike; columns beside id and text
+Nulls count as empty texts; empty texts have no spans; an empty table gives an empty result; repeated rows are scored
+alike; columns beside id and text
 are ignored by the digests and kept by mask_personal, whatever their names. Everything is linear in the text's length,
 so very long texts only take their share of time.
 """

@@ -21,7 +21,8 @@ Decoding concatenates pieces and bytes, writes spaces back and takes the leading
 (unknown, control) decode to nothing, bytes that are no UTF-8 to the replacement character. encode then decode gives
 the text back.
 
-Nulls count as empty texts; the empty text has no pieces; repeated rows are encoded alike; columns beside id and text
+Nulls count as empty texts; the empty text has no pieces; an empty table gives an empty result; repeated rows are
+encoded alike; columns beside id and text
 are ignored by the digests and kept by encode and decode, whatever their names. Texts are encoded whole; the caches
 of a worker are bounded.
 """

@@ -10,7 +10,8 @@ Built-in functions only. A line is removed when it is
   repeated     (equal to an earlier line, white space at its ends aside).
 A document is rejected when less than `least_kept` of its characters stay, or no line stays.
 
-Nulls count as empty texts; empty texts and texts without a word are rejected; repeated rows give repeated
+Nulls count as empty texts; empty texts and texts without a word are rejected; very long texts are rows like any
+other; an empty table gives an empty result; repeated rows give repeated
 results; columns beside the id and the text are ignored.
 """
 

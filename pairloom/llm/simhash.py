@@ -15,7 +15,8 @@ joined by alternating large-star and small-star rounds until nothing changes.
 The sample (`sample_rows` fingerprints) only shapes the tree; results don't depend on it. The number of shards follows
 the number of distinct fingerprints. Nulls: a null text counts as empty, with fingerprint zero, linked like any other;
 a row without an id gets the component of its fingerprint, which is null if no member has an id. Repeated rows stay
-repeated. An empty table gives an empty result. Columns beside id and text are ignored.
+repeated. The shingles of a very long text are hashed whole, their bits counted in stretches. An empty table gives an
+empty result. Columns beside id and text are ignored.
 """
 
 from __future__ import annotations

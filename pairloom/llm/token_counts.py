@@ -6,7 +6,7 @@ yields the exact number of tokens of every prefix at once. Kept by piece and sum
 tokens any prefix of the normalised text has and where a token budget ends, without encoding anything again.
 
 Special strings in a text are single tokens, as the library has them by default. Nulls count as empty texts; empty
-texts have no tokens; repeated rows are counted alike; columns beside id and text are ignored. The caches of a
+texts have no tokens; an empty table gives an empty result; repeated rows are counted alike; columns beside id and text are ignored. The caches of a
 worker are bounded; texts of any length are counted whole.
 """
 

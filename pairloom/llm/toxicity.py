@@ -11,7 +11,9 @@ the driver is bounded by these.
 
 Nulls: a null text counts as empty; a null label is no label; labels of one id that disagree count as toxic from a
 half upwards; of several texts of one id the least is learnt from. An id that is null is held out. Without labels of both kinds the score is the share of toxic labels
-(0 without any). Repeated rows are scored alike. Columns beside id and text are ignored.
+(0 without any). Repeated rows are scored alike; an empty text has the score of the
+bias alone; very long texts are gone through in stretches, whole. An empty table gives an empty result. Columns beside
+id and text are ignored.
 """
 
 from __future__ import annotations
