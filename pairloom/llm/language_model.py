@@ -21,7 +21,7 @@ to steps of 20 / 65535 moves a logarithm by 0.00015 at most.
 
 Contexts are compared by 48-bit and successors by 40-bit hashes, words by their bytes in the word counts. Nulls count
 as empty texts (their only token is the end); an id that is null is held out; repeated rows count as often as they
-are there; very long texts are cut at words into blocks, all of which count; columns beside id and text are ignored.
+are there; a very long text stays whole in its block, which grows with it; columns beside id and text are ignored.
 Empty tables give empty results.
 """
 
