@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Types by rank, the least general first; fixed values.
 TYPES = ("none", "bool", "int", "float", "bytes", "str")
 ANSI = r"\x1b(\[[0-9;]*[A-Za-z]|\]8;[^;]*;[^\x1b]*\x1b\\)"
+#: Characters that are never wide and never flat (the soft hyphen is among them).
+NEAR = r"[\x{0}-\x{2FF}]+"
 #: HTML and LaTeX escapes; fixed values.
 HTML = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
 LATEX = {"&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "^": r"\^{}", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "\\": r"\textbackslash{}", "<": r"\ensuremath{<}", ">": r"\ensuremath{>}"}
@@ -49,7 +51,10 @@ def flat_class() -> str:
 def display_width(text: Column) -> Column:
     """Columns that a line takes on a screen: escapes and marks none, wide characters two; null for null."""
     bare = plain(text)
-    return (F.length(bare) + F.regexp_count(bare, F.lit(wide_class())) - F.regexp_count(bare, F.lit(flat_class()))).cast("int")
+    # no character below U+0300 is wide or flat, and the classes are long: only what is left is held against them
+    far = F.regexp_replace(bare, NEAR, "")
+    counted = F.length(bare) + F.regexp_count(far, F.lit(wide_class())) - F.regexp_count(far, F.lit(flat_class()))
+    return F.when((F.octet_length(text) == F.length(text)) & ~F.contains(text, F.lit("\x1b")), F.length(text)).otherwise(counted).cast("int")
 
 
 def visible_width(cell: Column) -> Column:

@@ -3,10 +3,10 @@
     lines = text_table(df, "id", fmt="grid")        # section, the order column, at, line
     write_text_table(lines, "id", folder)           # text parts in order
 
-One pass over the cells finds each column's type, a second one its decimals and width; a row's lines are then one
-expression, so a table of any length is laid out by as many tasks as it has partitions. Only a row of numbers for each
-column reaches the driver, where the header and the rules are made. Sections are 0 (above the rows), 1 (the rows) and 2
-(below them); at counts the lines of a row.
+Rows are dealt to all cores. One pass over the cells finds each column's type, a second one writes them with their
+decimals and widths below the shared folder; a row's lines are then one expression over what is written, without
+lambdas where no cell spans lines. Only a row of numbers for each column reaches the driver, where the header and the
+rules are made. Sections are 0 (above the rows), 1 (the rows) and 2 (below them); at counts the lines of a row.
 
 Cells that span lines, by breaks of their own or wrapped to a width, make a row as high as its highest cell; this holds
 for the formats of which rules and rows are drawn with lines (not markup). Long words begin on a line of their own
@@ -24,7 +24,7 @@ from pyspark.sql.types import BinaryType, BooleanType
 
 from ..functions import cells
 from ..functions.pixels import bound
-from .order import dense_index
+from .order import dense_index, written
 
 #: The column of rows' numbers.
 INDEX = "__index"
@@ -208,9 +208,9 @@ def wrapped(cell: Column, width: int) -> Column:
     return F.array_join(F.flatten(F.transform(lines, lambda x: F.when(F.size(x) == 0, F.array(F.lit(""))).otherwise(x))), "\n")
 
 
-def padded(cell: Column, width: int, side: str) -> Column:
-    """Spaces up to a width on the screen."""
-    more = F.greatest(F.lit(width) - cells.display_width(cell), F.lit(0))
+def padded(cell: Column, width: int, side: str, taken: Column | None = None) -> Column:
+    """Spaces up to a width on the screen; taken: the cell's own width, if it is known."""
+    more = F.greatest(F.lit(width) - (cells.display_width(cell) if taken is None else taken), F.lit(0))
     spaces = lambda n: F.repeat(F.lit(" "), n.cast("int"))
     if side == "center":
         return F.concat(spaces(F.floor(more / 2)), cell, spaces(F.ceil(more / 2)))
@@ -284,12 +284,15 @@ def text_table(df: DataFrame, order: str, layout: Layout = Layout(), **changes)
     numbers = layout.parse_numbers and not pretty
     texts = {c: as_cell(F.col(f"`{c}`"), df.schema[c].dataType) for c in names}
     rows = df.select(order, *([layout.separators] if layout.separators else []), *[t.alias(f"c{k}") for k, t in enumerate(texts.values())])
-    shown = rows.filter(~F.coalesce(F.col(layout.separators), F.lit(False))) if layout.separators else rows
+    shown_of = lambda rows: rows.filter(~F.coalesce(F.col(layout.separators), F.lit(False))) if layout.separators else rows
     at = [f"c{k}" for k in range(len(names))]
     if not names:
         return rows.select(F.lit(1).alias("section"), order, F.lit(0).alias("at"), F.lit("").alias("line")).limit(0)
 
-    ranks = shown.agg(*[F.max(cells.type_rank(F.col(c))).alias(c) for c in at]).first() if numbers else None
+    # a small file is one or a few partitions, and laying out costs far more than moving the rows
+    spread = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(spread, *rows.columns)
+    ranks = shown_of(rows).agg(*[F.max(cells.type_rank(F.col(c))).alias(c) for c in at]).first() if numbers else None
     rank = [max(1, (ranks[c] or 0)) if ranks else 5 for c in at]
     missing = lambda n: layout.missing if isinstance(layout.missing, str) else layout.missing.get(n, "")
     limit = lambda n: layout.max_widths if isinstance(layout.max_widths, int) or layout.max_widths is None else layout.max_widths.get(n)
@@ -308,11 +311,11 @@ def text_table(df: DataFrame, order: str, layout: Layout = Layout(), **changes)
     if layout.fmt == "rst":
         settled_cells["c0"] = cells.rst_first(settled_cells["c0"])
     decimal = [k for k, a in enumerate(aligns) if a == "decimal"]
-    staged = lambda rows: rows.withColumns(settled_cells).withColumns({f"d{k}": cells.decimals(F.col(f"c{k}")) for k in decimal})
-    rows, shown = staged(rows), staged(shown)
-    values = [F.col(c) for c in at]
+    measured = {f"d{k}": cells.decimals(F.col(at[k])) for k in decimal} | {f"w{k}": cells.visible_width(F.col(c)) for k, c in enumerate(at)}
+    # written, or every use of a cell in the lines below would make and measure it again
+    rows = written(rows.withColumns(settled_cells).withColumns(measured))
     own_decimals = [F.col(f"d{k}") if k in decimal else F.lit(0) for k in range(len(names))]
-    stats = shown.agg(*[F.max(d).alias(f"d{k}") for k, d in enumerate(own_decimals)], *[F.max(cells.visible_width(v) - d).alias(f"w{k}") for k, (v, d) in enumerate(zip(values, own_decimals, strict=True))]).first()
+    stats = shown_of(rows).agg(*[F.max(d).alias(f"d{k}") for k, d in enumerate(own_decimals)], *[F.max(F.col(f"w{k}") - d).alias(f"w{k}") for k, d in enumerate(own_decimals)], F.min(order).alias("first")).first()
     most = [stats[f"d{k}"] if stats[f"d{k}"] is not None else 0 for k in range(len(names))]
     titles = [layout.headers.get(n, n) for n in names] if layout.headers is not None else []
     least = [len(t) + (0 if pretty else HEADER_SPACE) for t in titles] or [0] * len(names)
@@ -321,21 +324,24 @@ def text_table(df: DataFrame, order: str, layout: Layout = Layout(), **changes)
 
     between = _rule(own.between, spaced, aligns)
     pointed = {f"c{k}": F.concat(F.col(f"c{k}"), F.repeat(F.lit(" "), (F.lit(most[k]) - F.col(f"d{k}")).cast("int"))) for k in decimal}
-    rows = rows.withColumns(pointed) if pointed else rows
+    behind = [F.greatest(F.lit(most[k]) - F.col(f"d{k}"), F.lit(0)) if k in decimal else F.lit(0) for k in range(len(names))]
+    single = _line(own.row, [padded(pointed.get(c, F.col(c)), widths[k], aligns[k], F.col(f"w{k}") + behind[k]) for k, c in enumerate(at)], aligns, own.pad)
     if own.high:
+        flat = ~F.contains(F.concat(*at), F.lit("\n"))
+        rows = rows.withColumns({"single": F.when(flat, F.array(single))} | pointed)
         # lines of a cell, moved down to where the row's alignment wants them
         rows = rows.withColumns({c: F.split(c, "\n") for c in at})
         rows = rows.withColumn("height", F.greatest(*[F.size(c) for c in at]) if len(at) > 1 else F.size("c0"))
         down = {"top": lambda c: F.lit(0), "bottom": lambda c: F.col("height") - F.size(c), "center": lambda c: F.floor((F.col("height") - F.size(c)) / 2).cast("int")}[layout.row_align]
         place = lambda c, k: F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda i: padded(F.coalesce(F.get(F.col(c), i - down(c)), F.lit("")), widths[k], aligns[k]))
         rows = rows.withColumns({c: place(c, k) for k, c in enumerate(at)})
-        drawn = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda i: _line(own.row, [F.get(F.col(c), i) for c in at], aligns, own.pad))
+        drawn = F.coalesce("single", F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda i: _line(own.row, [F.get(F.col(c), i) for c in at], aligns, own.pad)))
     else:
-        rows = rows.withColumns({c: padded(F.col(c), widths[k], aligns[k]) for k, c in enumerate(at)})
-        drawn = F.array(_line(own.row, [F.col(c) for c in at], aligns, own.pad))
-    first = shown.agg(F.min(order)).first()[0] if between else None
+        # cells that span lines are padded by what all of their text takes
+        whole = {c: padded(pointed.get(c, F.col(c)), widths[k], aligns[k]) for k, c in enumerate(at)}
+        drawn = F.array(F.when(~F.contains(F.concat(*at), F.lit("\n")), single).otherwise(_line(own.row, list(whole.values()), aligns, own.pad)))
     if between:
-        drawn = F.when(F.col(order) == F.lit(first), drawn).otherwise(F.concat(F.array(*[F.lit(b) for b in between]), drawn))
+        drawn = F.when(F.col(order) == F.lit(stats["first"]), drawn).otherwise(F.concat(F.array(*[F.lit(b) for b in between]), drawn))
     if layout.separators:
         mark = between or _rule(own.under_header, spaced, aligns) or _rule(own.below, spaced, aligns) or _rule(own.above, spaced, aligns) or [""]
         drawn = F.when(F.coalesce(F.col(layout.separators), F.lit(False)), F.array(*[F.lit(m) for m in mark])).otherwise(drawn)
@@ -350,8 +356,8 @@ def text_table(df: DataFrame, order: str, layout: Layout = Layout(), **changes)
         if callable(own.above) and layout.fmt == "asciidoc":
             head += _asciidoc(',options="header"')(spaced, aligns).split("\n")
         cellsof = [F.lit(_pad_text(t, w, a)) for t, w, a in zip(titles, widths, head_aligns, strict=True)]
-        written = spark.range(1).select(_line(own.header, cellsof, head_aligns, own.pad)).first()[0]
-        head += [*written.split("\n"), *_rule(own.under_header, spaced, aligns)]
+        titled = spark.range(1).select(_line(own.header, cellsof, head_aligns, own.pad)).first()[0]
+        head += [*titled.split("\n"), *_rule(own.under_header, spaced, aligns)]
     foot = [] if "below" in hidden else _rule(own.below, spaced, aligns)
     ends = [(0, k, t) for k, t in enumerate(head)] + [(2, k, t) for k, t in enumerate(foot)]
     if not ends:

@@ -93,3 +93,20 @@ def test_written_lines_follow_the_order(spark, tmp_path):
     parts = sorted((tmp_path / "t").glob("part-*"))
     lines = "".join(p.read_text() for p in parts).splitlines()
     assert lines == text(df, fmt="psql").split("\n") and lines[3] == "| v0   |" and len(lines) == 504
+
+
+def test_cells_are_made_once_and_rows_dealt_out(spark):
+    df = spark.range(3000).select(F.col("id").alias("n"), F.concat(F.lit("v"), "id").alias("v"), (F.col("id") / 7).alias("x")).coalesce(1)
+    for fmt in ("grid", "html"):
+        lines = text_table(df, "n", fmt=fmt)
+        plan = lines._jdf.queryExecution().optimizedPlan().toString()
+        assert "format_string" not in plan and "RLIKE" not in plan
+        body = lines.filter("section = 1").groupBy(F.spark_partition_id()).count().count()
+        assert body > 1
+        assert lines.count() == {"grid": 6003, "html": 3007}[fmt]
+
+
+def test_widths_of_mixed_cells(spark):
+    df = spark.createDataFrame([(0, "a\nbc", "日本"), (1, "\x1b[31mred\x1b[0m", "e\u0301"), (2, "soft\xadly", "x\ny z")], "n int, a string, b string")
+    got = text(df, fmt="grid", headers=None).split("\n")
+    assert got == ["+---------+------+", "| a       | 日本 |", "| bc      |      |", "+---------+------+", "| \x1b[31mred\x1b[0m     | e\u0301    |", "+---------+------+", "| soft\xadly | x    |", "|         | y z  |", "+---------+------+"]
