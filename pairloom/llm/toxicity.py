@@ -30,7 +30,8 @@ from .common import Scratch, documents, held_out, map_arrow, slices, text_of
 
 BITS = 22
 ORDERS = (3, 4, 5, 6)
-PIECE = 4 << 20
+#: Bytes of text that are scored at once.
+PIECE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,7 @@ def _grams(codes: np.ndarray):
 def _hits(texts: list[str | None], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (text, cell), each once, of the cells of `known` that occur in a text."""
     codes, ends = _codes(texts)
-    found = []
+    found, waiting = [], 0
     step = 1 << 18
     for at in range(0, len(codes), step):
         for n, cells in _grams(codes[at : at + step + max(ORDERS) - 1]):
@@ -70,6 +71,10 @@ def _hits(texts: list[str | None], known: np.ndarray) -> tuple[np.ndarray, np.nd
             text = np.searchsorted(ends, where + at, "right")
             inside = where + at + n <= ends[text]
             found.append((text[inside].astype(np.int64) << BITS) | cells[where[inside]])
+            waiting += len(found[-1])
+        if waiting > step:
+            # the pairs of a long text are many times its cells
+            found, waiting = [np.unique(np.concatenate(found))], 0
     pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
@@ -211,11 +216,15 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that the model does not call toxic, with all their columns."""
 
-    def start():
+    def run(batches):
         score = _scorer(model)
-        return lambda batch: batch.filter(pa.array(score(batch) < 0.5))
+        for batch in batches:
+            # in pieces, so that no second copy of a batch of whole texts is held
+            for part in slices(batch, "text", PIECE):
+                if part.num_rows:
+                    yield part.filter(pa.array(score(part) < 0.5))
 
-    return map_arrow(docs, start, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from pairloom.llm import toxicity
 from pairloom.llm.toxicity import BITS, ORDERS, Model, _count, fit_toxicity, score_toxicity
 
 
@@ -59,3 +61,28 @@ def test_ratios_set_the_sign(spark):
     weights = dict(zip(model.cells.tolist(), model.weights.tolist(), strict=True))
     only = [weights[c] for c in plain_cells("zzqqx") if c in weights]
     assert only and min(only) > 0
+
+
+def test_scoring_holds_little_beside_the_texts():
+    """Many short texts and one long one: what scoring takes at its peak follows the piece, not the batch."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    known = np.sort(rng.choice(1 << toxicity.BITS, 1 << 20, replace=False))
+    model = toxicity.Model(known, rng.normal(size=len(known)) / 100, 0.0)
+    letters = np.frombuffer(b"abcdefgh ", np.uint8)
+    short = [letters[rng.integers(0, len(letters), 1000)].tobytes().decode() for _ in range(6000)]
+    whole = toxicity._scorer(model)
+    assert np.allclose(whole(pa.RecordBatch.from_pydict({"text": short[:300]})), [whole(pa.RecordBatch.from_pydict({"text": [t]}))[0] for t in short[:300]])
+    batch = pa.RecordBatch.from_pydict({"text": short})
+    tracemalloc.start()
+    whole(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    # a long text's pairs are brought together on the way; each cell stays once
+    mask = np.zeros(1 << toxicity.BITS, bool)
+    mask[known] = True
+    owner, cells = toxicity._hits(["".join(short[:2000])], mask)
+    codes = toxicity._codes(["".join(short[:2000])])[0]
+    assert not owner.any() and cells.tolist() == sorted({c for _, g in toxicity._grams(codes) for c in g.tolist() if mask[c]})
