@@ -160,9 +160,11 @@ def picture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs, masks, cores of objects and results written as picture files, then listed, probed and decoded."""
     folder = scratch_folder(spark, "pictures")
     own = grid_pairs(spark, sf_dir).select("id", F.format_string("%06d", "id").alias("stem"), F.lit(H).alias("height"), F.lit(W).alias("width"), "a", "b")
+    # the pictures of the pairs are made for the pairs alone, not again for each of the writes below
+    pairs = own
     for side, value in (("bg", "a"), ("shot", "b")):
-        own = images.with_png(own.withColumn("pixels", colours(F.col(value))), "pixels", 3, side)
-    picture_sink.write_pictures(sinks.pair_files(own), folder)
+        pairs = images.with_png(pairs.withColumn("pixels", colours(F.col(value))), "pixels", 3, side)
+    picture_sink.write_pictures(sinks.pair_files(pairs), folder)
     masked = own.withColumn("mask", px.binary(F.col("a"), HEAT))
     picture_sink.write_pictures(sinks.mask_files(masked), folder)
     total = lambda c: px.total(c.cast("array<double>"))

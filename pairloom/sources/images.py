@@ -16,11 +16,16 @@ EXTENSIONS = (".jpg", ".jpeg", ".png")
 FALLBACK = 512
 
 
-def list_images(spark: SparkSession, folder: str) -> DataFrame:
-    """path of the images of a folder; contents are not read."""
+def images_below(spark: SparkSession, folder: str) -> DataFrame:
+    """path of the images of a folder, in no order, in as many parts as the files ask for; contents are not read."""
     names = [x for e in EXTENSIONS for x in (e, e.upper())]
     files = spark.read.format("binaryFile").load(folder).select("path")
-    return files.filter(F.regexp_extract("path", r"(\.[^./]*)$", 1).isin(names)).orderBy("path")
+    return files.filter(F.regexp_extract("path", r"(\.[^./]*)$", 1).isin(names))
+
+
+def list_images(spark: SparkSession, folder: str) -> DataFrame:
+    """path of the images of a folder, in order; contents are not read."""
+    return images_below(spark, folder).orderBy("path")
 
 
 def glob_images(spark: SparkSession, path: str) -> DataFrame:

@@ -174,3 +174,12 @@ def test_widths(spark):
     assert {r.c: r.w for r in df.select("c", cells.visible_width(F.col("c")).alias("w")).collect()} == cases
     own = spark.range(1).select(cells.as_text(F.lit("a�é").cast("binary")).alias("x"), cells.as_text(F.unhex(F.lit("61FFC3")))).first()
     assert tuple(own) == ("a�é", "a")
+
+
+def test_probes_are_not_sorted_into_a_few_tasks(spark, tmp_path):
+    from pairloom.sources import headers
+
+    (tmp_path / "a.png").write_bytes(b"no picture")
+    probed = headers.probe_folder(spark, str(tmp_path))
+    assert "Sort" not in probed._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.width, r.height) for r in probed.collect()] == [(512, 512)]
