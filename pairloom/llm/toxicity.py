@@ -79,13 +79,16 @@ def _hits(texts: list[str | None], known: np.ndarray) -> tuple[np.ndarray, np.nd
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def _count(rows: DataFrame, ranges: int = 16) -> tuple[np.ndarray, int, int]:
-    """In how many documents of each label a cell occurs, and how many there are of each.
+SUMS = pa.schema([("range", pa.int32()), ("clean", pa.int64()), ("toxic", pa.int64()), ("seen", pa.binary())])
+SUMS_DDL = "range int, clean long, toxic long, seen binary"
+
 
-    Tasks send their counts by ranges of cells, and a range is added up in one task; the driver gets the sums.
+def _sums(rows: DataFrame, ranges: int = 16) -> DataFrame:
+    """By ranges of cells: in how many documents of each label a cell occurs, and how many there are of each.
+
+    Tasks send their counts by ranges, and a range is added up in one task.
     """
     width = (1 << BITS) // ranges
-    schema = pa.schema([("range", pa.int32()), ("clean", pa.int64()), ("toxic", pa.int64()), ("seen", pa.binary())])
 
     def run(batches):
         seen, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
@@ -97,23 +100,62 @@ def _count(rows: DataFrame, ranges: int = 16) -> tuple[np.ndarray, int, int]:
                 n[toxic] += 1
         for k in range(ranges):
             part = zlib.compress(np.ascontiguousarray(seen[:, k * width : (k + 1) * width]).tobytes(), 1)
-            yield pa.RecordBatch.from_pydict({"range": [k], "clean": [n[0]], "toxic": [n[1]], "seen": [part]}, schema=schema)
+            yield pa.RecordBatch.from_pydict({"range": [k], "clean": [n[0]], "toxic": [n[1]], "seen": [part]}, schema=SUMS)
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(2 * width, np.int32)
         for part in table.column("seen").to_pylist():
             total += np.frombuffer(zlib.decompress(part), np.int32)
         sums = {c: [sum(table.column(c).to_pylist())] for c in ("clean", "toxic")}
-        return pa.Table.from_pydict({"range": table.column("range")[:1].to_pylist(), **sums, "seen": [zlib.compress(total.tobytes(), 1)]}, schema=schema)
+        return pa.Table.from_pydict({"range": table.column("range")[:1].to_pylist(), **sums, "seen": [zlib.compress(total.tobytes(), 1)]}, schema=SUMS)
+
+    return rows.mapInArrow(run, SUMS_DDL).groupBy("range").applyInArrow(add, SUMS_DDL)
 
-    ddl = "range int, clean long, toxic long, seen binary"
+
+def _count(rows: DataFrame, ranges: int = 16) -> tuple[np.ndarray, int, int]:
+    """The sums as one table of all cells, to hold them against others; it takes 32 MB."""
+    width = (1 << BITS) // ranges
     total, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
-    for row in rows.mapInArrow(run, ddl).groupBy("range").applyInArrow(add, ddl).collect():  # `ranges` rows
+    for row in _sums(rows, ranges).collect():
         total[:, row.range * width : (row.range + 1) * width] = np.frombuffer(zlib.decompress(row.seen), np.int32).reshape(2, -1)
         n = [row.clean, row.toxic]
     return total, n[0], n[1]
 
 
+def _features(rows: DataFrame, most_features: int, smooth: float, least_z: float, ranges: int = 16) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The cells whose log ratio is most significant, sorted, their ratios, and how many documents there are of each label.
+
+    Ratios are made where a range is added up, and a range sends no more cells than all may have; so the driver holds
+    no table of all cells.
+    """
+    width = (1 << BITS) // ranges
+    schema = pa.schema([("range", pa.int32()), ("clean", pa.int64()), ("toxic", pa.int64()), ("cells", pa.binary()), ("ratio", pa.binary()), ("z", pa.binary())])
+
+    def strongest(z: np.ndarray) -> np.ndarray:
+        """Places of the most significant ratios, in their order; ties go to the smaller place."""
+        return np.sort(np.argsort(-np.abs(z), kind="stable")[:most_features])
+
+    def pick(batches):
+        for batch in batches:
+            for k, clean, toxic, part in zip(*(batch.column(c).to_pylist() for c in SUMS.names), strict=True):
+                cells, ratio, z = np.empty(0, np.int64), np.empty(0), np.empty(0)
+                if clean and toxic:
+                    seen = np.frombuffer(zlib.decompress(part), np.int32).reshape(2, -1)
+                    p, q = (seen[1] + smooth) / (toxic + 2 * smooth), (seen[0] + smooth) / (clean + 2 * smooth)
+                    ratio = np.log(p / q)
+                    z = ratio / np.sqrt((1 - p) / (toxic * p) + (1 - q) / (clean * q))
+                    strong = np.flatnonzero((np.abs(z) >= least_z) & (seen.sum(0) >= 4))
+                    strong = strong[strongest(z[strong])]
+                    cells, ratio, z = strong + k * width, ratio[strong], z[strong]
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((k, clean, toxic, cells.tobytes(), ratio.tobytes(), z.tobytes()), schema, strict=True)], schema=schema)
+
+    # `ranges` rows
+    found = sorted(_sums(rows, ranges).mapInArrow(pick, "range int, clean long, toxic long, cells binary, ratio binary, z binary").collect(), key=lambda row: row.range)
+    cells, ratio, z = (np.frombuffer(b"".join(row[c] for row in found), kind) for c, kind in (("cells", np.int64), ("ratio", np.float64), ("z", np.float64)))
+    best = strongest(z)
+    return cells[best], ratio[best], *((found[0].clean, found[0].toxic) if found else (0, 0))
+
+
 def _regress(at: np.ndarray, ends: np.ndarray, y: np.ndarray, ratio: np.ndarray, steps: int = 200, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on ratio * presence by full gradients with momentum; weights are for presence.
 
@@ -151,15 +193,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, mos
     # the sample has most_toxic + most_clean rows of two numbers at most
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     rows = Scratch(docs.sparkSession, "toxicity").save(rows.repartition(parts), "sample")
-    seen, clean, toxic = _count(rows)
+    cells, ratio, clean, toxic = _features(rows, most_features, smooth, least_z)
     if not clean or not toxic:
         p = toxic / max(1, clean + toxic)
         return Model(np.empty(0, np.int64), np.empty(0), float(np.log(max(p, 1e-9) / max(1 - p, 1e-9))))
-    p, q = (seen[1] + smooth) / (toxic + 2 * smooth), (seen[0] + smooth) / (clean + 2 * smooth)
-    ratio = np.log(p / q)
-    z = ratio / np.sqrt((1 - p) / (toxic * p) + (1 - q) / (clean * q))
-    strong = np.flatnonzero((np.abs(z) >= least_z) & (seen.sum(0) >= 4))
-    cells = np.sort(strong[np.argsort(-np.abs(z[strong]), kind="stable")[:most_features]])
 
     def run(batches):
         known = np.zeros(1 << BITS, bool)
@@ -177,7 +214,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, mos
         toxic_of.append(np.frombuffer(row.toxic, np.int8))
         parts_of.append(np.frombuffer(row.at, np.uint16))
         ends.append(np.frombuffer(row.n, np.int32))
-    weights, bias = _regress(np.concatenate(parts_of), np.cumsum(np.concatenate(ends)), np.concatenate(toxic_of).astype(float), ratio[cells])
+    at, ends, y = np.concatenate(parts_of), np.cumsum(np.concatenate(ends)), np.concatenate(toxic_of).astype(float)
+    # the rows that were collected are not held beside their copy
+    del row, parts_of
+    weights, bias = _regress(at, ends, y, ratio)
     return Model(cells, weights, float(bias))
 
 
