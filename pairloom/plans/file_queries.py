@@ -173,16 +173,11 @@ def picture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shade = lambda i: ((F.col("id") * 31 + 7 * F.floor(F.floor(i / 3) / 5) + 13 * (F.floor(i / 3) % 5) + 50 * (i % 3)) % 256).cast("int")
     results = own.select("id", "stem", F.lit(7).alias("height"), F.lit(5).alias("width"), F.lit(H).alias("to_height"), F.lit(W).alias("to_width"), F.transform(F.sequence(F.lit(0), F.lit(7 * 5 * 3 - 1)), shade).alias("result"))
     picture_sink.write_pictures(sinks.result_files(results), folder)
-    out = None
-    for kind in ("bg", "shot", "masks", "masks_object", "results"):
-        sums = images.picture_sums(images.read_images(spark, f"{folder}/{kind}")).select("path", "channels", "total", "placed")
-        sizes = headers.probe_folder(spark, f"{folder}/{kind}")
-        name = F.concat(F.lit(f"{kind}/"), F.regexp_extract("path", r"([^/]*)$", 1)).alias("name")
-        same = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
-        found = sizes.withColumn("file", same("path")).join(sums.select(same("path").alias("file"), "channels", "total", "placed"), "file")
-        found = found.select(name, F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), F.col("channels").cast("long").alias("channels"), "total", "placed")
-        out = found if out is None else out.unionByName(found)
-    return out
+    # folders into which nothing was written are not there
+    paths = images.images_below(spark, *(f"{folder}/{kind}" for kind in ("bg", "shot", "masks", "masks_object", "results")), missing_ok=True)
+    found = headers.probed_sizes(images.picture_sums(images.read_pngs(paths)))
+    name = F.regexp_extract("path", r"([^/]*/[^/]*)$", 1).alias("name")
+    return found.select(name, F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), F.col("channels").cast("long").alias("channels"), "total", "placed")
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,16 +12,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from .files import files_below, located
+
+PNG = b"\x89PNG\r\n\x1a\n"
+#: Channels of a PNG by its colour type, and those that are read of them.
+PNG_CHANNELS = {0: (1, 1), 2: (3, 3), 4: (2, 1), 6: (4, 4)}
+#: Bytes of pictures that a reader hands on at once.
+READ = 1 << 24
 #: Extensions read, all small or all capital letters.
 EXTENSIONS = (".jpg", ".jpeg", ".png")
 FALLBACK = 512
 
 
-def images_below(spark: SparkSession, folder: str) -> DataFrame:
-    """path of the images of a folder, in no order, in as many parts as the files ask for; contents are not read."""
+def images_below(spark: SparkSession, *folders: str, missing_ok: bool = False) -> DataFrame:
+    """path of the images of folders, in no order, listed by tasks and dealt to all; contents are not read."""
     names = [x for e in EXTENSIONS for x in (e, e.upper())]
-    files = spark.read.format("binaryFile").load(folder).select("path")
-    return files.filter(F.regexp_extract("path", r"(\.[^./]*)$", 1).isin(names))
+    return files_below(spark, list(folders), missing_ok).filter(F.regexp_extract("path", r"(\.[^./]*)$", 1).isin(names))
 
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,7 +41,11 @@ def glob_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """path, height, width, channels and data; files that are no image have height -1."""
+    """path, height, width, channels and data; files that are no image have height -1.
+
+    Spark's reader knows many kinds, but lists all files in the driver and plans a task for 32 of them: read_pngs is for
+    folders of many files.
+    """
     image = spark.read.format("image").option("dropInvalid", False).load(folder)
     return image.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
@@ -63,7 +74,84 @@ def png(image: np.ndarray) -> bytes:
     def chunk(name: bytes, body: bytes) -> bytes:
         return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
 
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+    return PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def _unfiltered(rows: np.ndarray, bpp: int) -> np.ndarray:
+    """The bytes of a PNG's rows, each of which begins with the number of its filter."""
+    out = np.zeros((len(rows) + 1, rows.shape[1] - 1), np.uint8)
+    for k, row in enumerate(rows, 1):
+        kind, x, above = int(row[0]), row[1:], out[k - 1]
+        if kind == 0:
+            out[k] = x
+        elif kind == 1:
+            out[k] = np.cumsum(x.reshape(-1, bpp), axis=0, dtype=np.uint8).ravel()
+        elif kind == 2:
+            out[k] = x + above
+        elif kind in (3, 4):
+            mine, up = [0] * bpp, [0] * bpp + above.tolist()
+            for i, v in enumerate(x.tolist()):
+                a, b, c = mine[i], up[i + bpp], up[i]
+                if kind == 4:
+                    p = a + b - c
+                    guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                else:
+                    guess = (a + b) // 2
+                mine.append((v + guess) & 255)
+            out[k] = mine[bpp:]
+        else:
+            raise ValueError(f"a PNG has no filter {kind}")
+    return out[1:]
+
+
+def from_png(data: bytes) -> np.ndarray | None:
+    """The picture (height, width, channels) of a PNG, blue first as Spark's reader has it; None if data is none.
+
+    PNGs of 8 bits a channel, in rows from top to bottom, without a palette or a transparent colour; others raise.
+    """
+    if data[:8] != PNG or data[12:16] != b"IHDR" or len(data) < 33:
+        return None
+    width, height, depth, kind, _, _, interlaced = struct.unpack(">IIBBBBB", data[16:29])
+    at, body, transparent = 33, [], False
+    while at + 8 <= len(data):
+        n, name = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        if name == b"IDAT":
+            body.append(data[at + 8 : at + 8 + n])
+        transparent |= name == b"tRNS"
+        at += n + 12
+    if depth != 8 or kind not in PNG_CHANNELS or interlaced or transparent:
+        raise ValueError("only PNGs of 8 bits, without a palette, a transparent colour or interlacing are read here")
+    have, taken = PNG_CHANNELS[kind]
+    try:
+        raw = zlib.decompress(b"".join(body))
+    except zlib.error:
+        return None
+    if min(width, height) < 1 or len(raw) != height * (1 + width * have):
+        return None
+    x = _unfiltered(np.frombuffer(raw, np.uint8).reshape(height, -1), have).reshape(height, width, have)[..., :taken]
+    return x[..., [2, 1, 0, 3][:taken]] if taken > 1 else x
+
+
+def read_pngs(paths: DataFrame) -> DataFrame:
+    """path, height, width, channels and data of PNG files, opened by tasks; files that are no picture have height -1."""
+    out = pa.schema([("path", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for path in batch.column("path").to_pylist():
+                on, file = located(path)
+                with on.open_input_stream(file) as f:
+                    x = from_png(f.read())
+                rows.append((path, -1, -1, -1, b"") if x is None else (path, *x.shape, x.tobytes()))
+                size += len(rows[-1][4])
+                if size >= READ:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+
+    return paths.select("path").mapInArrow(run, "path string, height int, width int, channels int, data binary")
 
 
 def with_png(df: DataFrame, pixels: str, channels: int, to: str = "png") -> DataFrame:

@@ -4,19 +4,22 @@
     df.select("name", "data").write.format("pictures").mode("append").save(folder)
 
 Tasks write below a hidden folder of the job, each attempt in one of its own. When all have ended well, the driver moves
-the files that they report to their places, several at a time, and marks the folder with _SUCCESS; if one fails for good,
-the hidden folder goes and nothing has changed. A task that runs twice, or a lost executor, leaves no file behind.
+the files of the attempts that they report to their places, several at a time, and marks the folder with _SUCCESS; if one
+fails for good, the hidden folder goes and nothing has changed. A task that runs twice, or a lost executor, leaves no file
+behind. An attempt reports the lists of its names, which it keeps beside its files; the driver holds a list at a time.
 Append replaces files of the same name and keeps others; overwrite empties the folder first. Rows whose name or data is
 null raise, as do names that leave the folder; of rows that repeat a name, one stays.
 """
 
 from __future__ import annotations
 
+import json
 import posixpath
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import batched
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -26,16 +29,16 @@ from pyspark.sql.types import StructType
 
 from .files import file_system
 
-#: Files that the driver moves at once.
-MOVERS = 16
+#: Files that the driver moves at once, and names in a list of an attempt.
+MOVERS, NAMES = 16, 4096
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Where an attempt wrote, and the names of its files."""
+    """Where an attempt wrote, and how many lists of names are beside that."""
 
     below: str
-    names: list[str]
+    lists: int
 
 
 class PictureWriter(DataSourceWriter):
@@ -46,18 +49,24 @@ class PictureWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator[Row]) -> Written:
         on, root = file_system(self.folder)
-        below, names = f"{self.job}/{uuid.uuid4().hex}", set()
+        below, names, made = f"{self.job}/{uuid.uuid4().hex}", set(), set()
         for row in iterator:
             name = posixpath.normpath(row["name"])
             if name.startswith(("../", "/", "_temporary-")) or name in (".", ".."):
                 raise ValueError(f"{row['name']} is no name of a file in the folder")
             path = f"{root}/{below}/{name}"
-            if name not in names:
-                on.create_dir(posixpath.dirname(path), recursive=True)
+            if (parent := posixpath.dirname(path)) not in made:
+                on.create_dir(parent, recursive=True)
+                made.add(parent)
             with on.open_output_stream(path) as f:
                 f.write(bytes(row["data"]))
             names.add(name)
-        return Written(below, sorted(names))
+        lists = 0
+        for some in batched(sorted(names), NAMES):
+            with on.open_output_stream(f"{root}/{below}-{lists}") as f:
+                f.write(json.dumps(some).encode())
+            lists += 1
+        return Written(below, lists)
 
     def commit(self, messages: list[Written | None]) -> None:
         on, root = file_system(self.folder)
@@ -66,15 +75,13 @@ class PictureWriter(DataSourceWriter):
             for entry in on.get_file_info(fs.FileSelector(root)):
                 if not entry.base_name.startswith("_temporary-"):
                     (on.delete_dir if entry.type == fs.FileType.Directory else on.delete_file)(entry.path)
-        moves = {name: f"{root}/{m.below}/{name}" for m in messages if m for name in m.names}
-        for folder in {posixpath.dirname(name) for name in moves}:
-            on.create_dir(posixpath.join(root, folder), recursive=True)
-
-        def move(name: str) -> None:
-            on.move(moves[name], f"{root}/{name}")
-
         with ThreadPoolExecutor(MOVERS) as pool:
-            list(pool.map(move, moves))
+            for below, k in ((f"{root}/{m.below}", k) for m in messages if m for k in range(m.lists)):
+                with on.open_input_stream(f"{below}-{k}") as f:
+                    names = json.loads(f.read())
+                for folder in {posixpath.dirname(name) for name in names}:
+                    on.create_dir(posixpath.join(root, folder), recursive=True)
+                list(pool.map(on.move, (f"{below}/{n}" for n in names), (f"{root}/{n}" for n in names)))
         self._clear(on, root)
         with on.open_output_stream(f"{root}/_SUCCESS"):
             pass

@@ -183,3 +183,59 @@ def test_probes_are_not_sorted_into_a_few_tasks(spark, tmp_path):
     probed = headers.probe_folder(spark, str(tmp_path))
     assert "Sort" not in probed._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.width, r.height) for r in probed.collect()] == [(512, 512)]
+
+
+def test_commit_holds_a_list_of_names_at_a_time(spark, tmp_path):
+    import pickle
+
+    from pyspark.sql import Row
+    from pyspark.sql.types import StructType
+
+    writer = picture_sink.PictureWriter(StructType.fromDDL("name string, data binary"), str(tmp_path), False)
+    messages = [writer.write(Row(name=f"a/{k % 6000:05}.png", data=b"x") for k in range(t * 3000, t * 3000 + 5000)) for t in range(3)]
+    # what a task reports doesn't grow with its files
+    assert all(len(pickle.dumps(m)) < 300 for m in messages)
+    writer.commit(messages)
+    assert files(str(tmp_path)) == ["_SUCCESS", *(f"a/{k:05}.png" for k in range(6000))]
+
+
+def test_pictures_are_listed_and_read_by_tasks(spark, tmp_path):
+    r = np.random.default_rng(1)
+    pictures = {f"{k}.png": r.integers(0, 256, (3, 1 + k) if k % 2 else (2, 1 + k, 3), np.uint8) for k in range(50)}
+    (tmp_path / "one").mkdir()
+    for name, x in pictures.items():
+        (tmp_path / "one" / name).write_bytes(images.png(x))
+    for name, data in {"broken.png": b"no picture", "odd 50%20.PNG": images.png(pictures["1.png"]), "_hidden.png": b"", "note.txt": b""}.items():
+        (tmp_path / "one" / name).write_bytes(data)
+    for start in ("", "file:", "file://"):
+        paths = images.images_below(spark, f"{start}{tmp_path}/one", f"{start}{tmp_path}/none", missing_ok=True)
+        # Spark's own readers keep a list of all files in the driver
+        assert "FileScan" not in paths._jdf.queryExecution().executedPlan().toString() and paths.rdd.getNumPartitions() == 4
+        base = lambda df: {os.path.basename(x.path): tuple(x)[1:] for x in df.collect()}
+        got, want = base(images.read_pngs(paths)), base(images.read_images(spark, f"{tmp_path}/one").filter("path not like '%.txt'"))
+        assert got.pop("odd 50%20.PNG") == got["1.png"] and got.pop("broken.png")[:3] == (-1, -1, -1)
+        assert {k: v for k, v in want.items() if k in pictures} == got
+        probed = base(headers.probed_sizes(paths))
+        assert probed["odd 50%20.PNG"] == (2, 3) and probed["7.png"] == (8, 3) and len(probed) == 52
+    with pytest.raises(Exception, match="none"):
+        images.images_below(spark, f"{tmp_path}/none").count()
+
+
+@pytest.mark.parametrize("kind, bpp", [(0, 1), (2, 3), (4, 2), (6, 4)])
+def test_png_filters(spark, tmp_path, kind, bpp):
+    import struct
+    import zlib
+
+    r = np.random.default_rng(kind)
+    raw = r.integers(0, 256, (10, 1 + 7 * bpp), np.uint8)
+    raw[:, 0] = np.arange(10) % 5
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    data = lambda depth, body: images.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 10, depth, kind, 0, 0, 0)) + b"".join(chunk(b"IDAT", body[k : k + 50]) for k in range(0, len(body), 50)) + chunk(b"IEND", b"")
+    good = data(8, zlib.compress(raw.tobytes()))
+    (tmp_path / "x.png").write_bytes(good)
+    want = images.read_images(spark, str(tmp_path)).first()
+    x = images.from_png(good)
+    assert (x.shape, x.tobytes()) == ((want.height, want.width, want.channels), bytes(want.data))
+    assert images.from_png(good[:80]) is None and images.from_png(data(8, zlib.compress(raw.tobytes()[:-1]))) is None
+    with pytest.raises(ValueError):
+        images.from_png(data(16, zlib.compress(raw.tobytes())))
